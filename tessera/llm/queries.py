@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_ids
+from . import sentence_pieces, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
     "op4_token_ids": token_ids.op4_token_ids,
 }
 
