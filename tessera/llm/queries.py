@@ -6,11 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentence_pieces, token_ids
+from . import ngram_jaccard, sentence_pieces, token_ids
+from .store import ship
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
-    "op4_token_ids": token_ids.op4_token_ids,
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    name: _shipped(query)
+    for name, query in {
+        "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
+        "op4_token_ids": token_ids.op4_token_ids,
+        "op9_ngram_jaccard": ngram_jaccard.op9_ngram_jaccard,
+    }.items()
 }
 
 ORACLE: dict[str, str] = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -49,3 +51,17 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of the session, once, so that Python workers there can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tessera-code-"), "tessera"), "zip", root, "tessera")
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
