@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_jaccard, sentence_pieces, token_ids
+from . import ngram_jaccard, quality_rules, sentence_pieces, token_ids
 from .store import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,9 @@ QUERIES: dict[str, Query] = {
     for name, query in {
         "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
         "op4_token_ids": token_ids.op4_token_ids,
+        "op6_quality_rules": quality_rules.op6_quality_rules,
         "op9_ngram_jaccard": ngram_jaccard.op9_ngram_jaccard,
     }.items()
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_quality_rules": quality_rules.OP6_SQL}
