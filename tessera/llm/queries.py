@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_jaccard, quality_rules, sentence_pieces, token_ids
+from . import ngram_jaccard, quality_rules, sentence_pieces, suffix_dedup, token_ids
 from .store import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,7 @@ QUERIES: dict[str, Query] = {
         "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
         "op4_token_ids": token_ids.op4_token_ids,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op9_ngram_jaccard": ngram_jaccard.op9_ngram_jaccard,
     }.items()
 }

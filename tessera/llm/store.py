@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -65,3 +66,9 @@ def ship(spark: SparkSession) -> None:
     path = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tessera-code-"), "tessera"), "zip", root, "tessera")
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def free(spark: SparkSession) -> None:
+    """Let the driver find shuffles that nothing refers to, so that their files go before the next stages write more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
