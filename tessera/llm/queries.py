@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_jaccard, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, token_ids, toxicity
+from . import decontaminate, ngram_jaccard, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, token_ids, toxicity
 from .store import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ def _shipped(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     name: _shipped(query)
     for name, query in {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_token_ids": token_ids.op4_token_ids,
