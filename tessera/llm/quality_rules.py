@@ -61,14 +61,17 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(repeated(words))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements of every row."""
+def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id and the measurements of every row; with carry, the row itself too, as the struct `row`."""
+    also = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    kept = ["row"] if carry else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     has_word = lambda x: F.length(F.translate(x, " " + _SPACES, "")) > 0
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    flat = base.select("doc_id", "text", F.filter(F.split(F.translate("text", _SPACES, " " * len(_SPACES)), " "), lambda x: x != "").alias("words"), F.filter(F.split("text", "\n"), has_word).alias("lines"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *also)
+    flat = base.select("doc_id", "text", *kept, F.filter(F.split(F.translate("text", _SPACES, " " * len(_SPACES)), " "), lambda x: x != "").alias("words"), F.filter(F.split("text", "\n"), has_word).alias("lines"))
     return flat.select(
         "doc_id",
+        *kept,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", " " + _SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -79,13 +82,13 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Measurements and fail_bits: bit k is set where the k-th of RULES fails."""
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
     out = bits[0]
     for b in bits[1:]:
         out = out.bitwiseOR(b)
-    return measure(docs).withColumn("fail_bits", out.cast("long"))
+    return measure(docs, carry).withColumn("fail_bits", out.cast("long"))
 
 
 def mask(policy: str) -> int:
@@ -97,6 +100,11 @@ def apply_policy(rows: DataFrame, policy: str) -> DataFrame:
     return rows.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0)
 
 
+def accepted(docs: DataFrame, policy: str = "v2") -> DataFrame:
+    """The rows of docs, as they are, that a policy keeps."""
+    return apply_policy(ledger(docs, carry=True), policy).where("kept").select("row.*")
+
+
 def ablations(rows: DataFrame, policy: str) -> DataFrame:
     """For every rule of a policy: documents that fail it, and those that only it rejects."""
     m = mask(policy)
