@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_jaccard, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, token_ids, toxicity
+from . import decontaminate, language_id, ngram_jaccard, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, token_ids, toxicity, warc
 from .store import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +27,12 @@ QUERIES: dict[str, Query] = {
         "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_token_ids": token_ids.op4_token_ids,
+        "op5_warc": warc.op5_warc,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_ngram_jaccard": ngram_jaccard.op9_ngram_jaccard,
+        "op10_language_id": language_id.op10_language_id,
     }.items()
 }
 

@@ -376,5 +376,29 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
     return texts.join(got, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
+def without_repeats(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
+    """The rows and columns of docs with text (and n_chars, where there is one) without the repeats; texts of which
+    nothing but white space is left are dropped with their row."""
+    got = spans(docs, length=length, k=k).select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
+    joined = docs.join(got, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    names = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(names.index("text")), batch.column(len(names))], ["doc_id", "text", "spans"])
+            for done in _cut(iter([part])):
+                gone, kept = done.column(2).to_pylist(), done.column(5).to_pylist()
+                live = [i for i, (g, x) in enumerate(zip(gone, kept, strict=True)) if not g or x.strip()]
+                texts = batch.column(names.index("text")).to_pylist()
+                text = [kept[i] if gone[i] else texts[i] for i in live]
+                cols = [batch.column(i).take(pa.array(live, pa.int64())) for i in range(len(names))]
+                cols[names.index("text")] = pa.array(text, batch.schema.field(names.index("text")).type)
+                if "n_chars" in names:
+                    cols[names.index("n_chars")] = pa.array([len(x) if x is not None else None for x in text], batch.schema.field(names.index("n_chars")).type)
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return joined.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(cut, docs.schema)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(store.table(spark, sf_dir, "documents")).drop("kept")
