@@ -42,6 +42,8 @@ def with_relations(sql: str) -> str:
         return sql
     ctes = ", ".join(f"{n} as ({relations.SQL[n].strip()})" for n in need)
     body = sql.strip()
+    if body.startswith("with recursive "):
+        return f"with recursive {ctes}, {body[15:]}"
     return f"with {ctes}, {body[5:]}" if body.startswith("with ") else f"with {ctes} {body}"
 
 
