@@ -36,7 +36,7 @@ def dead_packs(stored: DataFrame, live: DataFrame, pinned: DataFrame) -> DataFra
 
 def past_grace(first_seen: Column, now: Column, grace_s: int) -> Column:
     """Whether a dead key is old enough; an unknown one isn't, a clock that went back gives age 0."""
-    return F.coalesce(F.greatest(now - first_seen, F.lit(0)) >= grace_s, F.lit(False))
+    return first_seen.isNotNull() & (F.greatest(now - first_seen, F.lit(0)) >= grace_s)
 
 
 def next_state(state: DataFrame, dead: DataFrame, deleted: DataFrame, now: int) -> DataFrame:
