@@ -101,8 +101,13 @@ def apply_policy(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The rows of docs, as they are, that a policy keeps."""
-    return apply_policy(ledger(docs, carry=True), policy).where("kept").select("row.*")
+    """The rows of docs, as they are, that a policy keeps.
+
+    The bits pass through a generator, below which the filter can't move: moved down, it would evaluate every
+    measurement again for each rule that uses it.
+    """
+    rows = ledger(docs, carry=True).select(F.inline(F.array(F.struct("row", "fail_bits"))))
+    return apply_policy(rows, policy).where("kept").select("row.*")
 
 
 def ablations(rows: DataFrame, policy: str) -> DataFrame:
