@@ -6,6 +6,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ def folder(spark: SparkSession, name: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again, which cuts its lineage and survives lost executors."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_path = path
     return out
@@ -70,5 +71,7 @@ def ship(spark: SparkSession) -> None:
 
 def free(spark: SparkSession) -> None:
     """Let the driver find shuffles that nothing refers to, so that their files go before the next stages write more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first pass lets go of, listeners among it, frees more in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)

@@ -1,11 +1,10 @@
 """Removal of byte strings that an earlier document has, by suffix arrays of shards built with induced sorting.
 
-1. *Anchors*. Every `length`-byte window has a minimizer: the least hash of the k-byte strings in it. Equal windows have
-   equal minimizers. Each document sends its distinct minimizers in blocks (bucket, packed hashes and owners); a hash
-   with two owners is shared. Hashes that several documents of a block have are told at once and sent once a block.
-2. *Runs*. Consecutive windows with one shared minimizer form a run, text of at most 2 length - k bytes. Runs are
-   dealt to shards by minimizer, so that equal windows meet. Equal runs are one string with its smallest doc_id,
-   combined before the shuffle: a passage of very many documents reaches its shard once a task.
+1. *Keys*. Every `length`-byte window has an anchor, the k bytes of least hash in it, and a key, the hash of the anchor
+   with half of the rest. Equal windows have equal anchors and keys. Each document sends its distinct keys in blocks
+   (bucket, packed hashes and owners); a key with two owners is shared, and its documents are told.
+2. *Runs*. Consecutive windows with shared keys and one least 12-byte hash form a run. Runs are dealt to shards by it, so that equal windows meet. Equal runs are one string with its smallest doc_id, and
+   a chunk of texts sends its bytes once: a passage of very many documents reaches its shard once a chunk.
 3. *Shards*. Each shard's strings are joined, suffixes classified as larger or smaller than their neighbour, the
    leftmost-smaller substrings sorted, and all suffixes induced from them, bucket by bucket, in numpy. The reduced
    string of substring names is ranked by doubling to the depth of `length` bytes, which replaces the deeper levels of
@@ -31,24 +30,40 @@ from pyspark.sql import functions as F
 from . import store
 from .text import _BASE, _INVERSE, _TABLE, chunks, column, mix, powers
 
-LENGTH, K = 50, 20
+LENGTH, K, SHARD_K = 50, 20, 12
 
 
-def window_minima(buf: np.ndarray, k: int, length: int) -> np.ndarray:
-    """The minimizer hash of the window at each byte; windows that cross texts are for the caller to leave out."""
-    n = len(buf)
-    if n < length:
-        return np.zeros(0, np.uint64)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[buf] * powers(_BASE, n), out=run[1:])
-    x = mix((run[k:] - run[:-k]) * powers(_INVERSE, n + 1)[: n - k + 1])
-    width, have = length - k + 1, 1
+def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    have = 1
     while 2 * have <= width:
         x = np.minimum(x[:-have], x[have:])
         have *= 2
-    if have < width:
-        x = np.minimum(x[: len(x) - (width - have)], x[width - have :])
-    return x
+    return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
+
+
+def window_keys(buf: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the window at each byte: the least hash of SHARD_K bytes in it, which names its shard, and its key: the hash of
+    its anchor (the k bytes of least hash, the leftmost of equals) with half the rest of the window, on the side where
+    there is room. Both depend on the window's bytes alone.
+    Windows that cross texts are for the caller to leave out."""
+    n = max(0, len(buf) - length + 1)
+    anchors, keys = np.empty(n, np.uint64), np.empty(n, np.uint64)
+    half, width, bits = (length - k) // 2, length - k + 1, np.uint64(21)
+    for lo in range(0, n, 1 << 20):
+        part = buf[lo : min(len(buf), lo + (1 << 20) + length - 1)]
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_TABLE[part] * powers(_BASE, len(part)), out=run[1:])
+        inverse = powers(_INVERSE, len(part) + 1)
+        x = mix((run[k:] - run[:-k]) * inverse[: len(part) - k + 1])
+        wide = (run[k + half :] - run[: -k - half]) * inverse[: len(part) - k - half + 1]
+        least = (x >> bits << bits) | np.arange(len(x), dtype=np.uint64)
+        least = _sliding_min(least, width)
+        at = (least & np.uint64((1 << 21) - 1)).astype(np.int64)
+        left = at - np.arange(len(at)) >= half
+        y = mix((run[SHARD_K:] - run[:-SHARD_K]) * inverse[: len(part) - SHARD_K + 1])
+        anchors[lo : lo + len(at)] = _sliding_min(y, length - SHARD_K + 1)
+        keys[lo : lo + len(at)] = mix(wide[at - half * left])
+    return anchors, keys
 
 
 def _inside(offs: np.ndarray, total: int, length: int) -> np.ndarray:
@@ -90,7 +105,7 @@ def _anchor_blocks(length: int, k: int, buckets: int):  # noqa: ANN202
             ids = np.asarray(batch.column(0))
             for i, j in chunks(offs, 1 << 21):
                 part, po = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                m = window_minima(part, k, length)
+                _, m = window_keys(part, k, length)
                 at = np.flatnonzero(_inside(po, len(part), length))
                 if not len(at):
                     continue
@@ -119,11 +134,14 @@ def _meet(buckets: int):  # noqa: ANN202
         by: dict[int, list] = {}
         for batch in batches:
             for b, h, k, o in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                wide = np.zeros((len(h) // 5, 8), np.uint8)
-                wide[:, :5] = np.frombuffer(h, np.uint8).reshape(-1, 5)
-                back = np.frombuffer(k, np.uint16 if len(k) * 5 == 2 * len(h) else np.uint32)
-                by.setdefault(b, []).append((wide.reshape(-1).view(np.uint64), np.frombuffer(o, np.int64)[back]))
-        for parts in by.values():
+                by.setdefault(b, []).append((h, k, o))
+        for b in list(by):
+            parts = []
+            for x, k, o in by.pop(b):
+                wide = np.zeros((len(x) // 5, 8), np.uint8)
+                wide[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+                back = np.frombuffer(k, np.uint16 if len(k) * 5 == 2 * len(x) else np.uint32)
+                parts.append((wide.reshape(-1).view(np.uint64), np.frombuffer(o, np.int64)[back]))
             h, d = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(h, kind="stable")
             h, d = h[order], d[order]
@@ -144,50 +162,65 @@ def _meet(buckets: int):  # noqa: ANN202
 
 
 def _runs(length: int, k: int):  # noqa: ANN202
-    """Runs of windows whose minimizer is shared: shard hash, string hash, doc_id, start and bytes."""
+    """Runs of windows whose minimizer is shared: anchor, key (hash of the bytes), doc_id, start; of equal runs of a
+    chunk only the one with the smallest doc_id carries the bytes."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = column(batch)
             ids = np.asarray(batch.column(0))
             packs = batch.column(2).to_pylist()
-            for i, j in chunks(offs, 1 << 21):
+            for i, j in chunks(offs, 1 << 20):
                 part, po = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                m = window_minima(part, k, length)
-                ok = _inside(po, len(part), length)
-                data = part.tobytes()
-                out: list[list] = [[], [], [], [], []]
+                anchors, keys = window_keys(part, k, length)
+                at = np.flatnonzero(_inside(po, len(part), length))
+                doc = np.searchsorted(po, at, "right") - 1
+                low = keys[at] & np.uint64((1 << 40) - 1)
+                new = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))))
+                cut = np.searchsorted(doc[new], np.arange(j - i + 1))
+                ok = np.zeros(len(new), bool)
                 for r in range(i, j):
-                    a, b = int(po[r - i]), int(po[r - i + 1]) - length + 1
-                    if b <= a:
-                        continue
+                    a, b = int(cut[r - i]), int(cut[r - i + 1])
                     raw = np.frombuffer(b"".join(packs[r]), np.uint8).reshape(-1, 5)
                     wide = np.zeros((len(raw), 8), np.uint8)
                     wide[:, :5] = raw
-                    want = np.sort(wide.reshape(-1).view(np.uint64))
-                    v = m[a:b]
-                    head = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-                    tail = np.append(head[1:], len(v))
-                    low = v[head] & np.uint64((1 << 40) - 1)
-                    at = np.minimum(np.searchsorted(want, low), len(want) - 1)
-                    got = want[at] == low
-                    for s, e, x in zip(head[got].tolist(), tail[got].tolist(), v[head[got]].view(np.int64).tolist(), strict=True):
-                        text = data[a + s : a + e - 1 + length]
-                        out[0].append(x)
-                        out[1].append(hashlib.blake2b(text, digest_size=12).digest())
-                        out[2].append(int(ids[r]))
-                        out[3].append(s)
-                        out[4].append(text)
-                del ok
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "key", "doc_id", "start", "run"])
+                    ok[a:b] = np.isin(low[new[a:b]], wide.reshape(-1).view(np.uint64))
+                ok = np.repeat(ok, np.diff(np.append(new, len(at))))
+                # Runs: neighbouring windows that may repeat, of one document and one anchor.
+                at, doc, v = at[ok], doc[ok], anchors[at[ok]]
+                head = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else np.zeros(0, np.int64)
+                tail = np.append(head[1:], len(v)).astype(np.int64) - 1
+                anchor, owner = v[head], doc[head]
+                got = np.ones(len(head), bool)
+                if not got.any():
+                    continue
+                anchor, owner = anchor[got], owner[got]
+                lo, hi = at[head[got]], at[tail[got]] + length
+                run = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(_TABLE[part] * powers(_BASE, len(part)), out=run[1:])
+                key = mix((run[hi] - run[lo]) * powers(_INVERSE, len(part) + 1)[lo] + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + anchor)
+                own = ids[i:j][owner]
+                order = np.lexsort((own, key))
+                first = np.zeros(len(key), bool)
+                heads = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+                first[order[heads]] = True
+                most = np.zeros(len(key), np.int64)
+                most[order[heads]] = own[order[np.append(heads[1:], len(key)) - 1]]
+                lens = np.where(first, hi - lo, 0)
+                ends = np.concatenate(([0], np.cumsum(lens)))
+                bytes_at = np.repeat(lo - ends[:-1], lens) + np.arange(int(ends[-1]))
+                text = pa.Array.from_buffers(pa.binary(), len(key), [pa.array(first).buffers()[1], pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(part[bytes_at].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array((anchor >> np.uint64(33)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(own), pa.array((lo - po[:-1][owner]).astype(np.int32)), pa.array(most), text], ["anchor", "key", "doc_id", "start", "most", "run"])
 
     return runs
 
 
 def _put(sa: np.ndarray, ptr: np.ndarray, chars: np.ndarray, pos: np.ndarray, size: int, down: bool) -> None:
     """Append positions to the buckets of their characters, in order, upwards or downwards."""
-    order = np.argsort(chars, kind="stable")
+    if len(pos) == 0:
+        return
+    # A stable sort of two-byte numbers is a radix sort.
+    order = np.argsort(chars.astype(np.uint16) if size < 1 << 16 else chars, kind="stable")
     c = chars[order]
     counts = np.bincount(c, minlength=size)
     rank = np.arange(len(c)) - (np.cumsum(counts) - counts)[c]
@@ -205,7 +238,7 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarra
     size, n = len(counts), len(t)
     end = np.cumsum(counts)
     start = end - counts
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     seed = end.copy()
     _put(sa, seed, t[lms[::-1]], lms[::-1], size, True)
     head = start.copy()
@@ -307,17 +340,23 @@ def shared_windows(texts: list[bytes], docs: np.ndarray, length: int) -> tuple[n
 
 def _shards(length: int):  # noqa: ANN202
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list] = {}
+        by: dict[int, dict[int, tuple]] = {}
         for batch in batches:
-            for s, k, d, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by.setdefault(s, []).append((k, d, x))
+            for s, k, d, m, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                of = by.setdefault(s, {})
+                was = of.get(k)
+                of[k] = (k, d, x, m) if was is None else (k, min(d, was[1]), x, max(m, was[3]))
         for s in list(by):
-            rows = by.pop(s)
-            which, inner, least = shared_windows([x for _, _, x in rows], np.array([d for _, d, _ in rows], np.int64), length)
+            rows = list(by.pop(s).values())
+            which, inner, least = shared_windows([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), length)
+            most = np.array([r[3] for r in rows], np.int64)
             new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (least[1:] != least[:-1]))))
             last = np.append(new[1:], len(which)) - 1
+            # Windows that no larger document has tell nothing.
+            tells = least[new] < most[which[new]]
+            new, last = new[tells], last[tells]
             keys = [rows[i][0] for i in which[new].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(inner[new]), pa.array(inner[last] + length), pa.array(least[new])], ["key", "lo", "hi", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(inner[new].astype(np.int32)), pa.array((inner[last] + length).astype(np.int32)), pa.array(least[new])], ["key", "lo", "hi", "least"])
 
     return search
 
@@ -352,20 +391,30 @@ def spans(docs: DataFrame, *, length: int = LENGTH, k: int = K, shard_bytes: int
     """doc_id and the byte intervals (lo, hi), ascending, that a smaller doc_id has; they may overlap."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and octet_length(text) >= " + str(length))
+    runs = _shared_runs(texts, length, k)
+    store.free(spark)
+    got = _shared_spans(runs, length, shard_bytes)
+    store.drop(runs)
+    store.free(spark)
+    return got
+
+
+def _shared_runs(texts: DataFrame, length: int, k: int) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, total // (1 << 27))
-    anchors = texts.mapInArrow(_anchor_blocks(length, k, buckets), "bucket int, hashes binary, back binary, own binary")
-    shared = anchors.repartition(buckets, "bucket").mapInArrow(_meet(buckets), "doc_id long, hashes binary")
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (1 << 25))
+    anchors = texts.mapInArrow(_anchor_blocks(length, k, 8 * parts), "bucket int, hashes binary, back binary, own binary")
+    shared = anchors.repartition(parts, "bucket").mapInArrow(_meet(8 * parts), "doc_id long, hashes binary")
     wanted = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    runs = store.saved(texts.join(wanted, "doc_id").select("doc_id", "text", "hashes").mapInArrow(_runs(length, k), "anchor long, key binary, doc_id long, start long, run binary"), "suffix-runs")
-    store.free(spark)
+    return store.saved(texts.join(wanted, "doc_id").select("doc_id", "text", "hashes").mapInArrow(_runs(length, k), "anchor int, key long, doc_id long, start int, most long, run binary"), "suffix-runs")
+
+
+def _shared_spans(runs: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     size = runs.agg(F.sum(F.octet_length("run"))).first()[0] or 0
-    shards = max(parts, int(size // shard_bytes))
-    strings = runs.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")).groupBy("shard", "key").agg(F.min("doc_id").alias("doc_id"), F.first("run").alias("run"))
-    found = strings.repartition(shards, "shard").select("shard", "key", "doc_id", "run").mapInArrow(_shards(length), "key binary, lo long, hi long, least long")
+    shards = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // shard_bytes))
+    strings = runs.where("run is not null").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "key", "doc_id", "most", "run")
+    found = strings.repartition(shards, "shard").mapInArrow(_shards(length), "key long, lo int, hi int, least long")
     met = runs.select("key", "doc_id", "start").join(found, "key").where("least < doc_id")
-    return met.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")))).alias("spans"))
+    return store.saved(met.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")))).alias("spans")), "suffix-spans")
 
 
 def dedup(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
