@@ -1,9 +1,9 @@
 """Exact Jaccard join of word n-gram sets by T-occurrence search (DivideSkip), with its components.
 
 1. One pass over the texts gives each document's set (64-bit hashes of distinct shingles), its size, a 64-bit key of
-   the whole set and the set's *prefix* in hash order. Documents with equal sets are one class from here on.
+   the whole set and the set's *prefix* in hash order (six bytes of each hash, enough to sieve). Documents with equal sets are one class from here on.
 2. Prefix filter. Of two sets with Jaccard >= s the prefixes of n - ceil(s n) + l hashes share at least l hashes, for
-   the smaller l of both (l = n / 10). A class stays only if that many of its prefix hashes occur in another class.
+   the smaller l of both (l = 3 n / 10). A class stays only if that many of its prefix hashes occur in another class.
    Hashes travel in blocks (bucket, packed arrays); those that several documents of a block share are counted there,
    so that a very frequent shingle is sent once a block.
 3. The sets of what stays are ordered by document frequency, shingles of one class are dropped, and so are classes
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .components import components
-from .text import LOWER, chunks, column, hash_spans, ngrams, row_unique, word_spans
+from .text import LOWER, chunks, column, hash_spans, mix, ngrams, row_unique, word_spans
 
 _SETS = "doc_id long, n long, key long, prefix binary"
 
@@ -54,7 +54,18 @@ def _key(hashes: np.ndarray) -> int:
 
 
 def _prefix_size(n: int, pct: int) -> int:
-    return min(n, n - int(_need(n, pct)) + max(1, n // 10))
+    return min(n, n - int(_need(n, pct)) + max(1, 3 * n // 10))
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    """Six bytes of each hash."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
 
 
 def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
@@ -67,15 +78,16 @@ def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
                 u, uo = sets_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
                 own = [u[a:b] for a, b in zip(uo[:-1].tolist(), uo[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(uo)), pa.array([_key(s) if len(s) else None for s in own], pa.int64()), pa.array([s[: _prefix_size(len(s), pct)].tobytes() if len(s) else None for s in own], pa.binary())],
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(uo)), pa.array([_key(s) if len(s) else None for s in own], pa.int64()), pa.array([_packed(s[: _prefix_size(len(s), pct)] >> np.uint64(16)) if len(s) else None for s in own], pa.binary())],
                     ["doc_id", "n", "key", "prefix"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, _SETS)
 
 
-def _shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
+def _shared_counts(sets: DataFrame, parts: int) -> DataFrame:
     """key and an upper bound of how many hashes of its prefix stand in prefixes of other keys, from (key, prefix)."""
+    buckets = 8 * parts  # small ones, as several may be dealt to one task
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, bytes] = {}
@@ -83,8 +95,8 @@ def _shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys = np.fromiter(held, np.int64, len(held))
-            lens = np.array([len(x) // 8 for x in held.values()], np.int64)
-            hashes, own = np.frombuffer(b"".join(held.values()), np.uint64), np.repeat(np.arange(len(keys)), lens)
+            lens = np.array([len(x) // 6 for x in held.values()], np.int64)
+            hashes, own = _unpacked(b"".join(held.values())), np.repeat(np.arange(len(keys)), lens)
             order = np.argsort(hashes, kind="stable")
             h, own = hashes[order], own[order]
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
@@ -94,14 +106,14 @@ def _shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
             one = np.where(count == 1, own[first], -1)
             h = h[first]
             # The order by hash is an order by bucket, as buckets are ranges of hashes.
-            place = ((h >> np.uint64(40)).astype(np.int64) * buckets) >> 24
+            place = ((h >> np.uint64(24)).astype(np.int64) * buckets) >> 24
             cut = np.searchsorted(place, np.arange(buckets + 1))
             live = np.flatnonzero(np.diff(cut))
             out_h, out_o, out_k = [], [], []
             for b in live.tolist():
                 o = one[cut[b] : cut[b + 1]]
                 used, back = np.unique(o, return_inverse=True)
-                out_h.append(h[cut[b] : cut[b + 1]].tobytes())
+                out_h.append(_packed(h[cut[b] : cut[b + 1]]))
                 out_o.append(back.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes())
                 out_k.append(np.where(used < 0, 0, keys[used]).tobytes() + (b"\1" if used[0] < 0 else b"\0"))
             yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array(out_h, pa.binary()), pa.array(out_o, pa.binary()), pa.array(out_k, pa.binary())], ["bucket", "hashes", "own", "keys"])
@@ -114,7 +126,7 @@ def _shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
                 if k not in held:
                     held[k] = p
                     size += len(p)
-                if size > 1 << 25:
+                if size > 1 << 23:
                     yield from flush()
                     size = 0
         if held:
@@ -128,10 +140,12 @@ def _shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
                 if b < 0:
                     counts.append((np.frombuffer(k, np.int64), np.frombuffer(h, np.int64)))
                     continue
-                keys, marked = np.frombuffer(k[:-1], np.int64), k[-1] == 1
-                back = np.frombuffer(o, np.uint16 if len(o) * 4 == len(h) else np.uint32)
-                by.setdefault(b, []).append((np.frombuffer(h, np.uint64), keys[back], (back == 0) & marked))
-        for parts in by.values():
+                by.setdefault(b, []).append((h, o, k))
+        for b in list(by):
+            parts = []
+            for x, o, k in by.pop(b):
+                back = np.frombuffer(o, np.uint16 if len(o) * 3 == len(x) else np.uint32)
+                parts.append((_unpacked(x), np.frombuffer(k[:-1], np.int64)[back], (back == 0) & (k[-1] == 1)))
             h, k, many = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((k, h))
             h, k, many = h[order], k[order], many[order]
@@ -144,10 +158,27 @@ def _shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
         if counts:
             k, n = (np.concatenate(x) for x in zip(*counts, strict=True))
             keys, back = np.unique(k, return_inverse=True)
+            yield packed(keys, np.bincount(back, weights=n).astype(np.int64))
+
+    def packed(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Counts as one row a slot of keys."""
+        slot = (mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        cut = np.searchsorted(slot[order], np.arange(parts + 1))
+        live = np.flatnonzero(np.diff(cut)).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), *(pa.array([x[order][cut[i] : cut[i + 1]].tobytes() for i in live], pa.binary()) for x in (keys, n))], ["slot", "keys", "n"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[np.frombuffer(x, np.int64) for c in b.columns[1:] for x in c.to_pylist()] for b in batches]
+        half = [(x[: len(x) // 2], x[len(x) // 2 :]) for x in got]
+        if half:
+            k, n = (np.concatenate([y for h in half for y in h[i]]) for i in (0, 1))
+            keys, back = np.unique(k, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(back, weights=n).astype(np.int64))], ["key", "c"])
 
     blocks = sets.select("key", "prefix").mapInArrow(send, "bucket int, hashes binary, own binary, keys binary")
-    return blocks.repartition(buckets, "bucket").mapInArrow(meet, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    met = blocks.repartition(parts, "bucket").mapInArrow(meet, "slot int, keys binary, n binary")
+    return met.repartition(parts, "slot").mapInArrow(total, "key long, c long")
 
 
 class _Index:
@@ -234,15 +265,18 @@ def link_group(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], pct:
     return [(own[i], own[index.find(i)]) for i in range(len(own)) if index.find(i) != i]
 
 
-def links(docs: DataFrame, sets: DataFrame, *, n: int = 5, pct: int = 80, part_hashes: int = 4_000_000) -> DataFrame:
-    """Links (a, b) between set keys that have the components of all links of Jaccard >= pct / 100; sets: saved signatures."""
-    spark = docs.sparkSession
-    classes = sets.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
+def _sieved(sets: DataFrame, pct: int) -> DataFrame:
+    """key, n and a doc_id of the classes of which enough of the prefix stands in other classes."""
+    own = sets.where("key is not null")
+    classes = own.groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     total = sets.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), total // (1 << 25))
-    shared = _shared_counts(sets.where("key is not null"), buckets)
-    bound = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * pct / 100) / 10))
-    left = store.saved(classes.join(shared, "key").where(F.col("c") >= bound).select("key", "n", "doc_id"), "jaccard-left")
+    parts = max(8, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (1 << 23))
+    bound = F.greatest(F.lit(1), F.floor(3 * F.ceil(F.col("n") * pct / 100) / 10))
+    return store.saved(classes.join(_shared_counts(own, parts), "key").where(F.col("c") >= bound).select("key", "n", "doc_id"), "jaccard-left")
+
+
+def _whole_sets(docs: DataFrame, left: DataFrame, n: int) -> DataFrame:
+    """key, n and the whole set of the classes that are left, from the text of one document each."""
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,16 +288,30 @@ def links(docs: DataFrame, sets: DataFrame, *, n: int = 5, pct: int = 80, part_h
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], ["key", "n", "hashes"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    whole = texts.join(left.select("key", F.col("doc_id").alias("rep")), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key").mapInArrow(again, "key long, n long, hashes array<long>").dropDuplicates(["key"])
-    whole = store.saved(whole, "jaccard-sets")
+    whole = texts.join(left.select("key", F.col("doc_id").alias("rep")).hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key").mapInArrow(again, "key long, n long, hashes array<long>")
+    return store.saved(whole.dropDuplicates(["key"]), "jaccard-sets")
+
+
+def _rare_first(whole: DataFrame, pct: int) -> DataFrame:
+    """key, n and the shared hashes, the rarest first, of sets with enough of them."""
     terms = whole.select("key", "n", F.explode("hashes").alias("h"))
     often = terms.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    rare_first = terms.join(often, "h").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
-    least = F.ceil(F.col("n") * pct / 100)
-    ordered = rare_first.where(F.size("s") >= least).select("key", "n", F.col("s.h").alias("hashes"))
-    ordered = store.saved(ordered, "jaccard-ordered")
-    store.drop(whole, left)
+    sets = terms.join(often, "h").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    return store.saved(sets.where(F.size("s") >= F.ceil(F.col("n") * pct / 100)).select("key", "n", F.col("s.h").alias("hashes")), "jaccard-ordered")
+
 
+def links(docs: DataFrame, sets: DataFrame, *, n: int = 5, pct: int = 80, part_hashes: int = 4_000_000) -> DataFrame:
+    """Links (a, b) between set keys that have the components of all links of Jaccard >= pct / 100; sets: saved signatures."""
+    spark = docs.sparkSession
+    left = _sieved(sets, pct)
+    store.free(spark)
+    whole = _whole_sets(docs, left, n)
+    store.drop(left)
+    store.free(spark)
+    ordered = _rare_first(whole, pct)
+    store.drop(whole)
+    store.free(spark)
+    least = F.ceil(F.col("n") * pct / 100)
     prefix = ordered.select("key", F.explode(F.slice("hashes", 1, F.greatest(F.lit(1), (F.size("hashes") - least + 1).cast("int")))).alias("h"))
     hubs = prefix.groupBy("h").agg(F.min("key").alias("hub"), F.count("*").alias("c")).where("c > 1")
     groups = components(prefix.join(hubs, "h").select(F.col("key").alias("a"), F.col("hub").alias("b")))
