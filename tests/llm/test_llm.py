@@ -372,7 +372,8 @@ def test_pipeline_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     kept = {r.doc_id for r in quality_rules.apply_policy(quality_rules.ledger(docs), "v2").where("kept").collect()}
     rows = [r for r in rows if r[0] in kept]
-    first = {c for _, n, c in brute_components(rows) if n} | {i for i, n, _ in brute_components(rows) if not n}
+    groups = brute_components(rows)
+    first = {c if n else i for i, n, c in groups}
     rows = [r for r in rows if r[0] in first]
     gone = {r[0]: r[1] == r[2] for r in brute_removed(rows)}
     left = {r[0] for r in rows if not (gone[r[0]] and r[1])}
