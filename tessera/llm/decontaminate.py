@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval, with longest-common-subsequence and answer checks.
 
 1. Texts are cut into passages of `size` words, one every size / 2. Terms are the words of the benchmark; their passage
-   frequencies are counted over all documents. A term of more than a tenth of all passages has no weight.
-2. Randomised SVD: with A the unit tf-idf rows of all passages and of the benchmark items (the items weighted up to the
+   frequencies are counted over all documents. A term of more than a fiftieth of all passages has no weight, unless it
+   is among the sixteen rarest of an item.
+2. Randomised SVD: with A the unit tf-idf rows of passages that cover all texts, and of the benchmark items (the items weighted up to the
    passages' total), every task adds A^T (A R) for a fixed random R; the sum, of terms x `rank` numbers however large
    the corpus, is orthonormalised to the latent basis Q.
 3. Every passage is projected on Q; items of a latent cosine of `cosine` or more are candidates.
@@ -29,12 +30,14 @@ from .text import LOWER, chunks, column, hash_spans, word_spans
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Letters and digits in lower case, everything else a space.
+_FOLDED = np.where(_LETTER, LOWER, np.uint8(0x20))
 MATCHES = "doc_id long, item_id long, cosine double, lcs double, first_word long, last_word long"
 
 
 def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (letters and digits, A-Z in lower case) and the word offsets of the rows."""
-    low = np.where(_LETTER[buf], LOWER[buf], np.uint8(0x20))
+    low = _FOLDED[buf]
     starts, ends, woffs = word_spans(low, offs)
     return hash_spans(low, starts, ends), woffs
 
@@ -47,17 +50,22 @@ class Block:
         h, woffs = words_of(buf, offs)
         self.size, self.answer, self.rank = size, answer, rank
         self.vocab = np.unique(h)
+        # Words whose low bits no term has aren't looked up.
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[self.vocab & np.uint64((1 << 20) - 1)] = True
         self.ids = np.array(ids, np.int64)
         self.items = np.split(np.searchsorted(self.vocab, h), woffs[1:-1]) if len(ids) else []
-        self.idf = np.zeros(len(self.vocab))
+        self.idf, self.fitted = np.zeros(len(self.vocab)), False
         self.random = np.random.default_rng(3).normal(size=(len(self.vocab), rank)).astype(np.float32)
 
     def terms(self, h: np.ndarray, woffs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the words of the rows: rows, word positions and terms of those in the vocabulary."""
-        at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
-        hit = np.flatnonzero(self.vocab[at] == h)
-        row = np.searchsorted(woffs, hit, "right") - 1
-        return row, hit - woffs[row], at[hit]
+        maybe = np.flatnonzero(self.sieve[h & np.uint64((1 << 20) - 1)])
+        at = np.minimum(np.searchsorted(self.vocab, h[maybe]), len(self.vocab) - 1)
+        same = self.vocab[at] == h[maybe]
+        hit = maybe[same]
+        row = np.repeat(np.arange(len(woffs) - 1), np.diff(np.searchsorted(hit, woffs)))
+        return row, hit - woffs[row], at[same]
 
     def passages(self, row: np.ndarray, pos: np.ndarray, term: np.ndarray, woffs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(passage, term, count) without repeats, and the first passage of each row. Row r has passages for each half-size step."""
@@ -155,7 +163,9 @@ def _each(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[tuple]:
         for i, j in chunks(offs, 1 << 20):
             h, woffs = words_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             row, pos, term = block.terms(h, woffs)
-            yield batch.column(0).slice(i, j - i), woffs, row, pos, term, *block.passages(row, pos, term, woffs)
+            # Once frequencies are known, terms without weight make no entries; the checks still see all terms.
+            live = block.idf[term] > 0 if block.fitted else slice(None)
+            yield batch.column(0).slice(i, j - i), woffs, row, pos, term, *block.passages(row[live], pos[live], term[live], woffs)
 
 
 def _frequencies(texts: DataFrame, block: Block) -> int:
@@ -171,7 +181,12 @@ def _frequencies(texts: DataFrame, block: Block) -> int:
     got = {r.i: r.n for r in texts.mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
     n = got.get(-1, 0)
     df = np.array([got.get(i, 0) for i in range(len(block.vocab))])
-    block.idf = np.where(df * 10 <= max(n, 10), np.log((1 + n) / (1 + df)), 0.0)
+    live = df * 50 <= n
+    for x in block.items:
+        own = np.unique(x)
+        live[own[np.argsort(df[own], kind="stable")[:16]]] = True
+    block.idf = np.where(live, np.log((2 + n) / (1 + df)), 0.0)
+    block.fitted = True
     return n
 
 
@@ -180,8 +195,12 @@ def _sketch(texts: DataFrame, block: Block, parts: int) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y = np.zeros_like(block.random, np.float64)
-        for _, _, _, _, _, p, t, c, _ in _each(batches, block):
-            starts, _, tt, w = block.rows(p, t, c)
+        for _, _, _, _, _, p, t, c, first in _each(batches, block):
+            # Every second passage of a document, and its last, hold all its words.
+            n = np.diff(first)
+            at = np.arange(int(first[-1])) - np.repeat(first[:-1], n)
+            use = ((at % 2 == 0) | (at == np.repeat(n, n) - 1))[p]
+            starts, _, tt, w = block.rows(p[use], t[use], c[use])
             y += block.sketch(starts, tt, w)
         cut = np.linspace(0, len(y), min(parts, len(y)) + 1).astype(int).tolist()
         yield pa.RecordBatch.from_arrays([pa.array(range(len(cut) - 1), pa.int32()), pa.array([y[a:b].astype(np.float32).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["part", "y"])
@@ -225,7 +244,7 @@ def _search(texts: DataFrame, block: Block, cosine: float) -> DataFrame:
     return texts.mapInArrow(find, MATCHES)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 64, rank: int = 128, cosine: float = 0.3, answer: int = 5, block_items: int = 4000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 64, rank: int = 128, cosine: float = 0.38, answer: int = 5, block_items: int = 4000) -> DataFrame:
     """doc_id, item_id, cosine, lcs, first_word and last_word of every document that holds an item."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
