@@ -6,10 +6,13 @@
 2. Randomised SVD: with A the unit tf-idf rows of passages that cover all texts, and of the benchmark items (the items weighted up to the
    passages' total), every task adds A^T (A R) for a fixed random R; the sum, of terms x `rank` numbers however large
    the corpus, is orthonormalised to the latent basis Q.
-3. Every passage is projected on Q; items of a latent cosine of `cosine` or more are candidates.
-4. A candidate counts where the longest common subsequence of the item's words with the passage and half a passage on
-   either side has 0.8 of the item, or, as a paraphrase, 0.55 of it while 0.6 of the weight of the item's terms and 0.6
-   of its answer (its last `answer` words) are there too, in order.
+3. Items are cut into pieces like passages, the last one ending with the item. Every passage is projected on Q; items
+   with a piece of a latent cosine of `cosine` or more are candidates.
+4. A candidate counts where the longest common subsequence of the item's words with a window has 0.8 of the item, or, as
+   a paraphrase, 0.55 of it while 0.6 of the weight of the item's terms and 0.6 of its answer (its last `answer` words)
+   are there too, in order. The window is the passage and half a passage on either side; for an item longer than a
+   passage it has the item's length, a quarter of it and a passage, from every half passage at which a copy of the item
+   that meets the passage can begin.
 
 The benchmark goes to the executors in blocks of at most `block_items` items. Null or empty texts and items match
 nothing; items and documents that repeat are reported each; an empty table on either side gives no rows; other columns
@@ -55,6 +58,7 @@ class Block:
         self.sieve[self.vocab & np.uint64((1 << 20) - 1)] = True
         self.ids = np.array(ids, np.int64)
         self.items = np.split(np.searchsorted(self.vocab, h), woffs[1:-1]) if len(ids) else []
+        self.pieces = [(i, a) for i, x in enumerate(self.items) for a in (*range(0, len(x) - size, size // 2), max(0, len(x) - size))]
         self.idf, self.fitted = np.zeros(len(self.vocab)), False
         self.random = np.random.default_rng(3).normal(size=(len(self.vocab), rank)).astype(np.float32)
 
@@ -105,7 +109,7 @@ class Block:
         return out
 
     def item_rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        flat = [np.unique(x, return_counts=True) for x in self.items]
+        flat = [np.unique(self.items[i][a : a + self.size], return_counts=True) for i, a in self.pieces]
         p = np.repeat(np.arange(len(flat)), [len(x) for x, _ in flat])
         return self.rows(p, np.concatenate([x for x, _ in flat]), np.concatenate([c for _, c in flat]))
 
@@ -115,7 +119,7 @@ class Block:
         y = y + self.sketch(starts, t, w) * (max(1, passages) / max(1, len(starts)))
         self.basis = np.linalg.qr(y.astype(np.float64))[0].astype(np.float32)
         z = self.project(starts, t, w, self.basis)
-        self.latent, self.which = z / np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True)), which
+        self.latent, self.which = z / np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True)), np.array([i for i, _ in self.pieces], np.int64)[which]
         self.masks, self.weight = [], []
         for x in self.items:
             mask: dict[int, int] = {}
@@ -125,6 +129,13 @@ class Block:
             self.masks.append(mask)
             self.weight.append((dict(zip(own.tolist(), self.idf[own].tolist(), strict=True)), float(self.idf[own].sum())))
 
+    def windows(self, item: int, lo: int) -> tuple[range, int]:
+        """First words, and the length, of the windows that hold any copy of the item that meets the passage from word lo on."""
+        half, n = self.size // 2, len(self.items[item])
+        if n <= self.size:
+            return range(lo - half, lo, half), self.size + 2 * half
+        return range((lo - n) // half * half, lo + self.size, half), n + n // 4 + self.size
+
     def common(self, item: int, terms: list[int]) -> int:
         """The longest common subsequence, as the bits of a row vector: bit i is 0 once a word ends a longer one at item word i."""
         mask, full = self.masks[item], (1 << len(self.items[item])) - 1
@@ -182,8 +193,8 @@ def _frequencies(texts: DataFrame, block: Block) -> int:
     n = got.get(-1, 0)
     df = np.array([got.get(i, 0) for i in range(len(block.vocab))])
     live = df * 50 <= n
-    for x in block.items:
-        own = np.unique(x)
+    for i, a in block.pieces:
+        own = np.unique(block.items[i][a : a + block.size])
         live[own[np.argsort(df[own], kind="stable")[:16]]] = True
     block.idf = np.where(live, np.log((2 + n) / (1 + df)), 0.0)
     block.fitted = True
@@ -227,15 +238,21 @@ def _search(texts: DataFrame, block: Block, cosine: float) -> DataFrame:
             at, item = np.nonzero(cos >= cosine)
             cut = np.searchsorted(row, np.arange(len(first)))
             best: dict[tuple[int, int], tuple] = {}
+            seen: set[tuple[int, int, int]] = set()
             for a, i in zip(at.tolist(), item.tolist(), strict=True):
                 g = int(which[a])
                 r = int(np.searchsorted(first, g, "right")) - 1
                 lo = (g - int(first[r])) * half
-                s, e = np.searchsorted(pos[cut[r] : cut[r + 1]], (lo - half, lo + block.size + half)) + cut[r]
                 k = int(block.which[i])
-                ratio = block.check(k, term[s:e].tolist())
-                if ratio and ratio > best.get((r, k), (0,))[0]:
-                    best[r, k] = (ratio, float(cos[a, i]), max(0, lo - half), lo + block.size + half)
+                begins, width = block.windows(k, lo)
+                for b in begins:
+                    if (r, k, b) in seen:
+                        continue
+                    seen.add((r, k, b))
+                    s, e = np.searchsorted(pos[cut[r] : cut[r + 1]], (b, b + width)) + cut[r]
+                    ratio = block.check(k, term[s:e].tolist())
+                    if ratio and ratio > best.get((r, k), (0,))[0]:
+                        best[r, k] = (ratio, float(cos[a, i]), max(0, b), b + width)
             if best:
                 keys = ids.take(pa.array([r for r, _ in best]))
                 v = list(best.values())

@@ -259,6 +259,21 @@ def test_leaks_and_paraphrases(spark):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0 and decontaminate.matches(empty(spark), bench).count() == 0
 
 
+def test_long_items_are_found_at_every_alignment(spark):
+    rng = random.Random(2)
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in (66, 176, 300, 1000)}
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    docs, want = [], []
+    for n, x in items.items():
+        for k in range(32):
+            filler = [f"f{rng.randrange(3000)}" for _ in range(200)]
+            docs.append((n * 100 + k, " ".join([*filler[: 64 + k], *x, *filler[64 + k :]])))
+            want.append((n * 100 + k, n))
+    docs += [(5, " ".join(items[300][:150])), (6, " ".join(f"f{rng.randrange(3000)}" for _ in range(2000)))]
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == want and {r.lcs for r in got} == {1.0}
+
+
 def test_common_subsequence_equals_dynamic_program():
     rng = random.Random(1)
     b = decontaminate.Block([1], ["a b c d e a b"], 8, 3, 4)
