@@ -14,7 +14,8 @@
    passage it has the item's length, a quarter of it and a passage, from every half passage at which a copy of the item
    that meets the passage can begin.
 
-The benchmark goes to the executors in blocks of at most `block_items` items. Null or empty texts and items match
+The benchmark goes to the executors in blocks of about `block_items` pieces; the rank of a block is a quarter of its
+pieces, but at least `rank` and at most `RANK`. Null or empty texts and items match
 nothing; items and documents that repeat are reported each; an empty table on either side gives no rows; other columns
 are not read.
 """
@@ -35,6 +36,8 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Letters and digits in lower case, everything else a space.
 _FOLDED = np.where(_LETTER, LOWER, np.uint8(0x20))
+#: The largest rank of a block; only an item of very many pieces reaches it.
+RANK = 512
 MATCHES = "doc_id long, item_id long, cosine double, lcs double, first_word long, last_word long"
 
 
@@ -51,7 +54,7 @@ class Block:
     def __init__(self, ids: list[int], texts: list[str], size: int, answer: int, rank: int):
         buf, offs = column(pa.record_batch([pa.array(texts, pa.large_string())], ["text"]))
         h, woffs = words_of(buf, offs)
-        self.size, self.answer, self.rank = size, answer, rank
+        self.size, self.answer = size, answer
         self.vocab = np.unique(h)
         # Words whose low bits no term has aren't looked up.
         self.sieve = np.zeros(1 << 20, bool)
@@ -59,8 +62,9 @@ class Block:
         self.ids = np.array(ids, np.int64)
         self.items = np.split(np.searchsorted(self.vocab, h), woffs[1:-1]) if len(ids) else []
         self.pieces = [(i, a) for i, x in enumerate(self.items) for a in (*range(0, len(x) - size, size // 2), max(0, len(x) - size))]
+        self.rank = max(rank, min(RANK, -(-len(self.pieces) // 4)))
         self.idf, self.fitted = np.zeros(len(self.vocab)), False
-        self.random = np.random.default_rng(3).normal(size=(len(self.vocab), rank)).astype(np.float32)
+        self.random = np.random.default_rng(3).normal(size=(len(self.vocab), self.rank)).astype(np.float32)
 
     def terms(self, h: np.ndarray, woffs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the words of the rows: rows, word positions and terms of those in the vocabulary."""
@@ -96,16 +100,24 @@ class Block:
         return starts, p[starts], t, w.astype(np.float32)
 
     def project(self, starts: np.ndarray, t: np.ndarray, w: np.ndarray, basis: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(basis[t] * w[:, None], starts, axis=0) if len(starts) else np.zeros((0, basis.shape[1]), np.float32)
+        out = np.zeros((len(starts), basis.shape[1]), np.float32)
+        ends = np.append(starts, len(t))
+        for i, j in chunks(ends, (1 << 22) // basis.shape[1]) if len(starts) else ():
+            a, b = ends[i], ends[j]
+            out[i:j] = np.add.reduceat(basis[t[a:b]] * w[a:b, None], starts[i:j] - a, axis=0)
+        return out
 
     def sketch(self, starts: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
         """A^T (A R) of some rows."""
         out = np.zeros_like(self.random)
-        if len(starts):
-            y = np.repeat(self.project(starts, t, w, self.random), np.diff(np.append(starts, len(t))), axis=0) * w[:, None]
-            order = np.argsort(t, kind="stable")
-            cut = np.flatnonzero(np.concatenate(([True], t[order][1:] != t[order][:-1])))
-            out[t[order][cut]] = np.add.reduceat(y[order], cut, axis=0)
+        ends = np.append(starts, len(t))
+        for i, j in chunks(ends, (1 << 23) // self.rank) if len(starts) else ():
+            a, b = ends[i], ends[j]
+            y = np.repeat(self.project(starts[i:j] - a, t[a:b], w[a:b], self.random), np.diff(ends[i : j + 1]), axis=0) * w[a:b, None]
+            order = np.argsort(t[a:b], kind="stable")
+            own = t[a:b][order]
+            cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            out[own[cut]] += np.add.reduceat(y[order], cut, axis=0)
         return out
 
     def item_rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -231,15 +243,20 @@ def _search(texts: DataFrame, block: Block, cosine: float) -> DataFrame:
     half = block.size // 2
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _woffs, row, pos, term, p, t, c, first in _each(batches, block):
-            starts, which, tt, w = block.rows(p, t, c)
+        for ids, _woffs, row, pos, term, p, t, n, first in _each(batches, block):
+            starts, which, tt, w = block.rows(p, t, n)
             z = block.project(starts, tt, w, block.basis)
-            cos = (z / np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))) @ block.latent.T
-            at, item = np.nonzero(cos >= cosine)
+            z /= np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))
+            some = max(1, (1 << 23) // max(1, len(block.latent)))
+            near = []
+            for k in range(0, len(z), some):
+                cos = z[k : k + some] @ block.latent.T
+                x, y = np.nonzero(cos >= cosine)
+                near += zip((x + k).tolist(), y.tolist(), cos[x, y].tolist(), strict=True)
             cut = np.searchsorted(row, np.arange(len(first)))
             best: dict[tuple[int, int], tuple] = {}
             seen: set[tuple[int, int, int]] = set()
-            for a, i in zip(at.tolist(), item.tolist(), strict=True):
+            for a, i, c in near:
                 g = int(which[a])
                 r = int(np.searchsorted(first, g, "right")) - 1
                 lo = (g - int(first[r])) * half
@@ -252,7 +269,7 @@ def _search(texts: DataFrame, block: Block, cosine: float) -> DataFrame:
                     s, e = np.searchsorted(pos[cut[r] : cut[r + 1]], (b, b + width)) + cut[r]
                     ratio = block.check(k, term[s:e].tolist())
                     if ratio and ratio > best.get((r, k), (0,))[0]:
-                        best[r, k] = (ratio, float(cos[a, i]), max(0, b), b + width)
+                        best[r, k] = (ratio, c, max(0, b), b + width)
             if best:
                 keys = ids.take(pa.array([r for r, _ in best]))
                 v = list(best.values())
@@ -261,12 +278,14 @@ def _search(texts: DataFrame, block: Block, cosine: float) -> DataFrame:
     return texts.mapInArrow(find, MATCHES)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 64, rank: int = 128, cosine: float = 0.38, answer: int = 5, block_items: int = 4000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 64, rank: int = 128, cosine: float = 0.30, answer: int = 5, block_items: int = 1000) -> DataFrame:
     """doc_id, item_id, cosine, lcs, first_word and last_word of every document that holds an item."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    blocks = max(1, -(-items.count() // block_items))
+    count = F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
+    pieces = items.agg(F.sum(F.greatest(F.lit(1), F.ceil(count / (size // 2)) - 1))).first()[0] or 0
+    blocks = max(1, -(-int(pieces) // block_items))
     out = spark.createDataFrame([], MATCHES)
     for b in range(blocks):
         rows = sorted(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect())

@@ -274,6 +274,22 @@ def test_long_items_are_found_at_every_alignment(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == want and {r.lcs for r in got} == {1.0}
 
 
+def test_no_verbatim_leak_of_a_large_benchmark_is_lost(spark):
+    rng = random.Random(1)
+    texts = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").orderBy("doc_id").collect()]
+    texts = [x for x in texts if len(x) > 100]
+    docs, items = [], []
+    for i in range(2000):
+        x, d, n = rng.choice(texts), rng.choice(texts), rng.randint(12, 58)
+        a, b = rng.randrange(len(x) - n), rng.randrange(len(d))
+        items.append((i, " ".join(x[a : a + n])))
+        docs.append((i, " ".join([*d[max(0, b - 100) : b], *x[a : a + n], *d[b : b + 100]])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(df, bench).where("doc_id = item_id").count()
+    assert got >= 1999, got
+
+
 def test_common_subsequence_equals_dynamic_program():
     rng = random.Random(1)
     b = decontaminate.Block([1], ["a b c d e a b"], 8, 3, 4)
