@@ -1,13 +1,13 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-case words and their first five bytes. From a bounded sample of labelled documents (`examples`) the
-`terms` terms of the strongest association with the label are kept; their document frequencies are counted over all
-documents. Each example is a vector of tf-idf weights. The index keeps, for every term, the weights of all examples and
-the largest weight in each block of examples; for a document, sums of block maxima bound the cosines of a block, blocks
-are visited from the largest bound on, and the search ends when no bound exceeds the k-th cosine: the result is exact.
+Terms are lower-case words and their first five bytes. All terms of a bounded sample of labelled documents (`examples`)
+are kept; their document frequencies are counted over all documents. Each example is a vector of tf-idf weights. The
+index keeps, for every term, the weights of the examples that have it and the largest weight in each block of examples;
+for a document, sums of block maxima bound the cosines of a block. The blocks of the largest bounds are visited, then
+all whose bound reaches the k-th cosine: the result is exact. Terms of no example don't count in a document's length.
 The k nearest vote with their cosines; a logistic curve fitted on leave-one-out votes turns votes into probabilities.
 
-A text without any kept term (an empty or null one too) has no neighbour and gets the share of toxic documents among
+A text without any term of an example (an empty or null one too) has no neighbour and gets the share of toxic documents among
 such examples. Ties of cosine go to the smaller example doc_id. Without labels every score is 0.5. Repeated rows get
 equal scores; an empty table gives an empty table; other columns are not read.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import labelled, store
-from .text import LOWER, chunks, column, hash_spans
+from .text import LOWER, chunks, column, gather, hash_spans
 
 BLOCK = 64
 _LETTER = np.zeros(256, bool)
@@ -45,16 +45,37 @@ def terms_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate((hash_spans(low, starts, ends), pre)), np.concatenate((rows, rows[long]))
 
 
+class Postings:
+    """Weights of terms (rows) in examples (columns), by term, then example; parts are those of a term in a block."""
+
+    def __init__(self, terms: int, examples: int, t: np.ndarray, col: np.ndarray, w: np.ndarray):
+        order = np.lexsort((col, t))
+        t, self.col, self.w = t[order], col[order], w[order]
+        self.shape = (terms, examples)
+        key = t * (examples // BLOCK + 1) + self.col // BLOCK
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        self.parts, self.block = np.append(starts, len(key)), self.col[starts] // BLOCK
+        self.top = np.maximum.reduceat(self.w, starts) if len(starts) else self.w
+        self.rows = np.searchsorted(t[starts], np.arange(terms + 1))
+
+    def __getitem__(self, terms: np.ndarray) -> np.ndarray:
+        """The whole rows of some terms."""
+        out = np.zeros((len(terms), self.shape[1]), np.float32)
+        for i, t in enumerate(terms):
+            a, b = self.parts[self.rows[t]], self.parts[self.rows[t + 1]]
+            out[i, self.col[a:b]] = self.w[a:b]
+        return out
+
+
 @dataclass
 class Index:
-    """Weights of the kept terms (rows) in the examples (columns), block maxima, and what turns votes into scores."""
+    """Weights of the terms in the examples, and what turns votes into scores."""
 
     keys: np.ndarray
     idf: np.ndarray
     ids: np.ndarray
     y: np.ndarray
-    weights: np.ndarray
-    maxima: np.ndarray
+    weights: Postings
     prior: float
     none: float
     slope: float = 1.0
@@ -76,20 +97,26 @@ class Index:
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosine, exactly, without example `leave`."""
-        bounds = w @ self.maxima[terms]
-        order = np.argsort(-bounds, kind="stable")
-        best_c, best_i = np.zeros(0, np.float32), np.zeros(0, np.int64)
-        at = 0
-        while at < len(order):
-            if bounds[order[at]] <= 0 or len(best_c) == k and bounds[order[at]] + 1e-5 < best_c[-1]:
-                break
-            take = order[at : at + 8]
-            at += 8
-            cols = (take[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-            cols = cols[cols < len(self.ids)]
-            c = w @ self.weights[np.ix_(terms, cols)]
-            good = (c > 0) & (cols != leave)
-            best_c, best_i = np.concatenate((best_c, c[good])), np.concatenate((best_i, cols[good]))
+        index, n = self.weights, len(self.ids)
+        part, ends = gather(terms, index.rows)
+        block, own = index.block[part], np.repeat(w, np.diff(ends))
+        bounds = np.bincount(block, weights=own * index.top[part], minlength=-(-n // BLOCK))
+        best_c, best_i = np.zeros(0), np.zeros(0, np.int64)
+        left = bounds > 0
+        first = np.zeros(len(left), bool)
+        first[np.argsort(-bounds, kind="stable")[:8]] = True
+        for take in (first & left, left & ~first):
+            if len(best_c) == k:
+                take &= bounds + 1e-5 >= best_c[-1]
+            some = take[block]
+            at, e = gather(part[some], index.parts)
+            c = np.bincount(index.col[at], weights=np.repeat(own[some], np.diff(e)) * index.w[at], minlength=n)
+            if leave >= 0:
+                c[leave] = 0
+            good = np.flatnonzero(c > 0)
+            if len(good) > k:
+                good = good[c[good] >= np.partition(c[good], -k)[-k]]
+            best_c, best_i = np.concatenate((best_c, c[good])), np.concatenate((best_i, good))
             top = np.lexsort((best_i, -best_c))[:k]
             best_c, best_i = best_c[top], best_i[top]
         return best_c, best_i
@@ -102,29 +129,18 @@ class Index:
         return float(1 / (1 + np.exp(-z)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, column_name: str = "toxic", mod: int = 4, rest: int = 2, examples: int = 8000, terms: int = 512, k: int = 16) -> Index:
-    """The index of at most `examples` labelled rows and `terms` terms; nothing larger reaches the driver."""
+def fit(docs: DataFrame, labels: DataFrame, *, column_name: str = "toxic", mod: int = 4, rest: int = 2, examples: int = 8000, k: int = 16) -> Index:
+    """The index of at most `examples` labelled rows and all their terms; nothing larger reaches the driver."""
     spark = docs.sparkSession
     rows = store.saved(labelled.sample(docs, labels, column_name, mod, rest, examples), "labelled")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = column(batch)
-            y = np.asarray(batch.column(1))
-            h, r = terms_of(buf, offs)
-            order = np.lexsort((h, r))
-            h, r = h[order], r[order]
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1]))) if len(h) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(y[r[new]], pa.int32())], ["term", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(terms_of(*column(batch))[0]).view(np.int64))], ["term"])
 
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = (pos + 1) / (n + 2)
-    counts = rows.select("text", "y").mapInArrow(distinct, "term long, y int").groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    # Signed chi-square of the two-by-two table; only terms that speak for or against the label beyond chance.
-    lift = (F.col("p") * n - F.col("n") * pos) * F.lit(1.0)
-    chi = lift * lift * n / (F.col("n") * (n - F.col("n")) * float(max(1, pos)) * float(max(1, n - pos)) + 1.0) / 1.0
-    kept = counts.where((F.col("n") >= 4) & (lift > 0)).withColumn("chi", chi).where("chi > 15").orderBy(F.desc("chi"), "term").limit(terms)
-    keys = np.sort(np.array([r.term for r in kept.select("term").collect()], np.int64).view(np.uint64))
+    keys = np.sort(rows.select("text").mapInArrow(distinct, "term long").distinct().toArrow().column(0).to_numpy().view(np.uint64))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, total = np.zeros(len(keys), np.int64), 0
@@ -136,34 +152,35 @@ def fit(docs: DataFrame, labels: DataFrame, *, column_name: str = "toxic", mod:
                 at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                 hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
                 df += np.bincount(np.unique(r[hit] * len(keys) + at[hit]) % max(1, len(keys)), minlength=len(keys))[: len(keys)] if hit.any() else 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(keys)), pa.int32()), pa.array(np.concatenate(([total], df)))], ["i", "n"])
+        met = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1), pa.int32()), pa.array(np.append(df[met], total))], ["i", "n"])
 
-    found = {r.i: r.n for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(partial, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    total = found.get(-1, 0)
-    idf = np.array([np.log((1 + total) / (1 + found.get(i, 0))) + 1 for i in range(len(keys))])
-    index = Index(keys, idf, np.zeros(0, np.int64), np.zeros(0), np.zeros((len(keys), 0), np.float32), np.zeros((len(keys), 0), np.float32), prior, prior, k=k)
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(partial, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(keys) + 1, np.int64)
+    df[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    none_yet = Postings(len(keys), 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+    index = Index(keys, idf, np.zeros(0, np.int64), np.zeros(0), none_yet, prior, prior, k=k)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = column(batch)
             v = index.vectors(buf, offs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([t.tolist() for t, _ in v], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in v], pa.list_(pa.float32()))], ["doc_id", "y", "t", "w"])
-
-    got = sorted(rows.select("doc_id", "text", "y").mapInArrow(vectors, "doc_id long, y int, t array<int>, w array<float>").collect())
-    some, none = [r for r in got if r.t], [r for r in got if not r.t]
-    # Blocks of like examples have tight bounds: by strongest term, then doc_id.
-    some.sort(key=lambda r: (r.t[int(np.argmax(r.w))], r.doc_id))
-    index.ids, index.y = np.array([r.doc_id for r in some], np.int64), np.array([r.y for r in some], np.float64)
-    index.weights = np.zeros((len(keys), len(some)), np.float32)
-    for i, r in enumerate(some):
-        index.weights[r.t, i] = r.w
-    padded = np.zeros((len(keys), -(-len(some) // BLOCK) * BLOCK), np.float32)
-    padded[:, : len(some)] = index.weights
-    index.maxima = padded.reshape(len(keys), -1, BLOCK).max(axis=2) if len(some) else padded
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([t.astype(np.int64).tobytes() for t, _ in v], pa.binary()), pa.array([w.tobytes() for _, w in v], pa.binary())], ["doc_id", "y", "t", "w"])
+
+    got = sorted(rows.select("doc_id", "text", "y").mapInArrow(vectors, "doc_id long, y int, t binary, w binary").collect())
+    some = [(r.doc_id, r.y, np.frombuffer(r.t, np.int64), np.frombuffer(r.w, np.float32)) for r in got if r.t]
+    none = [r for r in got if not r.t]
+    # Blocks of like examples have tight bounds: by strongest term of several examples, then doc_id.
+    shared = np.bincount(np.concatenate([t for _, _, t, _ in some]), minlength=len(keys)) >= 8 if some else np.zeros(0, bool)
+    some.sort(key=lambda r: (r[2][int(np.argmax(r[3] * (shared[r[2]] + 1e-6)))], r[0]))
+    index.ids, index.y = np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some], np.float64)
+    if some:
+        index.weights = Postings(len(keys), len(some), np.concatenate([r[2] for r in some]), np.repeat(np.arange(len(some)), [len(r[2]) for r in some]), np.concatenate([r[3] for r in some]))
     index.none = (sum(r.y for r in none) + prior) / (len(none) + 1)
     # Leave-one-out votes of up to 2000 examples calibrate the score.
     picked = range(0, len(some), max(1, len(some) // 2000))
-    votes = np.array([index.vote(*index.nearest(np.array(some[i].t), np.array(some[i].w, np.float32), k, i)) for i in picked])
+    votes = np.array([index.vote(*index.nearest(some[i][2], some[i][3], k, i)) for i in picked])
     if len(votes) and 0 < index.y[list(picked)].sum() < len(votes):
         x, t = np.log(votes / (1 - votes)), index.y[list(picked)]
         a, b = 1.0, 0.0

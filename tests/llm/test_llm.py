@@ -344,6 +344,16 @@ def test_block_max_search_is_exact(spark):
         assert np.allclose(c, np.sort(every[every > 0])[::-1][:5])
 
 
+def test_copy_of_an_example_with_rare_words_is_found(spark):
+    docs, labels = labelled_docs(spark)
+    i = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rare = "qworm zleech oncemet words"
+    docs = docs.unionByName(spark.createDataFrame([(i, rare, "x"), (5000, rare, "x")], docs.schema))
+    index = toxicity.fit(docs, labels.unionByName(spark.createDataFrame([(i, 0, 1)], labels.schema)))
+    got = {r.doc_id: r for r in toxicity.score(docs, index).where("doc_id = 5000").collect()}[5000]
+    assert got.nearest[0] == i and abs(got.cosines[0] - 1) < 1e-5 and got.score >= 0.3
+
+
 def test_quality_classifier(spark):
     rng = random.Random(5)
     docs = [(i, words(rng, 60) if i % 3 else " ".join(w.upper() + "!!" for w in words(rng, 40).split())) for i in range(400)]
