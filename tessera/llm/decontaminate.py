@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .text import LOWER, chunks, column, hash_spans, word_spans
+from .text import LOWER, chunks, column, hash_spans, trimmed, word_spans
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -201,7 +201,7 @@ def _frequencies(texts: DataFrame, block: Block) -> int:
             n += int(first[-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(df)), pa.int32()), pa.array(np.concatenate(([n], df)))], ["i", "n"])
 
-    got = {r.i: r.n for r in texts.mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    got = {r.i: r.n for r in texts.mapInArrow(trimmed(count), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
     n = got.get(-1, 0)
     df = np.array([got.get(i, 0) for i in range(len(block.vocab))])
     live = df * 50 <= n
@@ -235,7 +235,7 @@ def _sketch(texts: DataFrame, block: Block, parts: int) -> np.ndarray:
                 by[k] = by.get(k, 0) + np.frombuffer(y, np.float32).astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([v.tobytes() for v in by.values()], pa.binary())], ["part", "y"])
 
-    rows = texts.mapInArrow(add, "part int, y binary").repartition(parts, "part").mapInArrow(total, "part int, y binary").collect()
+    rows = texts.mapInArrow(trimmed(add), "part int, y binary").repartition(parts, "part").mapInArrow(trimmed(total), "part int, y binary").collect()
     return np.concatenate([np.frombuffer(r.y, np.float64) for r in sorted(rows)]).reshape(-1, width) if rows else np.zeros((len(block.vocab), width))
 
 
@@ -275,7 +275,7 @@ def _search(texts: DataFrame, block: Block, cosine: float) -> DataFrame:
                 v = list(best.values())
                 yield pa.RecordBatch.from_arrays([keys, pa.array([int(block.ids[k]) for _, k in best]), pa.array([x[1] for x in v]), pa.array([x[0] for x in v]), pa.array([x[2] for x in v]), pa.array([x[3] for x in v])], ["doc_id", "item_id", "cosine", "lcs", "first_word", "last_word"])
 
-    return texts.mapInArrow(find, MATCHES)
+    return texts.mapInArrow(trimmed(find), MATCHES)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 64, rank: int = 128, cosine: float = 0.30, answer: int = 5, block_items: int = 1000) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import markup, store
-from .text import LOWER, chunks, column, mix
+from .text import LOWER, chunks, column, mix, trimmed
 
 BUCKETS = 1 << 14
 
@@ -62,7 +62,7 @@ def train(docs: DataFrame, *, per_language: int = 400, most: int = 40, sample_by
         yield pa.RecordBatch.from_arrays([pa.array(range(len(names)), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], ["i", "n"])
 
     counts = np.zeros((len(names), BUCKETS))
-    for r in texts.select("text", "lang").mapInArrow(count, "i int, n binary").toLocalIterator():
+    for r in texts.select("text", "lang").mapInArrow(trimmed(count), "i int, n binary").toLocalIterator():
         counts[r.i] += np.frombuffer(r.n, np.int64)
     return names, np.log((counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True))
 
@@ -90,7 +90,7 @@ def evidence(pages: DataFrame, names: list[str], logp: np.ndarray, *, trust: flo
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(said, pa.string()), pa.array(like.tolist(), doubles), pa.array(markup_like.tolist(), doubles), pa.array(first.tolist(), doubles)], ["page_id", "host", "declared", "like", "said", "first"])
 
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    made = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"), host.alias("host")).mapInArrow(rows, "page_id long, host string, declared string, like array<double>, said array<double>, first array<double>")
+    made = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"), host.alias("host")).mapInArrow(trimmed(rows), "page_id long, host string, declared string, like array<double>, said array<double>, first array<double>")
     return made.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
 
 

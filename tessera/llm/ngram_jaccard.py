@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .components import components
-from .text import LOWER, chunks, column, hash_spans, mix, ngrams, row_unique, word_spans
+from .text import LOWER, chunks, column, hash_spans, mix, ngrams, row_unique, trimmed, word_spans
 
 _SETS = "doc_id long, n long, key long, prefix binary"
 
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
                     ["doc_id", "n", "key", "prefix"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, _SETS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(rows), _SETS)
 
 
 def _shared_counts(sets: DataFrame, parts: int) -> DataFrame:
@@ -176,9 +176,9 @@ def _shared_counts(sets: DataFrame, parts: int) -> DataFrame:
             keys, back = np.unique(k, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(back, weights=n).astype(np.int64))], ["key", "c"])
 
-    blocks = sets.select("key", "prefix").mapInArrow(send, "bucket int, hashes binary, own binary, keys binary")
-    met = blocks.repartition(parts, "bucket").mapInArrow(meet, "slot int, keys binary, n binary")
-    return met.repartition(parts, "slot").mapInArrow(total, "key long, c long")
+    blocks = sets.select("key", "prefix").mapInArrow(trimmed(send), "bucket int, hashes binary, own binary, keys binary")
+    met = blocks.repartition(parts, "bucket").mapInArrow(trimmed(meet), "slot int, keys binary, n binary")
+    return met.repartition(parts, "slot").mapInArrow(trimmed(total), "key long, c long")
 
 
 class _Index:
@@ -288,7 +288,7 @@ def _whole_sets(docs: DataFrame, left: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], ["key", "n", "hashes"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    whole = texts.join(left.select("key", F.col("doc_id").alias("rep")).hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key").mapInArrow(again, "key long, n long, hashes array<long>")
+    whole = texts.join(left.select("key", F.col("doc_id").alias("rep")).hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key").mapInArrow(trimmed(again), "key long, n long, hashes array<long>")
     return store.saved(whole.dropDuplicates(["key"]), "jaccard-sets")
 
 

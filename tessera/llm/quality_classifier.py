@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import labelled, store
-from .text import LOWER, chunks, column, hash_spans, word_spans
+from .text import LOWER, chunks, column, hash_spans, trimmed, word_spans
 
 BUCKETS, DIM = 1 << 13, 48
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 x = pool(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], model.words, model.shapes)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(model.scores(x))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(rows), "doc_id long, score double")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

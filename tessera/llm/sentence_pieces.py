@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .text import UnitCache, chunks, column, gather, lists, mix, powers
+from .text import UnitCache, chunks, column, gather, lists, mix, powers, trimmed
 
 MARK = "▁"
 _STEP = 0xC2B2AE3D27D4EB4F
@@ -273,7 +273,7 @@ def encode(docs: DataFrame, path: str, *, check: bool = True) -> DataFrame:
                     cols.append(pa.array([was[a:b] == now[c:d] for a, b, c, d in zip(po[:-1].tolist(), po[1:].tolist(), oo[:-1].tolist(), oo[1:].tolist(), strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n_ids", "round_trip"][: len(cols)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, ids array<int>, n_ids int" + ", round_trip boolean" * check)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(rows), "doc_id long, ids array<int>, n_ids int" + ", round_trip boolean" * check)
 
 
 def decode(ids: DataFrame, path: str) -> DataFrame:
@@ -292,7 +292,7 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
             live = np.asarray(col.is_valid())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[a:b].decode("utf-8", "replace") if v else None for a, b, v in zip(oo[:-1].tolist(), oo[1:].tolist(), live.tolist(), strict=True)], pa.string())], ["doc_id", "text"])
 
-    return ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(rows, "doc_id long, text string")
+    return ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(trimmed(rows), "doc_id long, text string")
 
 
 def piece_bpe_path() -> str:

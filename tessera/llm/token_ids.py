@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store
-from .text import SPACE, UnitCache, chunks, column, gather
+from .text import SPACE, UnitCache, chunks, column, gather, trimmed
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
@@ -47,6 +47,11 @@ _DOUBT = np.zeros(256, bool)
 _DOUBT[[0xC2, 0x80, 0x81, 0x9A]] = True
 
 
+def _solid(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Whether a character, by its last byte and the one before, can't be white space."""
+    return np.where(last >= 0x80, ~_DOUBT[before], (last > 0x20) & (last != 0x7F))
+
+
 def unit_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cut texts where the byte-level pattern always cuts: before white space and before points that follow a letter.
 
@@ -56,12 +61,10 @@ def unit_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    b1 = np.concatenate(([0], buf[:-1])).astype(np.uint8)
-    b2 = np.concatenate(([0, 0], buf[:-2])).astype(np.uint8)[:n]
-    high = b1 >= 0x80
-    solid = np.where(high, ~_DOUBT[b2], (b1 > 0x20) & (b1 != 0x7F))
-    letter = _ALPHA[b1] | high & (b2 == 0xC3) & (b1 != 0x97) & (b1 != 0xB7)
-    cut = SPACE[buf] & solid | _POINT[buf] & letter
+    b1 = np.concatenate((np.zeros(1, np.uint8), buf[:-1]))
+    b2 = np.concatenate((np.zeros(2, np.uint8), buf[:-2]))[:n]
+    letter = _ALPHA[b1] | (b1 >= 0x80) & (b2 == 0xC3) & (b1 != 0x97) & (b1 != 0xB7)
+    cut = SPACE[buf] & _solid(b1, b2) | _POINT[buf] & letter
     cut[offs[:-1][offs[:-1] < n]] = True
     starts = np.flatnonzero(cut)
     return starts, np.append(starts[1:], n), np.searchsorted(starts, offs)
@@ -75,36 +78,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        # A token is written with one character a byte; added tokens are written as they are.
+        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max([*vocab.values(), *added]) + 1, np.int64)
+        self.sizes[list(vocab.values())] = [len(x) for x in vocab]
+        self.sizes[list(added)] = list(added.values())
         self.cache = UnitCache(self._encode)
 
     def _encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Plain units go to the library joined by line feeds, each of which is one id; others go alone."""
-        lens = ends - starts
-        first, second = buf[starts], buf[np.minimum(starts + 1, ends - 1)]
-        plain = (first > 0x20) | (first == 0x20) & (second > 0x20) & (lens > 1)
+        """Units that begin with a space and end so that a space after them is a cut go to the library in strings of
+        many, which it cuts where they meet; the bytes of the ids tell them apart. Others go alone."""
         data = buf.tobytes()
-        units = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        for i in np.flatnonzero(plain).tolist():
-            if len(units[i].split()) != 1:
-                plain[i] = False
-        groups = [g.tolist() for g in np.array_split(np.flatnonzero(plain), max(1, int(plain.sum()) // 256))]
+        units = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        joins = SPACE[buf[starts]] & _solid(buf[ends - 1], buf[np.maximum(ends - 2, 0)])
+        groups = [g for g in np.array_split(np.flatnonzero(joins), max(1, int(joins.sum()) // 256)) if len(g)]
         got: list = [None] * len(units)
-        for g, e in zip(groups, self._batch(["\n".join([*(units[i] for i in g), ""]) for g in groups]), strict=True):
+        alone = np.flatnonzero(~joins).tolist()
+        for g, e in zip(groups, self._batch([b"".join([units[i] for i in g.tolist()]) for g in groups]), strict=True):
             ids = np.array(e, np.int32)
-            at = np.flatnonzero(ids == self.newline)
-            if len(at) != len(g):
-                plain[g] = False
+            reach, wanted = np.cumsum(self.sizes[ids]), np.cumsum(ends[g] - starts[g])
+            at = np.minimum(np.searchsorted(reach, wanted), len(ids) - 1)
+            if (reach[at] != wanted).any():
+                alone += g.tolist()
                 continue
-            for i, a, b in zip(g, [0, *(at[:-1] + 1).tolist()], at.tolist(), strict=True):
+            cut = at + 1
+            for i, a, b in zip(g.tolist(), [0, *cut[:-1].tolist()], cut.tolist(), strict=True):
                 got[i] = ids[a:b]
-        alone = np.flatnonzero(~plain).tolist()
         for i, e in zip(alone, self._batch([units[i] for i in alone]), strict=True):
             got[i] = np.array(e, np.int32)
         return np.concatenate([np.zeros(0, np.int32), *got]), np.array([len(x) for x in got], np.int64)
 
-    def _batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _batch(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of every row with END_ID after each, and the row offsets."""
@@ -205,7 +211,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, bits: int = 8, block: i
             yield close()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(segments, FILE_SCHEMA).write.mode("overwrite").parquet(path)
+    ordered.mapInArrow(trimmed(segments), FILE_SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -241,7 +247,7 @@ def _documents(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, part int, seg int, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return spark.read.schema(FILE_SCHEMA).parquet(path).select("part", "seg", "doc_ids", "data").mapInArrow(rows, schema)
+    return spark.read.schema(FILE_SCHEMA).parquet(path).select("part", "seg", "doc_ids", "data").mapInArrow(trimmed(rows), schema)
 
 
 def byte_bpe_path() -> str:

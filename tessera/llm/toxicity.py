@@ -1,15 +1,21 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-case words and their first five bytes. All terms of a bounded sample of labelled documents (`examples`)
-are kept; their document frequencies are counted over all documents. Each example is a vector of tf-idf weights. The
-index keeps, for every term, the weights of the examples that have it and the largest weight in each block of examples;
-for a document, sums of block maxima bound the cosines of a block. The blocks of the largest bounds are visited, then
-all whose bound reaches the k-th cosine: the result is exact. Terms of no example don't count in a document's length.
-The k nearest vote with their cosines; a logistic curve fitted on leave-one-out votes turns votes into probabilities.
-
-A text without any term of an example (an empty or null one too) has no neighbour and gets the share of toxic documents among
-such examples. Ties of cosine go to the smaller example doc_id. Without labels every score is 0.5. Repeated rows get
-equal scores; an empty table gives an empty table; other columns are not read.
+are kept; their document frequencies are counted over all documents. Each example is a vector of tf-idf weights.
+
+The index keeps, for every term, the weights of the examples that have it (its posting list) and the largest weight in
+each block of examples; examples are dealt to blocks of like ones. Lists of many examples are stored as dense rows.
+Documents are searched together: the short lists are added up; the largest such sum of a block and the block maxima of
+the long lists bound the cosines of the block. The blocks of the largest bounds are visited, then all whose bound
+reaches the k-th cosine: the result is exact. Terms of no example don't count in a document's length, which scales all
+its cosines alike.
+
+The k nearest, with all that are as near as the k-th, vote with their cosines, so that no order decides; a logistic
+curve fitted on leave-one-out votes turns votes into probabilities. The voters are returned as evidence.
+
+A text without any term of an example (an empty or null one too) has no neighbour and gets the share of toxic documents
+among such examples. Without labels every score is 0.5. Repeated rows get equal scores; an empty table gives an empty
+table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,9 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import labelled, store
-from .text import LOWER, chunks, column, gather, hash_spans
+from .text import LOWER, Sums, Table, chunks, column, gather, lists, trimmed
 
 BLOCK = 64
+#: Documents that are searched together.
+ROWS = 256
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -41,30 +49,85 @@ def terms_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     ends = np.flatnonzero(word & (np.concatenate((~word[1:], [True])) | head[1:])) + 1
     rows = np.searchsorted(offs, starts, "right") - 1
     long = ends - starts > 5
-    pre = hash_spans(low, starts[long], starts[long] + 5, seed=5)
-    return np.concatenate((hash_spans(low, starts, ends), pre)), np.concatenate((rows, rows[long]))
+    sums = Sums(low)
+    return np.concatenate((sums.hashes(starts, ends), sums.hashes(starts[long], starts[long] + 5, 5))), np.concatenate((rows, rows[long]))
+
+
+def like_order(z: np.ndarray) -> np.ndarray:
+    """An order of the rows of z in which blocks of BLOCK rows are alike: halves along the widest direction, and so on."""
+    done, todo = [], [np.arange(len(z))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= BLOCK:
+            done.append(part)
+            continue
+        x = z[part] - z[part].mean(axis=0)
+        order = np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")
+        half = -(-len(part) // BLOCK // 2) * BLOCK
+        todo += [part[order[half:]], part[order[:half]]]
+    return np.concatenate(done) if done else np.zeros(0, np.int64)
 
 
 class Postings:
-    """Weights of terms (rows) in examples (columns), by term, then example; parts are those of a term in a block."""
+    """Weights of terms in examples: lists by term, the longest ones (at most `most`, each longer than a block) as rows of
+    a dense matrix with their largest weights by block."""
 
-    def __init__(self, terms: int, examples: int, t: np.ndarray, col: np.ndarray, w: np.ndarray):
+    def __init__(self, terms: int, examples: int, t: np.ndarray, col: np.ndarray, w: np.ndarray, most: int = 2048):
         order = np.lexsort((col, t))
-        t, self.col, self.w = t[order], col[order], w[order]
-        self.shape = (terms, examples)
-        key = t * (examples // BLOCK + 1) + self.col // BLOCK
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        self.parts, self.block = np.append(starts, len(key)), self.col[starts] // BLOCK
-        self.top = np.maximum.reduceat(self.w, starts) if len(starts) else self.w
-        self.rows = np.searchsorted(t[starts], np.arange(terms + 1))
-
-    def __getitem__(self, terms: np.ndarray) -> np.ndarray:
-        """The whole rows of some terms."""
-        out = np.zeros((len(terms), self.shape[1]), np.float32)
-        for i, t in enumerate(terms):
-            a, b = self.parts[self.rows[t]], self.parts[self.rows[t + 1]]
-            out[i, self.col[a:b]] = self.w[a:b]
-        return out
+        t, col, w = t[order], col[order], w[order]
+        n = np.bincount(t, minlength=terms)
+        short = max(BLOCK, int(np.partition(n, len(n) - most - 1)[len(n) - most - 1])) if len(n) > most else BLOCK
+        self.blocks = -(-examples // BLOCK)
+        self.width = self.blocks * BLOCK
+        self.row = np.full(terms, -1, np.int64)
+        self.row[n > short] = np.arange(int((n > short).sum()))
+        long = self.row[t] >= 0
+        self.dense = np.zeros((int((n > short).sum()), self.width), np.float32)
+        self.dense[self.row[t[long]], col[long]] = w[long]
+        self.top = self.dense.reshape(len(self.dense), self.blocks, BLOCK).max(axis=2) if self.blocks else np.zeros((0, 0), np.float32)
+        self.col, self.w = col[~long], w[~long]
+        self.offs = np.concatenate(([0], np.cumsum(np.where(n > short, 0, n))))
+
+    def nearest(self, rows: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, k: int, leave: np.ndarray | None = None) -> np.ndarray:
+        """Cosines of n documents (row, term and weight of their entries) with all examples: those of the k nearest and of
+        all that are as near are exact, others may be too small. leave: an example of each document that doesn't count."""
+        row = self.row[term]
+        x = np.zeros((n, len(self.dense)), np.float32)
+        x[rows[row >= 0], row[row >= 0]] = w[row >= 0]
+        at, ends = gather(term[row < 0], self.offs)
+        own = np.diff(ends)
+        flat = np.bincount(np.repeat(rows[row < 0], own) * self.width + self.col[at], weights=np.repeat(w[row < 0], own) * self.w[at], minlength=n * self.width)
+        cos = flat.astype(np.float32).reshape(n, self.blocks, BLOCK)
+        if leave is not None:
+            # An example left out starts below any cosine.
+            cos.reshape(n, -1)[np.arange(n), leave] = -2
+        bounds = np.maximum(cos.max(axis=2), 0) + x @ self.top
+        done = np.zeros(bounds.shape, bool)
+        first = np.argpartition(-bounds, min(8, self.blocks) - 1, axis=1)[:, :8]
+        np.put_along_axis(done, first, True, axis=1)
+        for b in np.flatnonzero(done.any(axis=0)).tolist():
+            r = np.flatnonzero(done[:, b])
+            cos[r, b] += x[r] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+        seen = np.take_along_axis(cos, first[:, :, None], axis=1).reshape(n, -1)
+        kth = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k] if k < seen.shape[1] else np.zeros(n, np.float32)
+        wanted = (bounds + 1e-4 >= kth[:, None]) & (bounds > 0)
+        for b in range(0, self.blocks, 8):
+            todo = wanted[:, b : b + 8] & ~done[:, b : b + 8]
+            r = np.flatnonzero(todo.any(axis=1))
+            if not len(r):
+                continue
+            every = len(r) > 0.9 * n
+            r = np.arange(n) if every else r
+            more = ((x if every else x[r]) @ self.dense[:, b * BLOCK : (b + 8) * BLOCK]).reshape(len(r), -1, BLOCK)
+            fresh = ~done[r, b : b + 8]
+            more *= fresh[:, :, None]
+            if every:
+                cos[:, b : b + 8] += more
+            else:
+                cos[r, b : b + 8] += more
+            done[r, b : b + 8] = True
+        cos *= done[:, :, None]
+        return cos.reshape(n, -1)
 
 
 @dataclass
@@ -82,51 +145,39 @@ class Index:
     shift: float = 0.0
     k: int = 16
 
-    def vectors(self, buf: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Terms and unit-length weights of each row."""
+    def __post_init__(self) -> None:
+        self.table = Table(self.keys)
+
+    def vectors(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term and unit-length weight of the entries of each row, by row and term."""
         h, rows = terms_of(buf, offs)
-        at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
-        hit = self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
-        pair, n = np.unique(rows[hit] * max(1, len(self.keys)) + at[hit], return_counts=True)
+        hit, at = self.table.find(h)
+        pair, n = np.unique(rows[hit] * max(1, len(self.keys)) + at, return_counts=True)
         row, term = np.divmod(pair, max(1, len(self.keys)))
         w = (1 + np.log(n)) * self.idf[term]
         norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(offs) - 1))
-        w = (w / np.maximum(norm[row], 1e-12)).astype(np.float32)
-        cut = np.searchsorted(row, np.arange(len(offs)))
-        return [(term[a:b], w[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest positive cosine, exactly, without example `leave`."""
-        index, n = self.weights, len(self.ids)
-        part, ends = gather(terms, index.rows)
-        block, own = index.block[part], np.repeat(w, np.diff(ends))
-        bounds = np.bincount(block, weights=own * index.top[part], minlength=-(-n // BLOCK))
-        best_c, best_i = np.zeros(0), np.zeros(0, np.int64)
-        left = bounds > 0
-        first = np.zeros(len(left), bool)
-        first[np.argsort(-bounds, kind="stable")[:8]] = True
-        for take in (first & left, left & ~first):
-            if len(best_c) == k:
-                take &= bounds + 1e-5 >= best_c[-1]
-            some = take[block]
-            at, e = gather(part[some], index.parts)
-            c = np.bincount(index.col[at], weights=np.repeat(own[some], np.diff(e)) * index.w[at], minlength=n)
-            if leave >= 0:
-                c[leave] = 0
-            good = np.flatnonzero(c > 0)
-            if len(good) > k:
-                good = good[c[good] >= np.partition(c[good], -k)[-k]]
-            best_c, best_i = np.concatenate((best_c, c[good])), np.concatenate((best_i, good))
-            top = np.lexsort((best_i, -best_c))[:k]
-            best_c, best_i = best_c[top], best_i[top]
-        return best_c, best_i
-
-    def vote(self, c: np.ndarray, i: np.ndarray) -> float:
-        return float((c @ self.y[i] + 0.5 * self.prior) / (c.sum() + 0.5))
-
-    def score(self, vote: float) -> float:
-        z = self.slope * np.log(vote / (1 - vote)) + self.shift
-        return float(1 / (1 + np.exp(-z)))
+        return row, term, (w / np.maximum(norm[row], 1e-12)).astype(np.float32)
+
+    def votes(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For n documents the votes (nan: without a neighbour) and, by document, its neighbours and their cosines, the
+        nearest first: the k nearest and all as near as the last of them."""
+        if not len(self.ids) or not n:
+            z = np.zeros(0, np.int64)
+            return np.full(n, np.nan), z, np.zeros(0, np.float32), np.zeros(n + 1, np.int64)
+        cos = self.weights.nearest(row, term, w, n, self.k, leave)
+        kth = np.partition(cos, cos.shape[1] - self.k, axis=1)[:, cos.shape[1] - self.k] if self.k < cos.shape[1] else np.zeros(n, np.float32)
+        r, i = np.nonzero((cos >= kth[:, None] - 1e-6) & (cos > 1e-6))
+        c = cos[r, i]
+        order = np.lexsort((self.ids[i], -c, r))
+        r, i, c = r[order], i[order], c[order]
+        total = np.bincount(r, weights=c, minlength=n)
+        vote = (np.bincount(r, weights=c * self.y[i], minlength=n) + 0.5 * self.prior) / (total + 0.5)
+        return np.where(total > 0, vote, np.nan), i, c, np.searchsorted(r, np.arange(n + 1))
+
+    def scores(self, vote: np.ndarray) -> np.ndarray:
+        live = ~np.isnan(vote)
+        safe = np.where(live, vote, 0.5)
+        return np.where(live, 1 / (1 + np.exp(-(self.slope * np.log(safe / (1 - safe)) + self.shift))), self.none)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, column_name: str = "toxic", mod: int = 4, rest: int = 2, examples: int = 8000, k: int = 16) -> Index:
@@ -140,49 +191,61 @@ def fit(docs: DataFrame, labels: DataFrame, *, column_name: str = "toxic", mod:
 
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = (pos + 1) / (n + 2)
-    keys = np.sort(rows.select("text").mapInArrow(distinct, "term long").distinct().toArrow().column(0).to_numpy().view(np.uint64))
+    keys = np.sort(rows.select("text").mapInArrow(trimmed(distinct), "term long").distinct().toArrow().column(0).to_numpy().view(np.uint64))
+
+    table = Table(keys)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, total = np.zeros(len(keys), np.int64), 0
         for batch in batches:
             buf, offs = column(batch)
             total += batch.num_rows
-            for i, j in chunks(offs, 1 << 21):
+            for i, j in chunks(offs, 1 << 19):
                 h, r = terms_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                df += np.bincount(np.unique(r[hit] * len(keys) + at[hit]) % max(1, len(keys)), minlength=len(keys))[: len(keys)] if hit.any() else 0
+                hit, at = table.find(h)
+                if len(at):
+                    df += np.bincount(np.unique(r[hit] * len(keys) + at) % len(keys), minlength=len(keys))
         met = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1), pa.int32()), pa.array(np.append(df[met], total))], ["i", "n"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(partial, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(trimmed(partial), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(keys) + 1, np.int64)
     df[found.column(0).to_numpy()] = found.column(1).to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    none_yet = Postings(len(keys), 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-    index = Index(keys, idf, np.zeros(0, np.int64), np.zeros(0), none_yet, prior, prior, k=k)
+    index = Index(keys, idf, np.zeros(0, np.int64), np.zeros(0), Postings(0, 0, *np.zeros((3, 0), np.int64)), prior, prior, k=k)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = column(batch)
-            v = index.vectors(buf, offs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([t.astype(np.int64).tobytes() for t, _ in v], pa.binary()), pa.array([w.tobytes() for _, w in v], pa.binary())], ["doc_id", "y", "t", "w"])
+            row, t, w = index.vectors(*column(batch))
+            cut = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()) for x in (t.astype(np.int64), w))], ["doc_id", "y", "t", "w"])
 
-    got = sorted(rows.select("doc_id", "text", "y").mapInArrow(vectors, "doc_id long, y int, t binary, w binary").collect())
+    got = sorted(rows.select("doc_id", "text", "y").mapInArrow(trimmed(vectors), "doc_id long, y int, t binary, w binary").collect())
     some = [(r.doc_id, r.y, np.frombuffer(r.t, np.int64), np.frombuffer(r.w, np.float32)) for r in got if r.t]
-    none = [r for r in got if not r.t]
-    # Blocks of like examples have tight bounds: by strongest term of several examples, then doc_id.
-    shared = np.bincount(np.concatenate([t for _, _, t, _ in some]), minlength=len(keys)) >= 8 if some else np.zeros(0, bool)
-    some.sort(key=lambda r: (r[2][int(np.argmax(r[3] * (shared[r[2]] + 1e-6)))], r[0]))
+    none = [r.y for r in got if not r.t]
+    index.none = (sum(none) + prior) / (len(none) + 1)
+    store.drop(rows)
+    if not some:
+        return index
+    # A few random directions tell which examples are alike.
+    spread = np.random.default_rng(9).normal(size=(len(keys), 32)).astype(np.float32)
+    order = like_order(np.array([w @ spread[t] for _, _, t, w in some]))
+    some = [some[i] for i in order.tolist()]
     index.ids, index.y = np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some], np.float64)
-    if some:
-        index.weights = Postings(len(keys), len(some), np.concatenate([r[2] for r in some]), np.repeat(np.arange(len(some)), [len(r[2]) for r in some]), np.concatenate([r[3] for r in some]))
-    index.none = (sum(r.y for r in none) + prior) / (len(none) + 1)
+    sizes = np.array([len(r[2]) for r in some])
+    terms, weights, col = np.concatenate([r[2] for r in some]), np.concatenate([r[3] for r in some]), np.repeat(np.arange(len(some)), sizes)
+    index.weights = Postings(len(keys), len(some), terms, col, weights)
     # Leave-one-out votes of up to 2000 examples calibrate the score.
-    picked = range(0, len(some), max(1, len(some) // 2000))
-    votes = np.array([index.vote(*index.nearest(some[i][2], some[i][3], k, i)) for i in picked])
-    if len(votes) and 0 < index.y[list(picked)].sum() < len(votes):
-        x, t = np.log(votes / (1 - votes)), index.y[list(picked)]
+    picked = np.arange(0, len(some), max(1, len(some) // 2000))
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    votes = []
+    for part in np.array_split(picked, -(-len(picked) // ROWS)):
+        at, ends = gather(part, starts)
+        votes.append(index.votes(np.repeat(np.arange(len(part)), np.diff(ends)), terms[at], weights[at], len(part), part)[0])
+    vote = np.concatenate(votes)
+    live = ~np.isnan(vote)
+    x, t = np.log(vote[live] / (1 - vote[live])), index.y[picked][live]
+    if 0 < t.sum() < len(t):
         a, b = 1.0, 0.0
         for _ in range(50):
             p = 1 / (1 + np.exp(-(a * x + b)))
@@ -194,31 +257,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, column_name: str = "toxic", mod:
             if abs(d).max() < 1e-8:
                 break
         index.slope, index.shift = float(max(a, 1e-3)), float(b)
-    store.drop(rows)
-    spark.catalog.clearCache()
     return index
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
-    """doc_id, score, nearest (example doc_ids, the nearest first) and cosines of every row."""
+    """doc_id, score, nearest (doc_ids of the examples that vote, the nearest first) and their cosines of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = column(batch)
-            for i, j in chunks(offs, 1 << 21):
-                out: list[list] = [[], [], []]
-                for t, w in index.vectors(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
-                    if len(t):
-                        c, n = index.nearest(t, w, index.k)
-                    if not len(t) or not len(c):
-                        for o, v in zip(out, (index.none, [], []), strict=True):
-                            o.append(v)
-                        continue
-                    for o, v in zip(out, (index.score(index.vote(c, n)), index.ids[n[:3]].tolist(), c[:3].tolist()), strict=True):
-                        o.append(v)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(out[0], pa.float64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float32()))], ["doc_id", "score", "nearest", "cosines"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, score double, nearest array<long>, cosines array<float>")
+            for i, j in chunks(offs, 1 << 19):
+                row, term, w = index.vectors(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                for a in range(0, j - i, ROWS):
+                    n = min(ROWS, j - i - a)
+                    lo, hi = np.searchsorted(row, (a, a + n))
+                    vote, near, c, cut = index.votes(row[lo:hi] - a, term[lo:hi], w[lo:hi], n)
+                    found = index.ids[near] if len(near) else near
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + a, n), pa.array(index.scores(vote)), lists(found, cut, pa.int64()), lists(c, cut, pa.float32())], ["doc_id", "score", "nearest", "cosines"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(rows), "doc_id long, score double, nearest array<long>, cosines array<float>")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import components, decontaminate, language_id, ngram_jaccard, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, token_ids, toxicity, warc
-from tessera.llm.text import column
+from tessera.llm.text import Table, UnitCache, column, hash_spans
 
 SF = "/root/testdata/sf0.001"
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu", "ÉTÉ", "naïve", "x", "Yy"]
@@ -81,6 +81,57 @@ def test_token_ids_equal_the_library(spark, tmp_path):
     assert token_ids.digests(spark, path + "0").count() == 0
 
 
+ODD_CHARACTERS = ["a", "b", "c", "d", "'", "'s", "'ll", "\u200b", "\u007f", "\u001c", "\u001f", "\u2028", "\u0085", "\u00a0", "\u3000", "\u1680", "\n", "\r", "\t", " ", "  ", ".", "#", ",", "é", "Ã", "×", "中", "😀", "1", "٣", "<|endoftext|>", "A", "\u0300", "ß"]
+
+
+def thue_morse(n=10):
+    """Two words whose polynomial sums modulo 2**64 are equal for every base."""
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return [x, x.translate(str.maketrans("ab", "ba"))]
+
+
+def encoded(encoder, texts):
+    ids, io = encoder.encode(*column(pa.record_batch([pa.array(texts, pa.large_string())], ["text"])))
+    return [ids[a:b].tolist() for a, b in zip(io, io[1:], strict=False)]
+
+
+def test_token_ids_of_odd_characters_equal_the_library():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    tok, own = Tokenizer.from_file(token_ids.byte_bpe_path()), token_ids.Encoder(token_ids.byte_bpe_path())
+    texts = ["".join(rng.choice(ODD_CHARACTERS) for _ in range(rng.randint(0, n))) for n in (6, 12, 40) for _ in range(4000)]
+    texts += ["d\n 'ab.\tb#\u200b\n", "\nbe\u200bc\tc' c\u200b\n", "cff0ba\u200b.#c'a", "a' .e'\nd,'c "]
+    for batch in (texts, thue_morse(), texts[::-1]):
+        assert encoded(own, batch) == [[*e.ids, 2] for e in tok.encode_batch(batch, add_special_tokens=False)]
+
+
+def test_unit_cache_tells_units_of_one_hash_apart():
+    cache = UnitCache(lambda b, s, e: (np.concatenate([b[x:y] for x, y in zip(s, e, strict=True)]).astype(np.int32), e - s))
+    buf, starts, ends = np.frombuffer(b"aabbaabcaa", np.uint8), np.array([0, 2, 4, 7]), np.array([2, 4, 7, 10])
+    for _ in range(2):
+        rows = cache.lookup(buf, starts, ends, np.array([1, 1, 1, 2], np.uint64))
+        assert [bytes(cache.ids[cache.offs[i] : cache.offs[i + 1]].astype(np.uint8)) for i in rows] == [b"aa", b"bb", b"aab", b"caa"]
+
+
+def test_hashes_tell_thue_morse_words_apart():
+    buf, offs = column(pa.record_batch([pa.array(thue_morse(12), pa.large_string())], ["text"]))
+    h = hash_spans(buf, offs[:-1], offs[1:])
+    assert h[0] != h[1]
+
+
+def test_table_finds_what_bisection_finds():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        asked = np.concatenate((keys[::2], rng.integers(0, 1 << 64, 50, dtype=np.uint64), keys, np.zeros(1, np.uint64)))
+        hit, at = Table(keys).find(asked)
+        want = [(i, int(np.searchsorted(keys, x))) for i, x in enumerate(asked) if x in keys]
+        assert list(zip(hit.tolist(), at.tolist(), strict=True)) == want
+
+
 # --- sentence pieces
 
 
@@ -88,7 +139,8 @@ def test_pieces_equal_the_library():
     import sentencepiece as sp
 
     m, lib, rng = sentence_pieces.model(sentence_pieces.piece_bpe_path()), sp.SentencePieceProcessor(model_file=sentence_pieces.piece_bpe_path()), random.Random(2)
-    texts = ["".join(rng.choice("aabcdehtinosr  \n\tàé▁中😀0.1!_ATñ") for _ in range(rng.randint(0, 60))) for _ in range(800)] + ["", " ", " " * 70, "x" * 400]
+    texts = ["".join(rng.choice("aabcdehtinosr  \n\tàé▁中😀0.1!_ATñ") for _ in range(rng.randint(0, 60))) for _ in range(800)] + ["", " ", " " * 70, "x" * 400, *thue_morse()]
+    texts += ["".join(rng.choice(ODD_CHARACTERS) for _ in range(rng.randint(0, 30))) for _ in range(800)]
     buf, offs = column(pa.record_batch([pa.array(texts)], ["text"]))
     ids, io = m.encode(buf, offs)
     assert [ids[a:b].tolist() for a, b in zip(io, io[1:], strict=False)] == lib.encode(texts)
@@ -332,16 +384,60 @@ def test_toxicity_finds_held_out_labels(spark):
     assert toxicity.score(empty(spark), toxicity.fit(docs, labels.limit(0))).count() == 0
 
 
-def test_block_max_search_is_exact(spark):
+@pytest.mark.parametrize("most", [0, 3, 10_000])
+def test_block_max_search_is_exact(most):
+    rng = np.random.default_rng(0)
+    terms, examples, k = 60, 700, 16
+    weights = np.where(rng.random((terms, examples)) < rng.choice([0.02, 0.3, 0.8], (terms, 1)), rng.random((terms, examples)), 0).astype(np.float32)
+    weights[:, 300:330] = weights[:, 299:300]  # ties
+    t, col = np.nonzero(weights)
+    lists = toxicity.Postings(terms, examples, t, col, weights[t, col], most=most)
+    docs = np.where(rng.random((40, terms)) < 0.2, rng.random((40, terms)), 0).astype(np.float32)
+    docs[0], docs[1] = 0, weights[:, 300]
+    row, term = np.nonzero(docs)
+    index = toxicity.Index(np.arange(terms, dtype=np.uint64), np.ones(terms), np.arange(examples), rng.integers(0, 2, examples).astype(float), lists, 0.1, 0.2, k=k)
+    vote, near, cosines, cut = index.votes(row, term, docs[row, term], 40)
+    for i in range(40):
+        every = docs[i] @ weights
+        kth = np.sort(every)[-k]
+        want = np.flatnonzero((every >= kth - 1e-6) & (every > 1e-6))
+        assert sorted(near[cut[i] : cut[i + 1]].tolist()) == want.tolist()
+        assert np.allclose(cosines[cut[i] : cut[i + 1]], np.sort(every[want])[::-1], atol=1e-5)
+    assert np.isnan(vote[0]) and cut[2] - cut[1] >= 31
+
+
+def test_toxicity_scores_equal_brute_force(spark):
     docs, labels = labelled_docs(spark)
     index = toxicity.fit(docs, labels)
-    rng = np.random.default_rng(0)
-    for _ in range(50):
-        t = np.sort(rng.choice(len(index.keys), min(3, len(index.keys)), replace=False))
-        w = rng.random(len(t)).astype(np.float32)
-        c, i = index.nearest(t, w, 5)
-        every = w @ index.weights[t]
-        assert np.allclose(c, np.sort(every[every > 0])[::-1][:5])
+    rows = [r for r in docs.collect() if r.doc_id is not None]
+    terms = lambda x: [y for w in re.findall(rb"[0-9a-z\x80-\xff]+", (x or "").encode().lower()) for y in ([w, b"^" + w[:5]] if len(w) > 5 else [w])]
+    bags = {r.doc_id: defaultdict(int) for r in rows}
+    for r in rows:
+        for w in terms(r.text):
+            bags[r.doc_id][w] += 1
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and r.doc_id is not None}
+    known = [i for i in bags if i in toxic and zlib.crc32(str(i).encode()) % 4 != 2]
+    vocab = {w for i in known for w in bags[i]}
+    df, n = defaultdict(int), docs.count()
+    for r in docs.collect():
+        for w in set(terms(r.text)):
+            df[w] += 1
+
+    def vector(bag):
+        v = {w: (1 + np.log(c)) * (np.log((1 + n) / (1 + df[w])) + 1) for w, c in bag.items() if w in vocab}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    vectors = {i: vector(bags[i]) for i in bags}
+    got = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
+    prior = (sum(toxic[i] for i in known) + 1) / (len(known) + 2)
+    for i in [*range(0, 600, 7), 902]:
+        cos = sorted(((sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()), j) for j in known), reverse=True)
+        voters = [(c, j) for c, j in cos if c >= cos[15][0] - 1e-6 and c > 1e-6]
+        vote = (sum(c * toxic[j] for c, j in voters) + 0.5 * prior) / (sum(c for c, _ in voters) + 0.5)
+        assert abs(float(index.scores(np.array([vote]))[0]) - got[i].score) < 1e-3
+        near = {j for c, j in cos if c >= cos[15][0] + 1e-5 and c > 1e-5}
+        assert near <= set(got[i].nearest) <= {j for c, j in cos if c >= cos[15][0] - 1e-5}
 
 
 def test_copy_of_an_example_with_rare_words_is_found(spark):
