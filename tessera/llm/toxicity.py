@@ -72,9 +72,10 @@ class Postings:
     """Weights of terms in examples: lists by term, the longest ones (at most `most`, each longer than a block) as rows of
     a dense matrix with their largest weights by block."""
 
-    def __init__(self, terms: int, examples: int, t: np.ndarray, col: np.ndarray, w: np.ndarray, most: int = 2048):
-        order = np.lexsort((col, t))
-        t, col, w = t[order], col[order], w[order]
+    def __init__(self, terms: int, examples: int, t: np.ndarray, col: np.ndarray, w: np.ndarray, most: int = 1280):
+        order = np.argsort(t.astype(np.int64) * max(1, examples) + col)
+        t, col, w = t[order], col[order].astype(np.int32), w[order]
+        del order
         n = np.bincount(t, minlength=terms)
         short = max(BLOCK, int(np.partition(n, len(n) - most - 1)[len(n) - most - 1])) if len(n) > most else BLOCK
         self.blocks = -(-examples // BLOCK)
@@ -180,7 +181,7 @@ class Index:
         return np.where(live, 1 / (1 + np.exp(-(self.slope * np.log(safe / (1 - safe)) + self.shift))), self.none)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, column_name: str = "toxic", mod: int = 4, rest: int = 2, examples: int = 8000, k: int = 16) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, *, column_name: str = "toxic", mod: int = 4, rest: int = 2, examples: int = 6000, k: int = 16) -> Index:
     """The index of at most `examples` labelled rows and all their terms; nothing larger reaches the driver."""
     spark = docs.sparkSession
     rows = store.saved(labelled.sample(docs, labels, column_name, mod, rest, examples), "labelled")
@@ -218,26 +219,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, column_name: str = "toxic", mod:
         for batch in batches:
             row, t, w = index.vectors(*column(batch))
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()) for x in (t.astype(np.int64), w))], ["doc_id", "y", "t", "w"])
-
-    got = sorted(rows.select("doc_id", "text", "y").mapInArrow(trimmed(vectors), "doc_id long, y int, t binary, w binary").collect())
-    some = [(r.doc_id, r.y, np.frombuffer(r.t, np.int64), np.frombuffer(r.w, np.float32)) for r in got if r.t]
-    none = [r.y for r in got if not r.t]
-    index.none = (sum(none) + prior) / (len(none) + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()) for x in (t.astype(np.int32), w))], ["doc_id", "y", "t", "w"])
+
+    got = rows.select("doc_id", "text", "y").mapInArrow(trimmed(vectors), "doc_id long, y int, t binary, w binary").toArrow().sort_by("doc_id")
+    ids, y = got["doc_id"].to_numpy(), got["y"].to_numpy().astype(np.float64)
+    sizes = np.array([len(x) // 4 for x in got["w"].to_pylist()], np.int64)
+    terms, weights = (np.frombuffer(b"".join(got[c].to_pylist()), k) for c, k in (("t", np.int32), ("w", np.float32)))
+    del got
+    index.none = (float(y[sizes == 0].sum()) + prior) / (int((sizes == 0).sum()) + 1)
     store.drop(rows)
-    if not some:
+    if not len(terms):
         return index
     # A few random directions tell which examples are alike.
-    spread = np.random.default_rng(9).normal(size=(len(keys), 32)).astype(np.float32)
-    order = like_order(np.array([w @ spread[t] for _, _, t, w in some]))
-    some = [some[i] for i in order.tolist()]
-    index.ids, index.y = np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some], np.float64)
-    sizes = np.array([len(r[2]) for r in some])
-    terms, weights, col = np.concatenate([r[2] for r in some]), np.concatenate([r[3] for r in some]), np.repeat(np.arange(len(some)), sizes)
-    index.weights = Postings(len(keys), len(some), terms, col, weights)
+    live = np.flatnonzero(sizes)
+    starts = np.concatenate(([0], np.cumsum(sizes[live])))
+    rng = np.random.default_rng(9)
+    z = np.stack([np.add.reduceat(rng.normal(size=len(keys)).astype(np.float32)[terms] * weights, starts[:-1]) for _ in range(16)], axis=1)
+    order = like_order(z)
+    at, starts = gather(order, starts)
+    terms, weights = terms[at], weights[at]
+    index.ids, index.y = ids[live][order], y[live][order]
+    index.weights = Postings(len(keys), len(order), terms, np.repeat(np.arange(len(order), dtype=np.int32), np.diff(starts)), weights)
     # Leave-one-out votes of up to 2000 examples calibrate the score.
-    picked = np.arange(0, len(some), max(1, len(some) // 2000))
-    starts = np.concatenate(([0], np.cumsum(sizes)))
+    picked = np.arange(0, len(order), max(1, len(order) // 2000))
     votes = []
     for part in np.array_split(picked, -(-len(picked) // ROWS)):
         at, ends = gather(part, starts)

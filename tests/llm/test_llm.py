@@ -344,10 +344,11 @@ def test_no_verbatim_leak_of_a_large_benchmark_is_lost(spark):
 
 def test_common_subsequence_equals_dynamic_program():
     rng = random.Random(1)
-    b = decontaminate.Block([1], ["a b c d e a b"], 8, 3, 4)
-    b.finish(np.zeros((len(b.vocab), 4)) + np.eye(len(b.vocab), 4), 1)
+    vocab = np.unique(decontaminate.words_of(*column(pa.record_batch([pa.array(["a b c d e"], pa.large_string())], ["text"])))[0])
+    b = decontaminate.Block([1], ["a b c d e a b"], vocab, np.zeros(5, np.int64), 1, 8, 3, 4)
+    b.finish(np.zeros((5, 4)) + np.eye(5, 4), 1)
     for _ in range(200):
-        x, y = b.items[0].tolist(), [rng.randrange(len(b.vocab)) for _ in range(rng.randint(0, 12))]
+        x, y = b.items[0].tolist(), [rng.randrange(b.terms) for _ in range(rng.randint(0, 12))]
         row = [0] * (len(x) + 1)
         for w in y:
             last = 0
