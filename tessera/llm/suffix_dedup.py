@@ -3,13 +3,17 @@
 1. *Keys*. Every `length`-byte window has an anchor, the k bytes of least hash in it, and a key, the hash of the anchor
    with half of the rest. Equal windows have equal anchors and keys. Each document sends its distinct keys in blocks
    (bucket, packed hashes and owners); a key with two owners is shared, and its documents are told.
-2. *Runs*. Consecutive windows with shared keys and one least 12-byte hash form a run. Runs are dealt to shards by it, so that equal windows meet. Equal runs are one string with its smallest doc_id, and
-   a chunk of texts sends its bytes once: a passage of very many documents reaches its shard once a chunk.
-3. *Shards*. Each shard's strings are joined, suffixes classified as larger or smaller than their neighbour, the
-   leftmost-smaller substrings sorted, and all suffixes induced from them, bucket by bucket, in numpy. The reduced
-   string of substring names is ranked by doubling to the depth of `length` bytes, which replaces the deeper levels of
-   the recursion: those differ only behind the window. Common prefixes with the predecessor, stored by text position,
-   tell equal windows; the smallest doc_id of each is returned as intervals of its string.
+2. *Runs*. Consecutive windows with shared keys and one least 12-byte hash, the run's own anchor, form a run. Equal runs
+   are one string with its smallest and largest doc_id: a task sends each once, and they meet by anchor and content.
+3. *Shards*. Strings are dealt to shards by anchor, so that equal windows meet. A string alone under its anchor has no
+   window of another string. The others of a shard are joined, suffixes classified as larger or smaller than their
+   neighbour, the leftmost-smaller substrings sorted and named, and all suffixes induced from them, bucket by bucket, in
+   numpy. The names are sorted recursively while they are few; many names, for which a pass over their buckets would be
+   a Python step a name, are ranked by doubling. Common prefixes are computed in text order (permuted): only where the
+   preceding characters differ by comparison, elsewhere one less than at the position before. They tell equal windows;
+   the smallest doc_id of each is returned as intervals of its string.
+   An anchor with more than `anchor_bytes` of strings, counted before, is split: its strings are cut into runs again by
+   another hash, and go to shards by both anchors.
 4. Occurrences meet their strings again, and a document loses every byte of the windows that a smaller doc_id has.
 
 Texts are bytes of UTF-8, null is empty; matches never cross documents. Rows with a null doc_id neither lose bytes nor
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .text import _BASE, _INVERSE, _TABLE, chunks, column, mix, powers
+from .text import _BASE, _INVERSE, _TABLE, Sums, chunks, column, gather, mix, powers, trimmed
 
 LENGTH, K, SHARD_K = 50, 20, 12
 
@@ -161,11 +165,78 @@ def _meet(buckets: int):  # noqa: ANN202
     return meet
 
 
-def _runs(length: int, k: int):  # noqa: ANN202
-    """Runs of windows whose minimizer is shared: anchor, key (hash of the bytes), doc_id, start; of equal runs of a
-    chunk only the one with the smallest doc_id carries the bytes."""
+def _cut_runs(at: np.ndarray, doc: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the windows (at, of documents doc, anchors v) that form each run."""
+    if not len(at):
+        return at, at
+    head = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1))))
+    return head, np.append(head[1:], len(v)).astype(np.int64) - 1
+
+
+class _Strings:
+    """Distinct strings (anchor, key) of a task, each with its smallest and largest document and once with its bytes."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple] = []
+        self.size = 0
+
+    def add(self, anchor: np.ndarray, key: np.ndarray, least: np.ndarray, most: np.ndarray, buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        order = np.lexsort((key, anchor))
+        a, k = anchor[order], key[order]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (k[1:] != k[:-1])))) if len(a) else np.zeros(0, np.int64)
+        if not len(first):
+            return
+        own = order[first]
+        ends = np.cumsum(hi[own] - lo[own])
+        at = np.repeat(lo[own] - (ends - (hi[own] - lo[own])), hi[own] - lo[own]) + np.arange(int(ends[-1]))
+        self.held.append((a[first], k[first], np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first), np.diff(ends, prepend=0), buf[at]))
+        self.size += int(ends[-1])
+
+    def merge(self) -> tuple:
+        """anchor, key, least, most and byte lengths by (anchor, key), and the bytes."""
+        if not self.held:
+            return (*(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64)), np.zeros(0, np.uint8))
+        cols = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+        self.held, self.size = [], 0
+        anchor, key, least, most, lens, buf = cols
+        offs = np.concatenate(([0], np.cumsum(lens)))
+        self.add(anchor, key, least, most, buf, offs[:-1], offs[1:])
+        out = self.held[0]
+        self.held, self.size = [], 0
+        return out
+
+
+def _binary(lens: np.ndarray, buf: np.ndarray) -> pa.Array:
+    offs = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(buf.tobytes())])
+
+
+def _bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and offsets of a binary column without nulls."""
+    col = col.cast(pa.large_binary())
+    offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    data = col.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[offs[0] : offs[-1]], offs - offs[0]
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _runs(length: int, k: int, flush: int = 1 << 25):  # noqa: ANN202
+    """Runs of windows whose key is shared: anchor, key (hash of the bytes), doc_id and start; and, once for each string
+    of a task, rows without start: its smallest (doc_id) and largest (most) document and its bytes."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = _Strings()
+        names = ["anchor", "key", "doc_id", "start", "most", "run"]
+
+        def close() -> Iterator[pa.RecordBatch]:
+            anchor, key, least, most, lens, buf = strings.merge()
+            offs = np.concatenate(([0], np.cumsum(lens)))
+            for i, j in chunks(offs, 1 << 23):
+                yield pa.RecordBatch.from_arrays([_signed(anchor[i:j]), _signed(key[i:j]), pa.array(least[i:j]), pa.nulls(j - i, pa.int32()), pa.array(most[i:j]), _binary(lens[i:j], buf[offs[i] : offs[j]])], names)
+
         for batch in batches:
             buf, offs = column(batch)
             ids = np.asarray(batch.column(0))
@@ -188,33 +259,61 @@ def _runs(length: int, k: int):  # noqa: ANN202
                 ok = np.repeat(ok, np.diff(np.append(new, len(at))))
                 # Runs: neighbouring windows that may repeat, of one document and one anchor.
                 at, doc, v = at[ok], doc[ok], anchors[at[ok]]
-                head = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else np.zeros(0, np.int64)
-                tail = np.append(head[1:], len(v)).astype(np.int64) - 1
-                anchor, owner = v[head], doc[head]
-                got = np.ones(len(head), bool)
-                if not got.any():
+                head, tail = _cut_runs(at, doc, v)
+                if not len(head):
                     continue
-                anchor, owner = anchor[got], owner[got]
-                lo, hi = at[head[got]], at[tail[got]] + length
-                run = np.zeros(len(part) + 1, np.uint64)
-                np.cumsum(_TABLE[part] * powers(_BASE, len(part)), out=run[1:])
-                key = mix((run[hi] - run[lo]) * powers(_INVERSE, len(part) + 1)[lo] + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + anchor)
+                anchor, owner, lo, hi = v[head], doc[head], at[head], at[tail] + length
+                key = Sums(part).hashes(lo, hi)
                 own = ids[i:j][owner]
-                order = np.lexsort((own, key))
-                first = np.zeros(len(key), bool)
-                heads = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-                first[order[heads]] = True
-                most = np.zeros(len(key), np.int64)
-                most[order[heads]] = own[order[np.append(heads[1:], len(key)) - 1]]
-                lens = np.where(first, hi - lo, 0)
-                ends = np.concatenate(([0], np.cumsum(lens)))
-                bytes_at = np.repeat(lo - ends[:-1], lens) + np.arange(int(ends[-1]))
-                text = pa.Array.from_buffers(pa.binary(), len(key), [pa.array(first).buffers()[1], pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(part[bytes_at].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array((anchor >> np.uint64(33)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(own), pa.array((lo - po[:-1][owner]).astype(np.int32)), pa.array(most), text], ["anchor", "key", "doc_id", "start", "most", "run"])
+                strings.add(anchor, key, own, own, part, lo, hi)
+                n = len(key)
+                yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(key), pa.array(own), pa.array((lo - po[:-1][owner]).astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+            if strings.size > flush:
+                yield from close()
+        yield from close()
 
     return runs
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings that several tasks sent, once: anchor, key, at (0), least, most, run."""
+    strings = _Strings()
+    for batch in batches:
+        anchor, key = (np.asarray(batch.column(c)).view(np.uint64) for c in (0, 1))
+        buf, offs = _bytes_of(batch.column(4))
+        strings.add(anchor, key, np.asarray(batch.column(2)), np.asarray(batch.column(3)), buf, offs[:-1], offs[1:])
+        if strings.size > 1 << 26:
+            strings.held = [strings.merge()]
+    anchor, key, least, most, lens, buf = strings.merge()
+    offs = np.concatenate(([0], np.cumsum(lens)))
+    for i, j in chunks(offs, 1 << 23):
+        yield pa.RecordBatch.from_arrays([_signed(anchor[i:j]), _signed(anchor[i:j]), _signed(key[i:j]), pa.array(np.zeros(j - i, np.int32)), pa.array(least[i:j]), pa.array(most[i:j]), _binary(lens[i:j], buf[offs[i] : offs[j]])], ["place", "anchor", "key", "at", "least", "most", "run"])
+
+
+def _split(length: int, level: int):  # noqa: ANN202
+    """Cut strings into runs of windows with one least hash of another kind; place then stands for both anchors."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = _bytes_of(batch.column(6))
+            place, anchor, key = (np.asarray(batch.column(c)).view(np.uint64) for c in (0, 1, 2))
+            base, least, most = (np.asarray(batch.column(c)) for c in (3, 4, 5))
+            for i, j in chunks(offs, 1 << 20):
+                part, po = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                at = np.flatnonzero(_inside(po, len(part), length))
+                own = np.searchsorted(po, at, "right") - 1
+                x = Sums(part).hashes(np.arange(len(part) - SHARD_K + 1), np.arange(SHARD_K, len(part) + 1), level)
+                v = _sliding_min(x, length - SHARD_K + 1)[at]
+                head, tail = _cut_runs(at, own, v)
+                row, lo, hi = own[head], at[head], at[tail] + length
+                flat, _ = gather(np.arange(len(lo)), np.concatenate(([0], np.cumsum(hi - lo))))
+                ends = np.cumsum(hi - lo)
+                spots = np.repeat(lo - (ends - (hi - lo)), hi - lo) + flat
+                yield pa.RecordBatch.from_arrays([_signed(mix(place[i:j][row] + v[head])), _signed(anchor[i:j][row]), _signed(key[i:j][row]), pa.array((base[i:j][row] + lo - po[:-1][row]).astype(np.int32)), pa.array(least[i:j][row]), pa.array(most[i:j][row]), _binary(hi - lo, part[spots])], batch.schema.names)
+
+    return split
+
+
 def _put(sa: np.ndarray, ptr: np.ndarray, chars: np.ndarray, pos: np.ndarray, size: int, down: bool) -> None:
     """Append positions to the buckets of their characters, in order, upwards or downwards."""
     if len(pos) == 0:
@@ -275,8 +374,44 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarra
     return sa
 
 
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of t in the order of their first `depth` symbols at least; t ends with its only 0."""
+def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Names of the leftmost-smaller substrings (each to the start of the next), by text position: equal ones have equal
+    names, and names ascend with `order`. Neighbours in the order are compared, eight characters at a time."""
+    ends = np.append(lms[1:] + 1, len(t))
+    size = np.zeros(len(t), np.int64)
+    size[lms] = ends - lms
+    a, b = order[:-1], order[1:]
+    same = size[a] == size[b]
+    live, done, steps = np.flatnonzero(same), 0, np.arange(8)
+    while len(live):
+        inside = done + steps < size[a[live]][:, None]
+        x, y = (np.minimum(q[live][:, None] + (done + steps), len(t) - 1) for q in (a, b))
+        differ = ((t[x] != t[y]) & inside).any(axis=1)
+        same[live[differ]] = False
+        done += 8
+        live = live[~differ & (size[a[live]] > done)]
+    name = np.zeros(len(t), np.int64)
+    name[order] = np.cumsum(np.concatenate(([0], ~same))) if len(order) else order
+    return name[lms]
+
+
+def _by_doubling(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of names, whose last is the only smallest."""
+    rank, reach, n = names, 1, len(names)
+    while True:
+        far = np.zeros(n, np.int64)
+        far[: n - reach] = rank[reach:] + 1
+        key = rank * (n + 1) + far
+        order = np.argsort(key)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
+        reach *= 2
+        if rank[order[-1]] == n - 1:
+            return order
+
+
+def suffix_array(t: np.ndarray, few: int = 4096) -> np.ndarray:
+    """The order of the suffixes of t, which ends with its only 0. The recursion goes on while there are few names."""
     n = len(t)
     step = np.sign(np.diff(t.astype(np.int64)))
     nxt = np.where(step != 0, np.arange(n - 1), n)
@@ -287,76 +422,106 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     sa = _induce(t, small, lms, counts)
     mark = np.zeros(n, bool)
     mark[lms] = True
-    order = sa[mark[sa]]
-    # Names: equal leftmost-smaller substrings, from one such position to the next, have equal hashes.
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum((t.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n) * np.uint64(0xD6E8FEB86659FD93), out=run[1:])
-    ends = np.append(lms[1:] + 1, n)
-    sums = mix((run[ends] - run[lms]) * powers(_INVERSE, n + 1)[lms] + (ends - lms).astype(np.uint64))
-    place = np.zeros(n, np.int64)
-    place[lms] = np.arange(len(lms))
-    by = place[order]
-    rank = np.empty(len(lms), np.int64)
-    rank[by] = np.cumsum(np.concatenate(([0], sums[by][1:] != sums[by][:-1])))
-    reach = 1
-    while 2 * reach <= depth and len(lms) and rank.max() < len(lms) - 1:
-        far = np.zeros(len(lms), np.int64)
-        far[:-reach] = rank[reach:] + 1
-        key = rank * (len(lms) + 1) + far
-        by = np.argsort(key, kind="stable")
-        rank[by] = np.cumsum(np.concatenate(([0], key[by][1:] != key[by][:-1])))
-        reach *= 2
-    return _induce(t, small, lms[np.argsort(rank, kind="stable")], counts)
-
-
-def shared_windows(texts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of distinct strings, each with its smallest document: for every window, its string, its offset there and the smallest document of any string that has it."""
-    lens = np.array([len(x) for x in texts], np.int64)
-    raw = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
-    t = raw.astype(np.int32) + 2
-    starts = np.concatenate(([0], np.cumsum(lens + 1)))[:-1]
-    t[starts + lens] = 1
-    t = np.append(t, 0)
-    sa = suffix_array(t, length)
+    names = _names(t, lms, sa[mark[sa]].astype(np.int64))
+    top = int(names.max(initial=-1)) + 1
+    if top == len(lms):
+        order = np.argsort(names)
+    else:
+        order = suffix_array(names.astype(np.int32), few) if top <= few else _by_doubling(names)
+    return _induce(t, small, lms[order], counts)
+
+
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """By text position the common prefix with the suffix before it in the order. Where both have the same character in
+    front, it is one less than at the position before; the others are compared, sixteen characters at a time."""
+    n = len(t)
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    at = np.arange(n)
+    reducible = (at > 0) & (before > 0)
+    reducible[reducible] = t[at[reducible] - 1] == t[before[reducible] - 1]
+    heads = np.flatnonzero(~reducible)
+    found = np.zeros(len(heads), np.int64)
+    live, done, steps = np.flatnonzero(before[heads] >= 0), 0, np.arange(16)
+    while len(live):
+        x, y = heads[live][:, None] + (done + steps), before[heads[live]][:, None] + (done + steps)
+        differ = (t[np.minimum(x, n - 1)] != t[np.minimum(y, n - 1)]) | (np.maximum(x, y) >= n)
+        stop = differ.any(axis=1)
+        found[live[stop]] = done + differ[stop].argmax(axis=1)
+        live, done = live[~stop], done + 16
+    start = np.repeat(heads, np.diff(np.append(heads, n)))
+    return np.repeat(found, np.diff(np.append(heads, n))) - (at - start)
+
+
+def shared_windows(raw: np.ndarray, lens: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct strings, one after another in raw, each with its smallest document: for every window, its string, its
+    offset there and the smallest document of any string that has it."""
+    starts = np.cumsum(lens + 1) - (lens + 1)
+    t = np.ones(int(lens.sum()) + len(lens) + 1, np.int32)
+    t[-1] = 0
+    inside = np.ones(len(t), bool)
+    inside[starts + lens] = inside[-1] = False
+    t[inside] = raw.astype(np.int32) + 2
+    sa = suffix_array(t)
     own = np.full(len(t), -1, np.int64)
     windows = np.maximum(0, lens - length + 1)
-    which = np.repeat(np.arange(len(texts)), windows)
+    which = np.repeat(np.arange(len(lens)), windows)
     inner = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
     own[starts[which] + inner] = which
-    order = sa[own[sa] >= 0]
-    view = np.lib.stride_tricks.sliding_window_view(raw, length)
-    # Common prefixes with the predecessor, by text position (up to the window's length).
-    common = np.zeros(len(t), np.int16)
-    for a in range(1, len(order), 1 << 18):
-        b = min(len(order), a + (1 << 18))
-        differ = view[order[a:b]] != view[order[a - 1 : b - 1]]
-        common[order[a:b]] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
-    first = np.flatnonzero(common[order] < length)
-    least = np.minimum.reduceat(docs[own[order]], first) if len(order) else np.zeros(0, np.int64)
+    spots = np.flatnonzero(own[sa] >= 0)
+    order = sa[spots]
     best = np.empty(len(t), np.int64)
-    best[order] = np.repeat(least, np.diff(np.append(first, len(order))))
+    if len(order):
+        # Between two windows the least common prefix of all suffixes from one to the other counts.
+        common = permuted_prefixes(t, sa)[sa[: spots[-1] + 1]]
+        first = np.flatnonzero(np.concatenate(([True], np.minimum.reduceat(common, spots[:-1] + 1) < length))) if len(spots) > 1 else np.zeros(1, np.int64)
+        least = np.minimum.reduceat(docs[own[order]], first)
+        best[order] = np.repeat(least, np.diff(np.append(first, len(order))))
     return which, inner, best[starts[which] + inner]
 
 
 def _shards(length: int):  # noqa: ANN202
+    """Intervals of strings (place, anchor, key, at, least, most, run), each with the smallest document that has its windows."""
+
+    def found(anchor: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_signed(anchor), _signed(key), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(least)], ["anchor", "key", "lo", "hi", "least"])
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, dict[int, tuple]] = {}
+        held, texts = [], []
         for batch in batches:
-            for s, k, d, m, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                of = by.setdefault(s, {})
-                was = of.get(k)
-                of[k] = (k, d, x, m) if was is None else (k, min(d, was[1]), x, max(m, was[3]))
-        for s in list(by):
-            rows = list(by.pop(s).values())
-            which, inner, least = shared_windows([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), length)
-            most = np.array([r[3] for r in rows], np.int64)
-            new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (least[1:] != least[:-1]))))
+            buf, offs = _bytes_of(batch.column(7))
+            held.append([np.asarray(batch.column(c)) for c in range(7)] + [np.diff(offs)])
+            texts.append(buf)
+        if not held:
+            return
+        shard, place, anchor, key, base, least, most, lens = (np.concatenate(x) for x in zip(*held, strict=True))
+        buf = np.concatenate(texts)
+        offs = np.concatenate(([0], np.cumsum(lens)))
+        held, texts = [], []
+        anchor, key = anchor.view(np.uint64), key.view(np.uint64)
+        order = np.lexsort((place, shard))
+        head = np.flatnonzero(np.concatenate(([True], place[order][1:] != place[order][:-1])))
+        alone = np.zeros(len(order), bool)
+        alone[order] = np.repeat(np.diff(np.append(head, len(order))) == 1, np.diff(np.append(head, len(order))))
+        tell = np.flatnonzero(alone & (least < most))
+        if len(tell):
+            yield found(anchor[tell], key[tell], base[tell], base[tell] + lens[tell], least[tell])
+        order = order[~alone[order]]
+        cut = np.flatnonzero(np.concatenate(([True], shard[order][1:] != shard[order][:-1]))) if len(order) else np.zeros(0, np.int64)
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+            rows = order[a:b]
+            at, _ = gather(rows, offs)
+            which, inner, best = shared_windows(buf[at], lens[rows], least[rows], length)
+            if not len(which):
+                continue
+            new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (best[1:] != best[:-1]))))
             last = np.append(new[1:], len(which)) - 1
+            own = rows[which[new]]
             # Windows that no larger document has tell nothing.
-            tells = least[new] < most[which[new]]
-            new, last = new[tells], last[tells]
-            keys = [rows[i][0] for i in which[new].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(inner[new].astype(np.int32)), pa.array((inner[last] + length).astype(np.int32)), pa.array(least[new])], ["key", "lo", "hi", "least"])
+            some = best[new] < most[own]
+            new, last, own = new[some], last[some], own[some]
+            if len(new):
+                yield found(anchor[own], key[own], base[own] + inner[new], base[own] + inner[last] + length, best[new])
 
     return search
 
@@ -387,33 +552,56 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def spans(docs: DataFrame, *, length: int = LENGTH, k: int = K, shard_bytes: int = 3_000_000) -> DataFrame:
+def spans(docs: DataFrame, *, length: int = LENGTH, k: int = K, shard_bytes: int = 3_000_000, anchor_bytes: int = 16_000_000) -> DataFrame:
     """doc_id and the byte intervals (lo, hi), ascending, that a smaller doc_id has; they may overlap."""
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and octet_length(text) >= " + str(length))
     runs = _shared_runs(texts, length, k)
-    store.free(spark)
-    got = _shared_spans(runs, length, shard_bytes)
-    store.drop(runs)
-    store.free(spark)
+    store.free(docs.sparkSession)
+    strings = _strings(runs, length, shard_bytes, anchor_bytes)
+    store.free(docs.sparkSession)
+    got = _shared_spans(runs, strings, length, shard_bytes)
+    store.drop(runs, strings)
+    store.free(docs.sparkSession)
     return got
 
 
-def _shared_runs(texts: DataFrame, length: int, k: int) -> DataFrame:
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (1 << 25))
-    anchors = texts.mapInArrow(_anchor_blocks(length, k, 8 * parts), "bucket int, hashes binary, back binary, own binary")
-    shared = anchors.repartition(parts, "bucket").mapInArrow(_meet(8 * parts), "doc_id long, hashes binary")
-    wanted = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    return store.saved(texts.join(wanted, "doc_id").select("doc_id", "text", "hashes").mapInArrow(_runs(length, k), "anchor int, key long, doc_id long, start int, most long, run binary"), "suffix-runs")
+def _parts(spark: SparkSession, size: int, each: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // each))
 
 
-def _shared_spans(runs: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    size = runs.agg(F.sum(F.octet_length("run"))).first()[0] or 0
-    shards = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // shard_bytes))
-    strings = runs.where("run is not null").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "key", "doc_id", "most", "run")
-    found = strings.repartition(shards, "shard").mapInArrow(_shards(length), "key long, lo int, hi int, least long")
-    met = runs.select("key", "doc_id", "start").join(found, "key").where("least < doc_id")
+def _shared_runs(texts: DataFrame, length: int, k: int) -> DataFrame:
+    parts = _parts(texts.sparkSession, texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 1 << 25)
+    anchors = texts.mapInArrow(trimmed(_anchor_blocks(length, k, 8 * parts)), "bucket int, hashes binary, back binary, own binary")
+    shared = anchors.repartition(parts, "bucket").mapInArrow(trimmed(_meet(8 * parts)), "doc_id long, hashes binary")
+    wanted = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    return store.saved(texts.join(wanted, "doc_id").select("doc_id", "text", "hashes").mapInArrow(trimmed(_runs(length, k)), "anchor long, key long, doc_id long, start int, most long, run binary"), "suffix-runs")
+
+
+def _strings(runs: DataFrame, length: int, shard_bytes: int, anchor_bytes: int) -> DataFrame:
+    """The distinct strings, those of too large an anchor cut into smaller ones."""
+    kind = "place long, anchor long, key long, at int, least long, most long, run binary"
+    rows = runs.where("run is not null").select("anchor", "key", "doc_id", "most", "run")
+    size = rows.agg(F.sum(F.octet_length("run"))).first()[0] or 0
+    out = store.saved(rows.repartition(_parts(runs.sparkSession, size, 4 * shard_bytes), "anchor", "key").mapInArrow(trimmed(_distinct), kind), "suffix-strings")
+    for level in range(1, 4):
+        large = out.groupBy("place").agg(F.sum(F.octet_length("run")).alias("n"), F.count("*").alias("strings")).where((F.col("n") > anchor_bytes) & (F.col("strings") > 1)).select("place")
+        large = store.saved(large, "suffix-large")
+        if large.isEmpty():
+            store.drop(large)
+            break
+        # Strings of a large anchor are many: the join deals them anew where one partition has too many.
+        cut = out.join(large.hint("shuffle_merge"), "place").select(*out.columns).mapInArrow(trimmed(_split(length, level)), kind)
+        again = store.saved(out.join(large, "place", "left_anti").select(*out.columns).unionByName(cut), "suffix-strings")
+        store.drop(out, large)
+        out = again
+    return out
+
+
+def _shared_spans(runs: DataFrame, strings: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    shards = _parts(runs.sparkSession, strings.agg(F.sum(F.octet_length("run"))).first()[0] or 0, shard_bytes)
+    dealt = strings.select(F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("shard"), *strings.columns)
+    found = dealt.repartition(shards, "shard").mapInArrow(trimmed(_shards(length)), "anchor long, key long, lo int, hi int, least long")
+    met = runs.where("start is not null").select("anchor", "key", "doc_id", "start").join(found, ["anchor", "key"]).where("least < doc_id")
     return store.saved(met.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")))).alias("spans")), "suffix-spans")
 
 
@@ -422,7 +610,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
     (null: all of it); bytes of a character that was cut in part are left out of kept, not of kept_sha256."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = spans(docs, length=length, k=k)
-    return texts.join(got, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return texts.join(got, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(trimmed(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def without_repeats(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -446,7 +634,7 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> Dat
                     cols[names.index("n_chars")] = pa.array([len(x) if x is not None else None for x in text], batch.schema.field(names.index("n_chars")).type)
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(cut, docs.schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(trimmed(cut), docs.schema)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

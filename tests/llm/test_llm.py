@@ -250,11 +250,17 @@ def test_link_group_near_copies_need_no_pairs():
 # --- suffix arrays
 
 
-def test_suffix_array_orders_suffixes():
+@pytest.mark.parametrize("few", [0, 3, 4096])
+def test_suffix_array_orders_suffixes(few):
     rng = random.Random(6)
-    for alphabet, n in (("ab", 60), ("abcd", 200), ("a", 40), ("abracad", 500)):
+    for alphabet, n in (("ab", 60), ("abcd", 200), ("a", 40), ("abracad", 500), ("ab", 1), ("a", 0)):
         t = np.array([*(ord(rng.choice(alphabet)) for _ in range(n)), 0], np.int32)
-        assert suffix_dedup.suffix_array(t, n).tolist() == sorted(range(n + 1), key=lambda i: t[i:].tolist())
+        t = np.concatenate((t[:-1], t[:-1], t[-1:]))
+        sa = suffix_dedup.suffix_array(t, few)
+        assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        common = suffix_dedup.permuted_prefixes(t, sa)
+        for i, j in zip(sa[:-1], sa[1:], strict=True):
+            assert common[j] == next(m for m in range(len(t)) if t[i + m : i + m + 1] != t[j + m : j + m + 1])
 
 
 def brute_removed(rows, length=50):
@@ -282,6 +288,13 @@ def test_suffix_dedup_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, hashes long").repartition(3)
     got = sorted((tuple(r) for r in suffix_dedup.dedup(df).drop("kept").collect()), key=key)
     assert got == brute_removed(rows)
+    split = [(r.doc_id, [tuple(x) for x in r.spans]) for r in suffix_dedup.spans(df, anchor_bytes=200).collect()]
+    whole = [(r.doc_id, [tuple(x) for x in r.spans]) for r in suffix_dedup.spans(df).collect()]
+
+    def cover(rows):
+        return sorted((i, sorted({b for lo, hi in x for b in range(lo, hi)})) for i, x in rows)
+
+    assert cover(split) == cover(whole)
     left = suffix_dedup.without_repeats(df)
     assert left.columns == df.columns and left.where("n_chars <> length(text)").count() == 0
     assert suffix_dedup.dedup(empty(spark)).count() == 0
