@@ -1,18 +1,25 @@
 """Exact Jaccard join of word n-gram sets by T-occurrence search (DivideSkip), with its components.
 
-1. One pass over the texts gives each document's set (64-bit hashes of distinct shingles), its size, a 64-bit key of
-   the whole set and the set's *prefix* in hash order (six bytes of each hash, enough to sieve). Documents with equal sets are one class from here on.
+1. One pass over the texts gives each document's set (64-bit hashes of distinct shingles), its size, a 128-bit key of
+   the whole set and the set's *prefix* in hash order (six bytes of each hash, enough to sieve). Documents with equal
+   keys are one class from here on.
 2. Prefix filter. Of two sets with Jaccard >= s the prefixes of n - ceil(s n) + l hashes share at least l hashes, for
    the smaller l of both (l = 3 n / 10). A class stays only if that many of its prefix hashes occur in another class.
    Hashes travel in blocks (bucket, packed arrays); those that several documents of a block share are counted there,
    so that a very frequent shingle is sent once a block.
-3. The sets of what stays are ordered by document frequency, shingles of one class are dropped, and so are classes
-   with less than ceil(s n) left. Classes that share a rare prefix shingle, directly or by others, form a group.
-4. In each group an inverted index is searched by every set, the smallest first: the longest lists are put aside,
-   the short ones merged by count, and the rest of the needed overlap is probed by bisection in the long lists. Lists
-   that hold only sets already linked with the query are skipped, as they can add no link. Groups over `part_hashes`
-   hashes are dealt into parts by hash, and every pair of parts is searched.
-5. Links between classes give components; copies get their class's.
+3. The sets of what stays are packed in blocks and ordered by document frequency, counted the same way: a block sends a
+   shingle once and gets its count back once. Shingles of one class are dropped, and so are classes with less than
+   ceil(s n) left.
+4. Pivots. Of the classes that share a rare prefix shingle the first is its hub; every class is compared with the hub
+   that it meets most often. Classes linked so carry one label. A prefix shingle whose classes all have one label can
+   add no link between components; classes that share another, directly or by others, form a group. What a large family
+   of near copies leaves of it is small, as its members are linked to their hub one by one.
+5. In each group an inverted index is searched by every set, the smallest first: the longest lists are put aside, the
+   short ones merged by a heap that skips ahead to where the needed count can be met, and the rest of the needed overlap
+   is probed by bisection in the long lists. Lists that hold only sets already linked with the query are skipped, as
+   they can add no link. A group over `part_hashes` hashes is split by prefix shingle: each class goes to every shingle
+   that it shares. Only the classes of one shingle over `part_hashes` are dealt into parts that meet pair by pair.
+6. Links between classes give components; copies get their class's.
 
 Words are the runs of bytes other than space and 0x09-0x0D, A-Z in lower case. A text of 1 to n-1 words is one
 shingle; without words the set is empty and linked with nothing. A null doc_id is a row like any other; rows that
@@ -22,19 +29,24 @@ repeat a doc_id are compared by their own texts. An empty table gives an empty t
 from __future__ import annotations
 
 import hashlib
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
 from .components import components
-from .text import LOWER, chunks, column, hash_spans, mix, ngrams, row_unique, trimmed, word_spans
+from .text import LOWER, chunks, column, gather, hash_spans, lists, mix, ngrams, row_unique, trimmed, word_spans
 
-_SETS = "doc_id long, n long, key long, prefix binary"
+_SETS = "doc_id long, n long, key binary, prefix binary"
+#: Hashes in a block of whole sets, about.
+_BLOCK = 1 << 18
 
 
 def _need(n: np.ndarray | int, pct: int) -> np.ndarray | int:
@@ -49,8 +61,8 @@ def sets_of(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return row_unique(*ngrams(hash_spans(low, starts, ends), woffs, n))
 
 
-def _key(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _key(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
 def _prefix_size(n: int, pct: int) -> int:
@@ -78,7 +90,7 @@ def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
                 u, uo = sets_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
                 own = [u[a:b] for a, b in zip(uo[:-1].tolist(), uo[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(uo)), pa.array([_key(s) if len(s) else None for s in own], pa.int64()), pa.array([_packed(s[: _prefix_size(len(s), pct)] >> np.uint64(16)) if len(s) else None for s in own], pa.binary())],
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(uo)), pa.array([_key(s) if len(s) else None for s in own], pa.binary()), pa.array([_packed(s[: _prefix_size(len(s), pct)] >> np.uint64(16)) if len(s) else None for s in own], pa.binary())],
                     ["doc_id", "n", "key", "prefix"],
                 )
 
@@ -86,15 +98,16 @@ def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
 
 
 def _shared_counts(sets: DataFrame, parts: int) -> DataFrame:
-    """key and an upper bound of how many hashes of its prefix stand in prefixes of other keys, from (key, prefix)."""
+    """The first half of a key (short) and an upper bound of how many hashes of its prefix stand in prefixes of other keys,
+    from (key, prefix)."""
     buckets = 8 * parts  # small ones, as several may be dealt to one task
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, bytes] = {}
+        held: dict[bytes, bytes] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys = np.fromiter(held, np.int64, len(held))
+            keys = np.frombuffer(b"".join(k[:8] for k in held), ">i8").astype(np.int64)
             lens = np.array([len(x) // 6 for x in held.values()], np.int64)
             hashes, own = _unpacked(b"".join(held.values())), np.repeat(np.arange(len(keys)), lens)
             order = np.argsort(hashes, kind="stable")
@@ -174,11 +187,11 @@ def _shared_counts(sets: DataFrame, parts: int) -> DataFrame:
         if half:
             k, n = (np.concatenate([y for h in half for y in h[i]]) for i in (0, 1))
             keys, back = np.unique(k, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(back, weights=n).astype(np.int64))], ["key", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(back, weights=n).astype(np.int64))], ["short", "c"])
 
     blocks = sets.select("key", "prefix").mapInArrow(trimmed(send), "bucket int, hashes binary, own binary, keys binary")
     met = blocks.repartition(parts, "bucket").mapInArrow(trimmed(meet), "slot int, keys binary, n binary")
-    return met.repartition(parts, "slot").mapInArrow(trimmed(total), "key long, c long")
+    return met.repartition(parts, "slot").mapInArrow(trimmed(total), "short long, c long")
 
 
 class _Index:
@@ -188,6 +201,7 @@ class _Index:
         self.pct, self.sets, self.up = pct, [], []
         self.lists: dict[int, list[int]] = {}
         self.pure: dict[int, int] = {}
+        self.labels: dict[int, int] = {}
 
     def find(self, i: int) -> int:
         while self.up[i] != i:
@@ -199,11 +213,13 @@ class _Index:
         both = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
         return 100 * both >= self.pct * (sizes[i] + sizes[j] - both)
 
-    def search(self, own: np.ndarray, sizes: list[int]) -> None:
-        """Link the set `own`, of a size (with shingles of no other class) no less than those before, and add it."""
+    def search(self, own: np.ndarray, sizes: list[int], label: int) -> None:
+        """Link the set `own`, of a size (with shingles of no other class) no less than those before, and add it. Sets of
+        one label are known to be linked."""
         q = len(self.sets)
         self.sets.append(own)
-        self.up.append(q)
+        self.up.append(self.find(self.labels.setdefault(label, q)) if label in self.labels else q)
+        self.labels.setdefault(label, q)
         terms = own.tolist()
         known = [(t, self.lists[t]) for t in terms if t in self.lists]
         # A few likely partners first: what they link needs no search.
@@ -235,109 +251,231 @@ class _Index:
         longest = len(lists[-1])
         aside = min(least - 1, int(least / (0.01 * np.log2(longest + 1) * least / 10 + 1)))
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        ids, count = np.unique(np.concatenate([np.array(x) for x in short]), return_counts=True)
-        size = np.array(sizes)[ids]
-        need = np.ceil(self.pct * (size + sizes[q]) / (100 + self.pct) - 1e-9).astype(np.int64)
-        keep = (count >= np.maximum(1, need - len(long))) & (count >= max(1, least - len(long)))
-        ids, count, need = ids[keep], count[keep].astype(np.int64), need[keep]
-        for k, x in enumerate(long):
-            if not len(ids):
-                return
-            a = np.array(x)
-            at = np.minimum(np.searchsorted(a, ids), len(a) - 1)
-            count += a[at] == ids
-            keep = count + len(long) - k - 1 >= need
-            if not keep.all():
-                ids, count, need = ids[keep], count[keep], need[keep]
-        for c, both in zip(ids.tolist(), count.tolist(), strict=True):
+        for c, both in merge_skip(short, max(1, least - len(long))):
             a, b = self.find(q), self.find(c)
-            if a != b and 100 * both >= self.pct * (sizes[q] + sizes[c] - both):
+            if a == b:
+                continue
+            need = -(-self.pct * (sizes[c] + sizes[q]) // (100 + self.pct))
+            for k, x in enumerate(long):
+                if both >= need or both + len(long) - k < need:
+                    break
+                at = bisect_left(x, c)
+                both += at < len(x) and x[at] == c
+            if both >= need:
                 self.up[a] = b
 
 
-def link_group(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
-    """Links that join the components of a few sets (shingles that no other class has may be missing; sizes count them)."""
-    order = np.lexsort((keys, sizes))
+def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """The numbers that stand in `least` or more of some ascending lists, and in how many: a heap merges the lists; where
+    too few have the smallest number, all that can't reach `least` is skipped by bisection."""
+    heap = [(x[0], i) for i, x in enumerate(lists)]
+    heapq.heapify(heap)
+    at, out = [0] * len(lists), []
+    while len(heap) >= least:
+        top, moved = heap[0][0], []
+        while heap and heap[0][0] == top:
+            moved.append(heapq.heappop(heap)[1])
+        if len(moved) >= least:
+            out.append((top, len(moved)))
+            for i in moved:
+                at[i] += 1
+        else:
+            while heap and len(moved) < least - 1:
+                moved.append(heapq.heappop(heap)[1])
+            if not heap:
+                break
+            for i in moved:
+                at[i] = bisect_left(lists[i], heap[0][0], at[i])
+        for i in moved:
+            if at[i] < len(lists[i]):
+                heapq.heappush(heap, (lists[i][at[i]], i))
+    return out
+
+
+def link_group(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], pct: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that, with those of equal labels, join the components of a few sets (shingles that no other class has may be
+    missing; sizes count them)."""
+    order = np.lexsort((ids, sizes))
     index, by_size = _Index(pct), sizes[order].tolist()
+    labels = ids if labels is None else labels
     for k in order.tolist():
-        index.search(sets[k], by_size)
-    own = keys[order].tolist()
+        index.search(sets[k], by_size, int(labels[k]))
+    own = ids[order].tolist()
     return [(own[i], own[index.find(i)]) for i in range(len(own)) if index.find(i) != i]
 
 
+def _parts(spark: SparkSession, size: int) -> int:
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), size // (1 << 23))
+
+
 def _sieved(sets: DataFrame, pct: int) -> DataFrame:
     """key, n and a doc_id of the classes of which enough of the prefix stands in other classes."""
     own = sets.where("key is not null")
     classes = own.groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    total = sets.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    parts = max(8, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (1 << 23))
+    parts = _parts(sets.sparkSession, sets.agg(F.sum(F.length("prefix"))).first()[0] or 0)
+    short = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
     bound = F.greatest(F.lit(1), F.floor(3 * F.ceil(F.col("n") * pct / 100) / 10))
-    return store.saved(classes.join(_shared_counts(own, parts), "key").where(F.col("c") >= bound).select("key", "n", "doc_id"), "jaccard-left")
+    return store.saved(classes.withColumn("short", short).join(_shared_counts(own, parts), "short").where(F.col("c") >= bound).select("key", "n", "doc_id"), "jaccard-left")
 
 
 def _whole_sets(docs: DataFrame, left: DataFrame, n: int) -> DataFrame:
-    """key, n and the whole set of the classes that are left, from the text of one document each."""
+    """Blocks (block, keys, sizes, hashes) of the whole sets of the classes that are left, from the text of one document each."""
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        keys: list[bytes] = []
+        held: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            row = [[(part << 24) + made], [b"".join(keys)], [np.array([len(x) for x in held], np.int64).tobytes()], [np.concatenate(held).tobytes()]]
+            keys.clear(), held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int64(), *[pa.binary()] * 3), strict=True)], ["block", "keys", "sizes", "hashes"])
+
+        size = 0
         for batch in batches:
             buf, offs = column(batch)
             wanted = batch.column(1).to_pylist()
             for i, j in chunks(offs, 1 << 21):
                 u, uo = sets_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
-                rows = [(k, u[a:b].view(np.int64)) for k, a, b in zip(wanted[i:j], uo[:-1].tolist(), uo[1:].tolist(), strict=True) if b > a and _key(u[a:b]) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], ["key", "n", "hashes"])
+                for k, a, b in zip(wanted[i:j], uo[:-1].tolist(), uo[1:].tolist(), strict=True):
+                    if b > a and _key(u[a:b]) == k:
+                        keys.append(k), held.append(u[a:b].copy())
+                        size += b - a
+                        if size >= _BLOCK or len(keys) >= 1 << 16:
+                            yield close()
+                            size = 0
+        if keys:
+            yield close()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    whole = texts.join(left.select("key", F.col("doc_id").alias("rep")).hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key").mapInArrow(trimmed(again), "key long, n long, hashes array<long>")
-    return store.saved(whole.dropDuplicates(["key"]), "jaccard-sets")
+    whole = texts.join(left.select("key", F.col("doc_id").alias("rep")).hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key")
+    return store.saved(whole.mapInArrow(trimmed(again), "block long, keys binary, sizes binary, hashes binary"), "jaccard-sets")
 
 
-def _rare_first(whole: DataFrame, pct: int) -> DataFrame:
-    """key, n and the shared hashes, the rarest first, of sets with enough of them."""
-    terms = whole.select("key", "n", F.explode("hashes").alias("h"))
-    often = terms.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    sets = terms.join(often, "h").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
-    return store.saved(sets.where(F.size("s") >= F.ceil(F.col("n") * pct / 100)).select("key", "n", F.col("s.h").alias("hashes")), "jaccard-ordered")
+def _rare_first(blocks: DataFrame, pct: int) -> DataFrame:
+    """id, key, n and the hashes shared with other sets, the rarest first, of sets with enough of them."""
+    parts = _parts(blocks.sparkSession, blocks.agg(F.sum(F.length("hashes"))).first()[0] or 0)
+    buckets = 8 * parts
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, n = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
+                place = ((h >> np.uint64(40)).astype(np.int64) * buckets) >> 24
+                cut = np.searchsorted(place, np.arange(buckets + 1))
+                live = np.flatnonzero(np.diff(cut)).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([block] * len(live), pa.int64()), *(pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in live], pa.binary()) for x in (h, n.astype(np.int32)))], ["bucket", "block", "hashes", "n"])
 
-def links(docs: DataFrame, sets: DataFrame, *, n: int = 5, pct: int = 80, part_hashes: int = 4_000_000) -> DataFrame:
-    """Links (a, b) between set keys that have the components of all links of Jaccard >= pct / 100; sets: saved signatures."""
-    spark = docs.sparkSession
-    left = _sieved(sets, pct)
-    store.free(spark)
-    whole = _whole_sets(docs, left, n)
-    store.drop(left)
-    store.free(spark)
-    ordered = _rare_first(whole, pct)
-    store.drop(whole)
-    store.free(spark)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list] = {}
+        for batch in batches:
+            for b, block, h, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by.setdefault(b, []).append((block, np.frombuffer(h, np.uint64), np.frombuffer(n, np.int32)))
+        for b in list(by):
+            rows = by.pop(b)
+            h, back = np.unique(np.concatenate([x for _, x, _ in rows]), return_inverse=True)
+            df = np.bincount(back, weights=np.concatenate([n for _, _, n in rows])).astype(np.int64)[back]
+            out, at = [], 0
+            for block, x, _ in rows:
+                own = df[at : at + len(x)]
+                at += len(x)
+                if (own > 1).any():
+                    out.append((block, x[own > 1].tobytes(), own[own > 1].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["block", "hashes", "df"])
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, keys, sizes, raw, met in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = np.frombuffer(raw, np.uint64)
+                n = np.frombuffer(sizes, np.int64)
+                known = np.concatenate([np.frombuffer(x["hashes"], np.uint64) for x in met])
+                df = np.concatenate([np.frombuffer(x["df"], np.int64) for x in met])
+                by = np.argsort(known)
+                known, df = known[by], df[by]
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = np.flatnonzero(known[at] == h)
+                row = np.repeat(np.arange(len(n)), n)[hit]
+                hit = hit[np.lexsort((h[hit], df[at[hit]], row))]
+                offs = np.searchsorted(row, np.arange(len(n) + 1))
+                live = np.flatnonzero(np.diff(offs) >= _need(n, pct))
+                spots, out = gather(live, offs)
+                yield pa.RecordBatch.from_arrays([pa.array((block << 16) + live), pa.array([keys[16 * i : 16 * i + 16] for i in live.tolist()], pa.binary()), pa.array(n[live]), lists(h[hit[spots]].view(np.int64), out, pa.int64())], ["id", "key", "n", "hashes"])
+
+    counted = blocks.select("block", "hashes").mapInArrow(trimmed(send), "bucket int, block long, hashes binary, n binary").repartition(parts, "bucket").mapInArrow(trimmed(meet), "block long, hashes binary, df binary")
+    met = counted.groupBy("block").agg(F.collect_list(F.struct("hashes", "df")).alias("met"))
+    both = blocks.join(met.hint("shuffle_merge"), "block").select("block", "keys", "sizes", "hashes", "met")
+    return store.saved(both.mapInArrow(trimmed(order), "id long, key binary, n long, hashes array<long>"), "jaccard-ordered")
+
+
+def _with_pivots(ordered: DataFrame, prefix: DataFrame, pct: int) -> DataFrame:
+    """id and pivot: the hub that the class meets most often, where the two are linked."""
+    hubs = prefix.groupBy("h").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").select("h", "hub")
+    met = prefix.join(hubs, "h").where("hub <> id").groupBy("id", "hub").agg(F.count("*").alias("times"))
+    best = met.groupBy("id").agg(F.max(F.struct("times", "hub")).alias("b")).select("id", F.col("b.hub").alias("pivot"))
+    mine = ordered.select("id", "n", "hashes").join(best, "id")
+    theirs = ordered.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("hashes").alias("others"))
+    both = mine.join(theirs, "pivot").select("id", "pivot", "n", "m", F.size(F.array_intersect("hashes", "others")).alias("both"))
+    return store.saved(both.where(100 * F.col("both") >= pct * (F.col("n") + F.col("m") - F.col("both"))).select("id", "pivot"), "jaccard-pivots")
+
+
+def links(ordered: DataFrame, *, pct: int = 80, part_hashes: int = 4_000_000) -> DataFrame:
+    """Links (a, b) between sets (id, n, hashes, the rarest first) that have the components of all links of Jaccard >= pct / 100."""
     least = F.ceil(F.col("n") * pct / 100)
-    prefix = ordered.select("key", F.explode(F.slice("hashes", 1, F.greatest(F.lit(1), (F.size("hashes") - least + 1).cast("int")))).alias("h"))
-    hubs = prefix.groupBy("h").agg(F.min("key").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    groups = components(prefix.join(hubs, "h").select(F.col("key").alias("a"), F.col("hub").alias("b")))
-    members = ordered.join(groups.select(F.col("node").alias("key"), F.col("root").alias("group")), "key")
-    sizes = members.groupBy("group").agg(F.ceil(F.sum(F.size("hashes")) / part_hashes).cast("int").alias("parts"))
-    # Part p of a group meets every other part: pair (p, q) with p <= q once, in one task; an undivided group is pair (0, 0).
+    prefix = ordered.select("id", F.explode(F.slice("hashes", 1, F.greatest(F.lit(1), (F.size("hashes") - least + 1).cast("int")))).alias("h"))
+    pivots = _with_pivots(ordered, prefix, pct)
+    # Two steps from pivot to pivot: classes of one label are linked, not all that are linked have one.
+    jump = pivots.select(F.col("id").alias("pivot"), F.col("pivot").alias("next"))
+    once = pivots.join(jump, "pivot", "left").select("id", F.coalesce("next", "pivot").alias("pivot"))
+    labels = once.join(jump, "pivot", "left").select("id", F.coalesce("next", "pivot").alias("to"))
+    marked = prefix.join(labels, "id", "left").select("id", "h", F.coalesce("to", "id").alias("label"))
+    mixed = marked.groupBy("h").agg(F.min("id").alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h", "hub")
+    rare = store.saved(marked.join(mixed, "h").select("id", "h", "hub", "label"), "jaccard-mixed")
+    groups = components(rare.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    own = rare.select("id", "label").distinct()
+    members = ordered.select("id", "n", "hashes").join(own, "id").join(groups.select(F.col("node").alias("id"), F.col("root").alias("group")), "id")
+    sizes = members.groupBy("group").agg((F.sum(F.size("hashes")) > part_hashes).alias("large"))
+    dealt = store.saved(members.join(sizes, "group"), "jaccard-members")
+    whole = dealt.where("not large").select(F.col("group").alias("at"), "id", "n", "hashes", "label", F.lit(0).alias("p"), F.lit(0).alias("q"))
+    # The classes of a large group meet shingle by shingle.
+    by_shingle = dealt.where("large").select("id", "n", "hashes", "label").join(rare.select("id", "h"), "id")
+    counts = by_shingle.groupBy("h").agg(F.ceil(F.sum(F.size("hashes")) / part_hashes).cast("int").alias("parts"))
+    # Part p of one shingle's classes meets every other part: pair (p, q) with p <= q once; an undivided one is pair (0, 0).
     pair = F.expr("transform(sequence(0, parts - 1), q -> struct(least(p, q) as p, greatest(p, q) as q))")
-    dealt = members.join(sizes, "group").withColumn("p", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).select("group", "key", "n", "hashes", F.explode(pair).alias("pq")).select("group", "key", "n", "hashes", "pq.p", "pq.q")
+    split = by_shingle.join(counts, "h").withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select(F.col("h").alias("at"), "id", "n", "hashes", "label", F.explode(pair).alias("pq"))
+    split = split.select("at", "id", "n", "hashes", "label", "pq.p", "pq.q")
 
     def search(df: pd.DataFrame) -> pd.DataFrame:
-        got = link_group(df["key"].to_numpy(), df["n"].to_numpy(), [np.asarray(x) for x in df["hashes"]], pct)
+        got = link_group(df["id"].to_numpy(), df["n"].to_numpy(), [np.asarray(x) for x in df["hashes"]], pct, df["label"].to_numpy())
         return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("group", "p", "q").applyInPandas(search, "a long, b long")
+    kind = "a long, b long"
+    found = whole.groupBy("at", "p", "q").applyInPandas(search, kind).unionByName(split.groupBy("at", "p", "q").applyInPandas(search, kind))
+    return found.unionByName(pivots.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
 
 
-def classes(docs: DataFrame, *, n: int = 5, pct: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, class_links of every row of docs.
+def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, part_hashes: int = 4_000_000) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, component_classes of every row of docs.
 
-    class_links: the classes of the component. A document without words has itself and no class.
+    component_classes: the classes of the component. A document without words has itself and no class.
     """
+    spark = docs.sparkSession
     sets = store.saved(signatures(docs, n, pct), "jaccard-sets")
+    left = _sieved(sets, pct)
+    store.free(spark)
+    blocks = _whole_sets(docs, left, n)
+    store.drop(left)
+    store.free(spark)
+    ordered = _rare_first(blocks, pct)
+    store.drop(blocks)
+    store.free(spark)
+    found = components(links(ordered, pct=pct, part_hashes=part_hashes))
     own = sets.select("doc_id", "n", "key")
-    found = components(links(docs, sets, n=n, pct=pct))
     firsts = own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    linked = store.saved(found.select(F.col("node").alias("key"), "root").join(firsts, "key"), "jaccard-linked")
+    linked = found.select(F.col("node").alias("id"), "root").join(ordered.select("id", "key"), "id").groupBy("key").agg(F.min("root").alias("root"))
+    linked = store.saved(linked.join(firsts, "key"), "jaccard-linked")
+    store.drop(ordered)
     roots = linked.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count("*").alias("component_classes"))
     of = linked.join(roots, "root").select("key", "component_id", "component_classes")
     per_class = firsts.join(of, "key", "left").select("key", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("component_classes", F.lit(1)).alias("component_classes"))

@@ -181,7 +181,7 @@ class Index:
         return np.where(live, 1 / (1 + np.exp(-(self.slope * np.log(safe / (1 - safe)) + self.shift))), self.none)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, column_name: str = "toxic", mod: int = 4, rest: int = 2, examples: int = 6000, k: int = 16) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, *, column_name: str = "toxic", mod: int = 4, rest: int = 2, examples: int = 5000, k: int = 16) -> Index:
     """The index of at most `examples` labelled rows and all their terms; nothing larger reaches the driver."""
     spark = docs.sparkSession
     rows = store.saved(labelled.sample(docs, labels, column_name, mod, rest, examples), "labelled")
@@ -239,6 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, column_name: str = "toxic", mod:
     at, starts = gather(order, starts)
     terms, weights = terms[at], weights[at]
     index.ids, index.y = ids[live][order], y[live][order]
+    del at, z
     index.weights = Postings(len(keys), len(order), terms, np.repeat(np.arange(len(order), dtype=np.int32), np.diff(starts)), weights)
     # Leave-one-out votes of up to 2000 examples calibrate the score.
     picked = np.arange(0, len(order), max(1, len(order) // 2000))

@@ -5,7 +5,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -221,16 +221,44 @@ def near_rows(seed, n=90):
     return out
 
 
-@pytest.mark.parametrize("part", [4_000_000, 500])
+@pytest.mark.parametrize("part", [4_000_000, 500, 60])
 def test_jaccard_components_equal_brute_force(spark, part):
-    rows = near_rows(5)
+    rows = near_rows(5) + [(1000 + i, x) for i, x in enumerate(thue_morse())]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = ngram_jaccard.store.saved(ngram_jaccard.signatures(df, 5, 80), "t")
-    found = {r.node: r.root for r in components.components(ngram_jaccard.links(df, sets, part_hashes=part)).collect()}
-    group = defaultdict(set)
-    for r in sets.collect():
-        group[found.get(r.key, r.key)].add(r.doc_id)
-    assert sorted((i, min(g)) for g in group.values() for i in g) == [(i, c) for i, _, c in brute_components(rows)]
+    got = sorted(tuple(r) for r in ngram_jaccard.classes(df, part_hashes=part).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == brute_components(rows)
+
+
+def test_merge_skip_counts_like_a_counter():
+    rng = random.Random(4)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(40), rng.randint(1, 25))) for _ in range(rng.randint(1, 12))]
+        least = rng.randint(1, 6)
+        counts = Counter(v for x in lists for v in x)
+        assert ngram_jaccard.merge_skip(lists, least) == sorted((v, n) for v, n in counts.items() if n >= least)
+
+
+def test_link_groups_equal_all_pairs():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        base = [np.sort(rng.choice(400, 40, replace=False)) for _ in range(4)]
+        sets = [np.unique(np.concatenate((b[rng.random(40) > 0.1], rng.choice(400, rng.integers(0, 4))))) for b in base for _ in range(12)]
+        sizes = np.array([len(x) for x in sets])
+        found = ngram_jaccard.link_group(np.arange(len(sets)), sizes, sets, 80)
+        up = list(range(len(sets)))
+
+        def find(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b in found:
+            up[find(a)] = find(b)
+        for i, x in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(x, sets[j]))
+                if 100 * both >= 80 * (len(x) + len(sets[j]) - both):
+                    assert find(i) == find(j)
 
 
 def test_jaccard_odd_rows(spark):
