@@ -25,16 +25,15 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
+from .sums import summed
 from .text import LOWER, Table, chunks, column, gather, hash_spans, trimmed, word_spans
 
 _LETTER = np.zeros(256, bool)
@@ -288,10 +287,9 @@ def _each(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[tuple]:
 
 
 def _sketch(hits: DataFrame, block: Block, parts: int = 8) -> np.ndarray:
-    """The sum of A^T A R over all passages, added up in two steps so that no task reads from every other."""
-    fan = max(1, math.isqrt(hits.rdd.getNumPartitions()))
+    """The sum of A^T A R over all passages."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         g = np.zeros(block.terms**2, np.float32)
         for _, row, pos, term, n_words in _each(batches, block):
             live = block.idf[term] > 0
@@ -302,23 +300,10 @@ def _sketch(hits: DataFrame, block: Block, parts: int = 8) -> np.ndarray:
             use = ((at % 2 == 0) | (at == np.repeat(n, n) - 1))[p]
             starts, _, tt, w = block.rows(p[use], t[use], c[use])
             block.gram(starts, tt, w, g)
-        y = block.times_random(g)
-        cut = np.linspace(0, len(y), min(parts, len(y)) + 1).astype(int).tolist()
-        own = TaskContext.get().partitionId() % fan
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cut) - 1), pa.int32()), pa.array(np.full(len(cut) - 1, own), pa.int32()), pa.array([y[a:b].astype(np.float32).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["part", "own", "y"])
+        return dict(enumerate(np.array_split(block.times_random(g), parts)))
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for *k, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by[tuple(k)] = by.get(tuple(k), 0) + np.frombuffer(y, np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in by], pa.int32()), pa.array([k[1] for k in by], pa.int32()), pa.array([v.tobytes() for v in by.values()], pa.binary())], ["part", "own", "y"])
-
-    kind = "part int, own int, y binary"
-    some = hits.where("n_words is not null").select("doc_id", "n_words", "place", "term").mapInArrow(trimmed(add), kind)
-    some = some.repartition(parts * fan, "part", "own").mapInArrow(trimmed(total), kind).withColumn("own", F.lit(0))
-    rows = some.repartition(parts, "part").mapInArrow(trimmed(total), kind).collect()
-    return np.concatenate([np.frombuffer(r.y, np.float32) for r in sorted(rows)]).reshape(-1, block.rank).astype(np.float64) if rows else np.zeros((block.terms, block.rank))
+    got = summed(hits.where("n_words is not null").select("doc_id", "n_words", "place", "term"), add, np.float32, parts)
+    return np.concatenate([got[k] for k in sorted(got)]).reshape(-1, block.rank).astype(np.float64) if got else np.zeros((block.terms, block.rank))
 
 
 def _search(hits: DataFrame, block: Block, cosine: float) -> DataFrame:

@@ -1,7 +1,7 @@
 """Language of web pages by Bayesian fusion of text, declared markup language, address suffix and host priors.
 
-* Text: hashed byte trigrams of the main text under one multinomial per language, trained on a bounded sample of
-  documents with a language; the log-likelihood is tempered (`temper`), as trigrams overlap.
+* Text: hashed byte trigrams of the main text under one multinomial for every language of the documents, trained on a
+  bounded sample of each (`per_language`: at most so many rows times the languages, with their whole texts); the log-likelihood is tempered (`temper`), as trigrams overlap.
 * Declared: `<html lang>` names the true language with probability `trust`, any other with the rest.
 * Priors: soft counts of the first two per address suffix, domain and host, by grouped aggregation. Each level is
   smoothed towards the one above (Dirichlet weight `weight`), and a page's own counts are taken out of its priors.
@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import markup, store
+from .sums import summed
 from .text import LOWER, chunks, column, mix, trimmed
 
 BUCKETS = 1 << 14
@@ -38,33 +39,34 @@ def trigrams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return g[ok], row[ok]
 
 
-def train(docs: DataFrame, *, per_language: int = 400, most: int = 40, sample_bytes: int = 20_000) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities of trigram buckets, from at most `per_language` documents of the `most` commonest languages."""
-    known = docs.where("lang is not null and text is not null and doc_id is not null")
-    names = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect())
-    small = known.select("lang", F.col("doc_id").cast("long").alias("doc_id"))
-    picked = None
-    for name in names:
-        some = small.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        picked = some if picked is None else picked.unionByName(some)
-    if picked is None:
-        return [], np.zeros((0, BUCKETS))
-    texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, sample_bytes).alias("text")).join(F.broadcast(picked), "doc_id")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), BUCKETS), np.int64)
+def train(docs: DataFrame, *, per_language: int = 400) -> tuple[list[str], np.ndarray]:
+    """All languages, by name, and their log-probabilities of trigram buckets, from whole texts of at most `per_language`
+    documents of each, chosen by hash."""
+    known = docs.where("lang is not null and text is not null and doc_id is not null").select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # The limit of each language is applied before the rows are dealt by language.
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = known.select("lang", "doc_id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).select("lang", "doc_id").distinct()
+    texts = store.saved(known.join(picked, ["lang", "doc_id"], "left_semi").select("text", "lang"), "language-sample")
+    names = sorted(r.lang for r in texts.select("lang").distinct().collect())
+    number = {x: i for i, x in enumerate(names)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             buf, offs = column(batch)
-            lang = np.array([names.index(x) for x in batch.column(1).to_pylist()], np.int64)
+            lang = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
             for i, j in chunks(offs, 1 << 21):
                 g, row = trigrams(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                total += np.bincount(lang[i:j][row] * BUCKETS + g, minlength=total.size).reshape(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(names)), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], ["i", "n"])
+                own = lang[i:j][row]
+                for k in np.unique(own).tolist():
+                    total[k] = total.get(k, 0) + np.bincount(g[own == k], minlength=BUCKETS)
+        return total
 
     counts = np.zeros((len(names), BUCKETS))
-    for r in texts.select("text", "lang").mapInArrow(trimmed(count), "i int, n binary").toLocalIterator():
-        counts[r.i] += np.frombuffer(r.n, np.int64)
-    return names, np.log((counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True))
+    for k, n in (summed(texts, count, np.int64, max(8, len(names))) if names else {}).items():
+        counts[k] = n
+    store.drop(texts)
+    return names, np.log((counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def evidence(pages: DataFrame, names: list[str], logp: np.ndarray, *, trust: float, temper: float) -> DataFrame:
@@ -77,12 +79,17 @@ def evidence(pages: DataFrame, names: list[str], logp: np.ndarray, *, trust: flo
             texts = pa.record_batch([pa.array([markup.plain(p, main_only=True) for p in pages_], pa.large_string())], ["text"])
             buf, offs = column(texts)
             like = np.zeros((len(pages_), len(names)))
+            known = {x: i for i, x in enumerate(names)}
             for i, j in chunks(offs, 1 << 21):
                 g, row = trigrams(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 for k in range(len(names)):
                     like[i:j, k] = np.bincount(row, weights=logp[k][g], minlength=j - i)
             like = temper * (like - like.max(axis=1, keepdims=True)) if len(names) else like
-            markup_like = np.array([[np.log(trust if n == s else (1 - trust) / max(1, len(names) - 1)) if s in names else 0.0 for n in names] for s in said]).reshape(like.shape)
+            markup_like = np.zeros(like.shape)
+            for r, s in enumerate(said):
+                if s in known:
+                    markup_like[r] = np.log((1 - trust) / max(1, len(names) - 1))
+                    markup_like[r, known[s]] = np.log(trust)
             both = like + markup_like
             both = np.exp(both - both.max(axis=1, keepdims=True)) if len(names) else both
             first = both / both.sum(axis=1, keepdims=True) if len(names) else both

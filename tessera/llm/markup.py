@@ -1,16 +1,21 @@
-"""Plain text of web pages, by regular expressions that never look back over a page twice."""
+"""Plain text of web pages, by regular expressions that look at no part of a page again and again: a tag ends before the
+next `<`, quantifiers don't give back, and an element without an end is taken to the end of the page once."""
 
 from __future__ import annotations
 
 import html
 import re
 
-_DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(?P<t>script|style|noscript|template)\b.*?(?:</(?P=t)\s*>|\Z)")
-_SIDE = re.compile(r"(?is)<(?P<t>nav|footer|header|aside|form)\b.*?(?:</(?P=t)\s*>|\Z)")
-_BLOCK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|title|head|body|blockquote|pre|hr|dd|dt)\b[^>]*>")
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
+_COMMENT = re.compile(r"(?s)<!--.*?(?:-->|\Z)")
+_DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(?P<t>script|style|noscript|template)\b.*?(?:</(?P=t)\s*+>|\Z)")
+_SIDE = re.compile(r"(?is)<(?P<t>nav|footer|header|aside|form)\b.*?(?:</(?P=t)\s*+>|\Z)")
+_BLOCK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|title|head|body|blockquote|pre|hr|dd|dt)\b[^<>]*+>")
+_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*+>")
+_HTML = re.compile(r"(?i)<html\b[^<>]*+>")
+_LANG = re.compile(r"(?is)(?<=[\s\"'/])lang\s*+=\s*+[\"']?+\s*+([a-z]{2,3})\b")
+_TITLE, _TITLE_END = re.compile(r"(?i)<title\b[^<>]*+>"), re.compile(r"(?i)</title\s*+>")
+_LINK = re.compile(r"(?i)<a\b[^<>]*+>")
+_HREF = re.compile(r"(?i)(?<=[\s\"'/])href\s*+=")
 
 
 def plain(page: str | None, *, main_only: bool = False) -> str:
@@ -24,10 +29,20 @@ def plain(page: str | None, *, main_only: bool = False) -> str:
 
 
 def declared_language(page: str | None) -> str | None:
-    got = _LANG.search((page or "")[:4096])
-    return got[1].lower() if got else None
+    """The language that the first html tag outside comments declares, wherever it stands."""
+    for tag in _HTML.finditer(_COMMENT.sub(" ", page or "")):
+        got = _LANG.search(tag[0])
+        if got:
+            return got[1].lower()
+    return None
 
 
 def title(page: str | None) -> str:
-    got = _TITLE.search(page or "")
-    return " ".join(html.unescape(got[1]).split()) if got else ""
+    start = _TITLE.search(page or "")
+    end = start and _TITLE_END.search(page, start.end())
+    return " ".join(html.unescape(page[start.end() : end.start()]).split()) if end else ""
+
+
+def links(page: str | None) -> int:
+    """How many anchors have an address."""
+    return sum(1 for tag in _LINK.finditer(page or "") if _HREF.search(tag[0]))

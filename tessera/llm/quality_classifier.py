@@ -4,8 +4,9 @@ Every bucket of word hashes and of *shapes* (a word with its letters folded to A
 `A!`) has a fixed sparse ternary index vector. A word's vector is its own index vector plus the normalised sum of the
 index vectors beside it in the sample (random indexing). A document is the mean of its word vectors, the mean of its
 shape vectors, the shares of words equal to the word before and to one of the eight before, and the log of its length.
-The network (one hidden layer, then a sigmoid) is trained on a bounded sample of labelled rows (`examples`, at most
-`sample_bytes` of text each), a fifth of which sets the temperature of its logits. Scoring reads whole texts.
+The network (one hidden layer, then a sigmoid) is trained on a bounded sample of labelled rows (`examples`), a fifth of
+which sets the temperature of its logits. The executors sum the contexts and pool the vectors of the sample, over whole
+texts; the driver gets one short vector a row. Scoring reads whole texts too.
 
 An empty or null text has zero vectors and gets a score like any other. Without two classes of labels every score is
 the share of label 1 (0.5 without labels). Repeated rows get equal scores; an empty table gives an empty table; other
@@ -18,12 +19,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import labelled, store
+from .sums import summed
 from .text import LOWER, chunks, column, hash_spans, trimmed, word_spans
 
 BUCKETS, DIM = 1 << 13, 48
@@ -130,29 +131,54 @@ def train(x: np.ndarray, y: np.ndarray, *, hidden: int = 24, epochs: int = 60, s
     return p, mean, spread, float(grid[int(np.argmin(loss))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, column_name: str = "quality", mod: int = 5, rest: int = 0, examples: int = 6000, sample_bytes: int = 20_000) -> Model:
-    """A model of at most `examples` labelled rows. The sample's texts are cut to `sample_bytes`, which bounds the fit."""
-    rows = labelled.sample(docs, labels, column_name, mod, rest, examples)
-    got: pd.DataFrame = rows.select("doc_id", F.substring("text", 1, sample_bytes).alias("text"), "y").toPandas().sort_values("doc_id")
+def contexts(rows: DataFrame) -> np.ndarray:
+    """For every bucket of words the sum of the index vectors of the two words on either side, over whole texts."""
     base = index_vectors()
-    shapes = index_vectors(12)
-    texts = pa.record_batch([pa.array(got["text"], pa.large_string())], ["text"])
-    buf, offs = column(texts)
-    near = np.zeros((BUCKETS, DIM), np.float32)
-    for i, j in chunks(offs, 1 << 21):
-        w, _, _, woffs = units(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        row = np.repeat(np.arange(len(woffs) - 1), np.diff(woffs))
-        for back in (1, 2):
-            ok = row[back:] == row[:-back]
-            np.add.at(near, w[back:][ok], base[w[:-back][ok]])
-            np.add.at(near, w[:-back][ok], base[w[back:][ok]])
-    words = (base + near / np.maximum(1e-6, np.linalg.norm(near, axis=1, keepdims=True))).astype(np.float32)
-    y = got["y"].to_numpy(np.float64)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        near = np.zeros((BUCKETS, DIM), np.float32)
+        for batch in batches:
+            buf, offs = column(batch)
+            for i, j in chunks(offs, 1 << 19):
+                w, _, _, woffs = units(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                row = np.repeat(np.arange(len(woffs) - 1), np.diff(woffs))
+                for back in (1, 2):
+                    ok = np.flatnonzero(row[back:] == row[:-back])
+                    for one, other in ((ok + back, ok), (ok, ok + back)):
+                        order = np.argsort(w[one], kind="stable")
+                        own = w[one[order]]
+                        cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else own
+                        for k in range(0, len(order), 1 << 17):
+                            some = cut[(cut > k) & (cut < k + (1 << 17))]
+                            starts = np.concatenate(([k], some))
+                            near[own[starts]] += np.add.reduceat(base[w[other[order[k : k + (1 << 17)]]]], starts - k, axis=0)
+        return dict(enumerate(np.array_split(near, 8)))
+
+    got = summed(rows.select("text"), add, np.float32)
+    return np.concatenate([got[k] for k in sorted(got)]).reshape(BUCKETS, DIM) if got else np.zeros((BUCKETS, DIM), np.float32)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, column_name: str = "quality", mod: int = 5, rest: int = 0, examples: int = 6000) -> Model:
+    """A model of at most `examples` labelled rows."""
+    rows = store.saved(labelled.sample(docs, labels, column_name, mod, rest, examples), "labelled")
+    near, shapes = contexts(rows), index_vectors(12)
+    words = (index_vectors() + near / np.maximum(1e-6, np.linalg.norm(near, axis=1, keepdims=True))).astype(np.float32)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = column(batch)
+            for i, j in chunks(offs, 1 << 19):
+                x = pool(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words, shapes)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "y", "x"])
+
+    got = rows.select("doc_id", "text", "y").mapInArrow(trimmed(vectors), "doc_id long, y int, x binary").toArrow().sort_by("doc_id")
+    store.drop(rows)
+    y = got["y"].to_numpy().astype(np.float64)
     model = Model(words, shapes, [], np.zeros(1), np.ones(1), 1.0)
     if len(y) < 20 or y.min() == y.max():
         model.constant = float((y.sum() + 0.5) / (len(y) + 1))
         return model
-    x = np.vstack([pool(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words, shapes) for i, j in chunks(offs, 1 << 21)])
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(len(y), -1)
     model.layers, model.mean, model.spread, model.temperature = train(x.astype(np.float64), y)
     return model
 

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import components, decontaminate, language_id, ngram_jaccard, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, token_ids, toxicity, warc
+from tessera.llm import components, decontaminate, language_id, markup, ngram_jaccard, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, token_ids, toxicity, warc
 from tessera.llm.text import Table, UnitCache, column, hash_spans
 
 SF = "/root/testdata/sf0.001"
@@ -535,6 +536,52 @@ def test_warc_records_link_and_keep_digests(spark):
     assert warc.summaries(warc.derive(warc.responses(pages.limit(0)))).count() == 0
 
 
+def test_malformed_records_are_marked(spark):
+    good = warc.response(1, "http://x", "<p>hi", "2026-01-01T00:00:00Z")
+    bad = [good.replace(b"Content-Length: ", b"Content-Len: ", 1), re.sub(rb"WARC-Record-ID: [^\r]*\r\n", b"", good), gzip.compress(good)[:40], re.sub(rb"Content-Length: \d+", b"Content-Length: 99999", good, count=1)]
+    rows = [(0, good), *((i + 1, x) for i, x in enumerate(bad)), (9, b"junk"), (10, None), (11, good.replace(b"WARC-Type: response", b"WARC-Type: request"))]
+    made = warc.derive(spark.createDataFrame(rows, "source_key long, data binary"))
+    got = sorted((r.source_key, r.kind) for r in made.collect())
+    assert got == [(0, "conversion"), (0, "metadata"), (1, "malformed"), (2, "malformed"), (3, "malformed"), (4, "malformed")]
+    assert sorted((r.source_key, r.intact) for r in warc.summaries(made).collect()) == [(0, True), (0, True), (1, False), (2, False), (3, False), (4, False)]
+
+
+def test_pages_are_decoded_as_declared():
+    page = "<html><p>été naïve 中</html>"
+    assert warc.decoded({"content-type": "text/html; charset=utf-8"}, page.encode()) == page
+    assert warc.decoded({"content-type": 'text/html; charset="ISO-8859-1"'}, "été".encode("latin-1")) == "été"
+    assert warc.decoded({}, '<meta charset="gb18030">中'.encode("gb18030")).endswith("中")
+    assert warc.decoded({"content-encoding": "gzip"}, gzip.compress(page.encode())) == page
+    assert warc.decoded({"content-encoding": "deflate"}, zlib.compress(page.encode())) == page
+    assert warc.decoded({"transfer-encoding": "chunked"}, b"3\r\nabc\r\n2;x=1\r\nde\r\n0\r\n\r\n") == "abcde"
+    assert warc.decoded({"content-type": "text/html; charset=no-such", "content-encoding": "gzip"}, b"ab\xff") == "ab\ufffd"
+
+
+@pytest.mark.parametrize("piece", ["<p ", "<a ", "<title>", "<html ", "<!--", "<script ", "</script ", "<nav ", "<a href", " lang", "<html lang ", "&", "<p title='"])
+def test_hostile_pages_take_linear_time(piece):
+    page = piece * (10_000_000 // len(piece))
+    began = time.process_time()
+    markup.plain(page, main_only=True), markup.declared_language(page), markup.title(page), markup.links(page)
+    assert time.process_time() - began < 30
+
+
+def test_language_is_found_behind_a_long_head():
+    assert markup.declared_language("<!--" + "x" * 5000 + " <html lang=xx> --><html class=a lang='DE-de'>") == "de"
+    assert markup.declared_language("<html data-lang=fr><p lang=es>") is None
+
+
+def test_every_language_is_a_class(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocab = {f"l{i:02d}"[:3]: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(12)] for i in range(45)}
+    docs = [(n * 100 + i, words(rng, 60, v), lang) for n, (lang, v) in enumerate(vocab.items()) for i in range(3 + n % 2)]
+    names, logp = language_id.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"), per_language=2)
+    assert names == sorted(vocab) and np.allclose(np.exp(logp.astype(float)).sum(axis=1), 1, atol=1e-3)
+    pages = spark.createDataFrame([(n, f"http://h{n}.x/", f"<p>{words(rng, 200, v)}</p>") for n, v in enumerate(vocab.values())], "page_id long, url string, html string")
+    got = {r.page_id: r.lang for r in language_id.identify(pages, spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert [got[n] for n in range(45)] == list(vocab)
+
+
 # --- components and pipeline
 
 
