@@ -383,5 +383,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 64, rank: int
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no item. Rows are told by doc_id and text, so that one doc_id may have several."""
+    mark = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = matches(docs.select(mark.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.join(found, mark == F.col("__leak"), "left_anti")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(store.table(spark, sf_dir, "documents"), store.table(spark, sf_dir, "benchmark"))

@@ -10,15 +10,17 @@
 3. The sets of what stays are packed in blocks and ordered by document frequency, counted the same way: a block sends a
    shingle once and gets its count back once. Shingles of one class are dropped, and so are classes with less than
    ceil(s n) left.
-4. Pivots. Of the classes that share a rare prefix shingle the first is its hub; every class is compared with the hub
-   that it meets most often. Classes linked so carry one label. A prefix shingle whose classes all have one label can
+4. Pivots. Of the classes that share a rare prefix shingle the one with the least share of shingles of its own is its hub
+   (of a family of near copies that is the text that they were made of); every class is compared with the hub that it
+   meets most often. Classes linked so carry one label. A prefix shingle whose classes all have one label can
    add no link between components; classes that share another, directly or by others, form a group. What a large family
    of near copies leaves of it is small, as its members are linked to their hub one by one.
 5. In each group an inverted index is searched by every set, the smallest first: the longest lists are put aside, the
    short ones merged by a heap that skips ahead to where the needed count can be met, and the rest of the needed overlap
-   is probed by bisection in the long lists. Lists that hold only sets already linked with the query are skipped, as
-   they can add no link. A group over `part_hashes` hashes is split by prefix shingle: each class goes to every shingle
-   that it shares. Only the classes of one shingle over `part_hashes` are dealt into parts that meet pair by pair.
+   is probed by bisection in the long lists, for all candidates at once. What is linked with the query is left out, as
+   it can add no link. A group over `part_hashes` hashes is split: by prefix shingle, where each class goes to every
+   shingle that it shares, or into parts that meet pair by pair, whichever makes fewer pairs of classes meet (chains of
+   unlike texts the one, families of near copies the other).
 6. Links between classes give components; copies get their class's.
 
 Words are the runs of bytes other than space and 0x09-0x0D, A-Z in lower case. A text of 1 to n-1 words is one
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -44,7 +47,7 @@ from . import store
 from .components import components
 from .text import LOWER, chunks, column, gather, hash_spans, lists, mix, ngrams, row_unique, trimmed, word_spans
 
-_SETS = "doc_id long, n long, key binary, prefix binary"
+_SETS = "doc_id long, mark long, n long, key binary, prefix binary"
 #: Hashes in a block of whole sets, about.
 _BLOCK = 1 << 18
 
@@ -81,7 +84,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
-    """doc_id, n (set size), key and prefix of every document; key and prefix are null for an empty set."""
+    """doc_id, mark (hash of the text), n (set size), key and prefix of every document; key and prefix are null for an empty set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,11 +93,12 @@ def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
                 u, uo = sets_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
                 own = [u[a:b] for a, b in zip(uo[:-1].tolist(), uo[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(uo)), pa.array([_key(s) if len(s) else None for s in own], pa.binary()), pa.array([_packed(s[: _prefix_size(len(s), pct)] >> np.uint64(16)) if len(s) else None for s in own], pa.binary())],
-                    ["doc_id", "n", "key", "prefix"],
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(uo)), pa.array([_key(s) if len(s) else None for s in own], pa.binary()), pa.array([_packed(s[: _prefix_size(len(s), pct)] >> np.uint64(16)) if len(s) else None for s in own], pa.binary())],
+                    ["doc_id", "mark", "n", "key", "prefix"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(rows), _SETS)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark")).mapInArrow(trimmed(rows), _SETS)
 
 
 def _shared_counts(sets: DataFrame, parts: int) -> DataFrame:
@@ -195,74 +199,81 @@ def _shared_counts(sets: DataFrame, parts: int) -> DataFrame:
 
 
 class _Index:
-    """An inverted index over sets that grows with each search, and the links found so far."""
-
-    def __init__(self, pct: int):
-        self.pct, self.sets, self.up = pct, [], []
-        self.lists: dict[int, list[int]] = {}
-        self.pure: dict[int, int] = {}
+    """An inverted index over sets that grows with each search, and the links found so far: `root` names the component of
+    every set."""
+
+    def __init__(self, pct: int, most: int):
+        self.pct, self.n = pct, 0
+        self.sets: list[np.ndarray] = []
+        self.root = np.arange(most)
+        self.members: dict[int, list[int]] = {}
+        self.lists: dict[int, array] = {}
         self.labels: dict[int, int] = {}
 
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+    def join(self, a: int, b: int) -> None:
+        """One component of those of two sets; the smaller one is renamed."""
+        x, y = sorted((int(self.root[a]), int(self.root[b])), key=lambda r: len(self.members[r]))
+        if x != y:
+            moved = self.members.pop(x)
+            self.root[moved] = y
+            self.members[y] += moved
 
-    def linked(self, i: int, j: int, sizes: list[int]) -> bool:
+    def linked(self, i: int, j: int, sizes: np.ndarray) -> bool:
         both = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
         return 100 * both >= self.pct * (sizes[i] + sizes[j] - both)
 
-    def search(self, own: np.ndarray, sizes: list[int], label: int) -> None:
+    def search(self, own: np.ndarray, sizes: np.ndarray, label: int) -> None:
         """Link the set `own`, of a size (with shingles of no other class) no less than those before, and add it. Sets of
         one label are known to be linked."""
-        q = len(self.sets)
+        q = self.n
+        self.n += 1
         self.sets.append(own)
-        self.up.append(self.find(self.labels.setdefault(label, q)) if label in self.labels else q)
-        self.labels.setdefault(label, q)
+        self.members[q] = [q]
+        if self.labels.setdefault(label, q) != q:
+            self.join(q, self.labels[label])
         terms = own.tolist()
-        known = [(t, self.lists[t]) for t in terms if t in self.lists]
+        known = [self.lists[t] for t in terms if t in self.lists]
         # A few likely partners first: what they link needs no search.
-        for c in dict.fromkeys(x[-1] for _, x in known[:3]):
-            if self.find(c) != self.find(q) and self.linked(q, c, sizes):
-                self.up[self.find(q)] = self.find(c)
-        root = self.find(q)
-        rest = []
-        for t, x in known:
-            p = self.pure[t]
-            if p < 0 or self.find(p) != root:
-                rest.append(x)
-        least = int(_need(sizes[q], self.pct))
-        if len(rest) >= least:
-            self._divide_skip(q, rest, least, sizes)
+        for c in dict.fromkeys(x[-1] for x in known[:3]):
+            if self.root[c] != self.root[q] and self.linked(q, c, sizes):
+                self.join(q, c)
+        least = int(_need(int(sizes[q]), self.pct))
+        if len(known) >= least:
+            self._divide_skip(q, [np.frombuffer(x, np.int32) for x in known], least, sizes)
         for t in terms:
-            x = self.lists.get(t)
-            if x is None:
-                self.lists[t] = [q]
-                self.pure[t] = q
-            else:
-                x.append(q)
-                p = self.pure[t]
-                if p >= 0 and self.find(p) != self.find(q):
-                    self.pure[t] = -1
-
-    def _divide_skip(self, q: int, lists: list[list[int]], least: int, sizes: list[int]) -> None:
+            self.lists.setdefault(t, array("i")).append(q)
+
+    def _divide_skip(self, q: int, lists: list[np.ndarray], least: int, sizes: np.ndarray) -> None:
         lists.sort(key=len)
-        longest = len(lists[-1])
-        aside = min(least - 1, int(least / (0.01 * np.log2(longest + 1) * least / 10 + 1)))
-        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        for c, both in merge_skip(short, max(1, least - len(long))):
-            a, b = self.find(q), self.find(c)
-            if a == b:
-                continue
-            need = -(-self.pct * (sizes[c] + sizes[q]) // (100 + self.pct))
-            for k, x in enumerate(long):
-                if both >= need or both + len(long) - k < need:
-                    break
-                at = bisect_left(x, c)
-                both += at < len(x) and x[at] == c
-            if both >= need:
-                self.up[a] = b
+        aside = min(least - 1, int(least / (0.01 * np.log2(len(lists[-1]) + 1) + 1)))
+        short, long = lists[: len(lists) - aside], lists[: len(lists) - aside - 1 : -1]
+        ids, count = merged(short, max(1, least - aside))
+        # What is linked with the query already can add no link.
+        new = self.root[ids] != self.root[q]
+        ids, count = ids[new], count[new]
+        need = np.ceil(self.pct * (sizes[ids] + sizes[q]) / (100 + self.pct) - 1e-9).astype(np.int64)
+        # The longest lists, which hold most candidates, come first; a candidate goes when too few are left for it.
+        for k, x in enumerate(long):
+            keep = count + len(long) - k >= need
+            if not keep.all():
+                ids, count, need = ids[keep], count[keep], need[keep]
+            if not len(ids):
+                return
+            count += x[np.minimum(np.searchsorted(x, ids), len(x) - 1)] == ids
+        for c in ids[count >= need].tolist():
+            if self.root[c] != self.root[q]:
+                self.join(q, c)
+
+
+def merged(lists: list[np.ndarray], least: int, by_heap: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that stand in `least` or more of some ascending lists, and in how many. A heap with skips merges up to
+    `by_heap` entries; more are merged by one sort, which takes a Python step for none of them."""
+    if sum(map(len, lists)) <= by_heap:
+        got = merge_skip([x.tolist() for x in lists], least)
+        return np.array([v for v, _ in got], np.int64), np.array([n for _, n in got], np.int64)
+    ids, count = np.unique(np.concatenate(lists), return_counts=True)
+    keep = count >= least
+    return ids[keep].astype(np.int64), count[keep].astype(np.int64)
 
 
 def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
@@ -296,12 +307,12 @@ def link_group(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], pct:
     """Links that, with those of equal labels, join the components of a few sets (shingles that no other class has may be
     missing; sizes count them)."""
     order = np.lexsort((ids, sizes))
-    index, by_size = _Index(pct), sizes[order].tolist()
+    index, by_size = _Index(pct, len(ids)), sizes[order]
     labels = ids if labels is None else labels
     for k in order.tolist():
         index.search(sets[k], by_size, int(labels[k]))
-    own = ids[order].tolist()
-    return [(own[i], own[index.find(i)]) for i in range(len(own)) if index.find(i) != i]
+    own = ids[order]
+    return [(a, b) for a, b in zip(own.tolist(), own[index.root].tolist(), strict=True) if a != b]
 
 
 def _parts(spark: SparkSession, size: int) -> int:
@@ -411,7 +422,7 @@ def _rare_first(blocks: DataFrame, pct: int) -> DataFrame:
 
 def _with_pivots(ordered: DataFrame, prefix: DataFrame, pct: int) -> DataFrame:
     """id and pivot: the hub that the class meets most often, where the two are linked."""
-    hubs = prefix.groupBy("h").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").select("h", "hub")
+    hubs = prefix.groupBy("h").agg(F.max("typical").alias("t"), F.count("*").alias("c")).where("c > 1").select("h", F.col("t.id").alias("hub"))
     met = prefix.join(hubs, "h").where("hub <> id").groupBy("id", "hub").agg(F.count("*").alias("times"))
     best = met.groupBy("id").agg(F.max(F.struct("times", "hub")).alias("b")).select("id", F.col("b.hub").alias("pivot"))
     mine = ordered.select("id", "n", "hashes").join(best, "id")
@@ -420,10 +431,12 @@ def _with_pivots(ordered: DataFrame, prefix: DataFrame, pct: int) -> DataFrame:
     return store.saved(both.where(100 * F.col("both") >= pct * (F.col("n") + F.col("m") - F.col("both"))).select("id", "pivot"), "jaccard-pivots")
 
 
-def links(ordered: DataFrame, *, pct: int = 80, part_hashes: int = 4_000_000) -> DataFrame:
+def links(ordered: DataFrame, *, pct: int = 80, part_hashes: int = 1_000_000) -> DataFrame:
     """Links (a, b) between sets (id, n, hashes, the rarest first) that have the components of all links of Jaccard >= pct / 100."""
     least = F.ceil(F.col("n") * pct / 100)
-    prefix = ordered.select("id", F.explode(F.slice("hashes", 1, F.greatest(F.lit(1), (F.size("hashes") - least + 1).cast("int")))).alias("h"))
+    # A typical class has few shingles of its own.
+    typical = F.struct((F.size("hashes") / F.col("n")).alias("share"), "id")
+    prefix = ordered.select("id", typical.alias("typical"), F.explode(F.slice("hashes", 1, F.greatest(F.lit(1), (F.size("hashes") - least + 1).cast("int")))).alias("h"))
     pivots = _with_pivots(ordered, prefix, pct)
     # Two steps from pivot to pivot: classes of one label are linked, not all that are linked have one.
     jump = pivots.select(F.col("id").alias("pivot"), F.col("pivot").alias("next"))
@@ -435,16 +448,19 @@ def links(ordered: DataFrame, *, pct: int = 80, part_hashes: int = 4_000_000) ->
     groups = components(rare.select(F.col("id").alias("a"), F.col("hub").alias("b")))
     own = rare.select("id", "label").distinct()
     members = ordered.select("id", "n", "hashes").join(own, "id").join(groups.select(F.col("node").alias("id"), F.col("root").alias("group")), "id")
-    sizes = members.groupBy("group").agg((F.sum(F.size("hashes")) > part_hashes).alias("large"))
+    # A large group is dealt by shingle or into parts that meet pair by pair, whichever makes fewer pairs of sets meet.
+    meets = rare.join(groups.select(F.col("node").alias("id"), F.col("root").alias("group")), "id").groupBy("group", "h").agg(F.count("*").cast("double").alias("c")).groupBy("group").agg(F.sum(F.col("c") * F.col("c")).alias("by_h"))
+    sizes = members.groupBy("group").agg(F.ceil(F.sum(F.size("hashes")) / part_hashes).cast("int").alias("parts"), F.count("*").cast("double").alias("m"))
+    sizes = sizes.join(meets, "group").select("group", "parts", ((F.col("parts") > 1) & (F.col("by_h") < F.col("m") * F.col("m"))).alias("by_shingle"))
     dealt = store.saved(members.join(sizes, "group"), "jaccard-members")
-    whole = dealt.where("not large").select(F.col("group").alias("at"), "id", "n", "hashes", "label", F.lit(0).alias("p"), F.lit(0).alias("q"))
-    # The classes of a large group meet shingle by shingle.
-    by_shingle = dealt.where("large").select("id", "n", "hashes", "label").join(rare.select("id", "h"), "id")
-    counts = by_shingle.groupBy("h").agg(F.ceil(F.sum(F.size("hashes")) / part_hashes).cast("int").alias("parts"))
-    # Part p of one shingle's classes meets every other part: pair (p, q) with p <= q once; an undivided one is pair (0, 0).
+    # Part p meets every other part: pair (p, q) with p <= q once; an undivided group is pair (0, 0).
     pair = F.expr("transform(sequence(0, parts - 1), q -> struct(least(p, q) as p, greatest(p, q) as q))")
-    split = by_shingle.join(counts, "h").withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select(F.col("h").alias("at"), "id", "n", "hashes", "label", F.explode(pair).alias("pq"))
-    split = split.select("at", "id", "n", "hashes", "label", "pq.p", "pq.q")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    whole = dealt.where("not by_shingle").withColumn("p", part).select(F.col("group").alias("at"), "id", "n", "hashes", "label", F.explode(pair).alias("pq"))
+    by_shingle = dealt.where("by_shingle").select("id", "n", "hashes", "label").join(rare.select("id", "h"), "id")
+    counts = by_shingle.groupBy("h").agg(F.ceil(F.sum(F.size("hashes")) / part_hashes).cast("int").alias("parts"))
+    split = by_shingle.join(counts, "h").withColumn("p", part).select(F.col("h").alias("at"), "id", "n", "hashes", "label", F.explode(pair).alias("pq"))
+    whole, split = (x.select("at", "id", "n", "hashes", "label", "pq.p", "pq.q") for x in (whole, split))
 
     def search(df: pd.DataFrame) -> pd.DataFrame:
         got = link_group(df["id"].to_numpy(), df["n"].to_numpy(), [np.asarray(x) for x in df["hashes"]], pct, df["label"].to_numpy())
@@ -455,11 +471,8 @@ def links(ordered: DataFrame, *, pct: int = 80, part_hashes: int = 4_000_000) ->
     return found.unionByName(pivots.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
 
 
-def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, part_hashes: int = 4_000_000) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, component_classes of every row of docs.
-
-    component_classes: the classes of the component. A document without words has itself and no class.
-    """
+def _classes(docs: DataFrame, n: int, pct: int, part_hashes: int) -> DataFrame:
+    """What classes() returns, with mark and `group`, which names the component (null: no words)."""
     spark = docs.sparkSession
     sets = store.saved(signatures(docs, n, pct), "jaccard-sets")
     left = _sieved(sets, pct)
@@ -471,15 +484,34 @@ def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, part_hashes: int = 4_
     store.drop(blocks)
     store.free(spark)
     found = components(links(ordered, pct=pct, part_hashes=part_hashes))
-    own = sets.select("doc_id", "n", "key")
+    own = sets.select("doc_id", "mark", "n", "key")
     firsts = own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"))
     linked = found.select(F.col("node").alias("id"), "root").join(ordered.select("id", "key"), "id").groupBy("key").agg(F.min("root").alias("root"))
     linked = store.saved(linked.join(firsts, "key"), "jaccard-linked")
     store.drop(ordered)
-    roots = linked.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count("*").alias("component_classes"))
-    of = linked.join(roots, "root").select("key", "component_id", "component_classes")
-    per_class = firsts.join(of, "key", "left").select("key", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("component_classes", F.lit(1)).alias("component_classes"))
-    return own.join(per_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("key").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce("component_classes", F.lit(0)).alias("component_classes"))
+    roots = linked.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count("*").alias("component_classes"), F.min("key").alias("group"))
+    of = linked.join(roots, "root").select("key", "component_id", "component_classes", "group")
+    per_class = firsts.join(of, "key", "left").select("key", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("component_classes", F.lit(1)).alias("component_classes"), F.coalesce("group", "key").alias("group"))
+    return own.join(per_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("key").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce("component_classes", F.lit(0)).alias("component_classes"), "mark", "group")
+
+
+def classes(docs: DataFrame, *, n: int = 5, pct: int = 80, part_hashes: int = 1_000_000) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, component_classes of every row of docs.
+
+    component_classes: the classes of the component. A document without words has itself and no class.
+    """
+    return _classes(docs, n, pct, part_hashes).drop("mark", "group")
+
+
+def representatives(docs: DataFrame, *, n: int = 5, pct: int = 80, part_hashes: int = 1_000_000) -> DataFrame:
+    """Of each component the row of docs with the smallest doc_id (null after all others), once; rows without words stay,
+    each different (doc_id, text) once."""
+    rows = _classes(docs, n, pct, part_hashes).select("doc_id", "mark", "group")
+    first = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r")).select("r.doc_id", "r.mark")
+    kept = first.unionByName(rows.where("group is null").select("doc_id", "mark")).distinct().select(F.col("doc_id").alias("__id"), F.col("mark").alias("__of"))
+    marked = docs.withColumn("__mark", F.xxhash64(F.col("text").cast("string")))
+    left = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__of")), "left_semi")
+    return left.dropDuplicates(["doc_id", "__mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

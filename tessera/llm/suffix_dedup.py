@@ -181,7 +181,8 @@ class _Strings:
         self.size = 0
 
     def add(self, anchor: np.ndarray, key: np.ndarray, least: np.ndarray, most: np.ndarray, buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
-        order = np.lexsort((key, anchor))
+        # Keys stand for the anchor too: equal ones are neighbours in the order of keys alone.
+        order = np.argsort(key)
         a, k = anchor[order], key[order]
         first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (k[1:] != k[:-1])))) if len(a) else np.zeros(0, np.int64)
         if not len(first):
@@ -193,7 +194,7 @@ class _Strings:
         self.size += int(ends[-1])
 
     def merge(self) -> tuple:
-        """anchor, key, least, most and byte lengths by (anchor, key), and the bytes."""
+        """anchor, key, least, most and byte lengths by key, and the bytes."""
         if not self.held:
             return (*(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64)), np.zeros(0, np.uint8))
         cols = [np.concatenate(x) for x in zip(*self.held, strict=True)]
@@ -223,7 +224,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _runs(length: int, k: int, flush: int = 1 << 25):  # noqa: ANN202
+def _runs(length: int, k: int, flush: int = 1 << 24):  # noqa: ANN202
     """Runs of windows whose key is shared: anchor, key (hash of the bytes), doc_id and start; and, once for each string
     of a task, rows without start: its smallest (doc_id) and largest (most) document and its bytes."""
 
@@ -263,7 +264,7 @@ def _runs(length: int, k: int, flush: int = 1 << 25):  # noqa: ANN202
                 if not len(head):
                     continue
                 anchor, owner, lo, hi = v[head], doc[head], at[head], at[tail] + length
-                key = Sums(part).hashes(lo, hi)
+                key = mix(Sums(part).hashes(lo, hi) + anchor)
                 own = ids[i:j][owner]
                 strings.add(anchor, key, own, own, part, lo, hi)
                 n = len(key)
@@ -480,8 +481,9 @@ def shared_windows(raw: np.ndarray, lens: np.ndarray, docs: np.ndarray, length:
     return which, inner, best[starts[which] + inner]
 
 
-def _shards(length: int):  # noqa: ANN202
-    """Intervals of strings (place, anchor, key, at, least, most, run), each with the smallest document that has its windows."""
+def _shards(length: int, shard_bytes: int):  # noqa: ANN202
+    """Intervals of strings (place, anchor, key, at, least, most, run), each with the smallest document that has its windows.
+    The strings of a task go to arrays of about `shard_bytes`; those of one place stay together."""
 
     def found(anchor: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([_signed(anchor), _signed(key), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(least)], ["anchor", "key", "lo", "hi", "least"])
@@ -489,27 +491,30 @@ def _shards(length: int):  # noqa: ANN202
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, texts = [], []
         for batch in batches:
-            buf, offs = _bytes_of(batch.column(7))
-            held.append([np.asarray(batch.column(c)) for c in range(7)] + [np.diff(offs)])
+            buf, offs = _bytes_of(batch.column(6))
+            held.append([np.asarray(batch.column(c)) for c in range(6)] + [np.diff(offs)])
             texts.append(buf)
         if not held:
             return
-        shard, place, anchor, key, base, least, most, lens = (np.concatenate(x) for x in zip(*held, strict=True))
+        place, anchor, key, base, least, most, lens = (np.concatenate(x) for x in zip(*held, strict=True))
         buf = np.concatenate(texts)
         offs = np.concatenate(([0], np.cumsum(lens)))
         held, texts = [], []
         anchor, key = anchor.view(np.uint64), key.view(np.uint64)
-        order = np.lexsort((place, shard))
+        order = np.argsort(place, kind="stable")
         head = np.flatnonzero(np.concatenate(([True], place[order][1:] != place[order][:-1])))
+        count = np.diff(np.append(head, len(order)))
         alone = np.zeros(len(order), bool)
-        alone[order] = np.repeat(np.diff(np.append(head, len(order))) == 1, np.diff(np.append(head, len(order))))
+        alone[order] = np.repeat(count == 1, count)
         tell = np.flatnonzero(alone & (least < most))
         if len(tell):
             yield found(anchor[tell], key[tell], base[tell], base[tell] + lens[tell], least[tell])
         order = order[~alone[order]]
-        cut = np.flatnonzero(np.concatenate(([True], shard[order][1:] != shard[order][:-1]))) if len(order) else np.zeros(0, np.int64)
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
-            rows = order[a:b]
+        head = np.flatnonzero(np.concatenate(([True], place[order][1:] != place[order][:-1]))) if len(order) else np.zeros(0, np.int64)
+        sizes = np.concatenate(([0], np.cumsum(np.add.reduceat(lens[order], head)))) if len(head) else np.zeros(1, np.int64)
+        ends = np.append(head, len(order))
+        for i, j in chunks(sizes, shard_bytes):
+            rows = order[ends[i] : ends[j]]
             at, _ = gather(rows, offs)
             which, inner, best = shared_windows(buf[at], lens[rows], least[rows], length)
             if not len(which):
@@ -573,8 +578,13 @@ def _shared_runs(texts: DataFrame, length: int, k: int) -> DataFrame:
     parts = _parts(texts.sparkSession, texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 1 << 25)
     anchors = texts.mapInArrow(trimmed(_anchor_blocks(length, k, 8 * parts)), "bucket int, hashes binary, back binary, own binary")
     shared = anchors.repartition(parts, "bucket").mapInArrow(trimmed(_meet(8 * parts)), "doc_id long, hashes binary")
-    wanted = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    return store.saved(texts.join(wanted, "doc_id").select("doc_id", "text", "hashes").mapInArrow(trimmed(_runs(length, k)), "anchor long, key long, doc_id long, start int, most long, run binary"), "suffix-runs")
+    # Written, so that the blocks' shuffle can go before the texts are dealt.
+    told = store.saved(shared, "suffix-shared")
+    store.free(texts.sparkSession)
+    wanted = told.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    runs = store.saved(texts.join(wanted, "doc_id").select("doc_id", "text", "hashes").mapInArrow(trimmed(_runs(length, k)), "anchor long, key long, doc_id long, start int, most long, run binary"), "suffix-runs")
+    store.drop(told)
+    return runs
 
 
 def _strings(runs: DataFrame, length: int, shard_bytes: int, anchor_bytes: int) -> DataFrame:
@@ -599,8 +609,7 @@ def _strings(runs: DataFrame, length: int, shard_bytes: int, anchor_bytes: int)
 
 def _shared_spans(runs: DataFrame, strings: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     shards = _parts(runs.sparkSession, strings.agg(F.sum(F.octet_length("run"))).first()[0] or 0, shard_bytes)
-    dealt = strings.select(F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("shard"), *strings.columns)
-    found = dealt.repartition(shards, "shard").mapInArrow(trimmed(_shards(length)), "anchor long, key long, lo int, hi int, least long")
+    found = strings.repartition(shards, "place").mapInArrow(trimmed(_shards(length, shard_bytes)), "anchor long, key long, lo int, hi int, least long")
     met = runs.where("start is not null").select("anchor", "key", "doc_id", "start").join(found, ["anchor", "key"]).where("least < doc_id")
     return store.saved(met.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")))).alias("spans")), "suffix-spans")
 

@@ -591,21 +591,119 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
 
 
+def brute_kept(rows):
+    """Rows that no rule of policy v2 rejects."""
+    out = []
+    for r in rows:
+        text = r[1] or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        n, chars, symbols, repeated_lines, repeated = brute_rules(text)
+        shouted = sum(len(x) > 1 and x.upper() == x and x.lower() != x for x in w)
+        bad = [n < 50, 100 * repeated > 50 * n, 10 * symbols > n, len(lines) >= 5 and 100 * repeated_lines > 40 * len(lines), chars < 2 * n or chars > 12 * n, 2 * shouted > n]
+        if not any(bad):
+            out.append(r)
+    return out
+
+
+def brute_first(rows):
+    """Of each component of near copies the row with the smallest doc_id."""
+    best = {}
+    for r, (i, n, c) in zip(sorted(rows, key=key), brute_components(rows), strict=True):
+        assert r[0] == i
+        place = c if n else (r[0], r[1])
+        if n == 0 or r[0] == c:
+            best.setdefault(place, r)
+    return list(best.values())
+
+
+def brute_cut(rows, length=50):
+    """Rows with their text left by the removal of repeated byte strings."""
+    first, out = {}, []
+    data = [(r[0], (r[1] or "").encode()) for r in rows]
+    for i, b in data:
+        for p in range(len(b) - length + 1):
+            first[b[p : p + length]] = min(i, first.get(b[p : p + length], i))
+    for i, b in data:
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if first[b[p : p + length]] < i:
+                gone[p : p + length] = b"\1" * length
+        left = bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+        if not any(gone) or left.strip():
+            out.append((i, left))
+    return out
+
+
+def brute_leaks(rows, items, size=64):
+    """doc_ids of rows of which some window passes the checks against some item (none longer than a passage)."""
+    words_in = lambda x: re.findall(rb"[0-9a-z\x80-\xff]+", (x or "").encode().lower())
+    docs, half = [(i, words_in(x)) for i, x in rows], size // 2
+    starts = [range(0, max(1, -(-len(w) // half) - 1) * half, half) for _, w in docs]
+    n, df = 0, Counter()
+    for (_, w), s in zip(docs, starts, strict=True):
+        n += len(s)
+        for lo in s:
+            df.update(set(w[lo : lo + size]))
+    items = [w for w in map(words_in, items) if w]
+    assert max(map(len, items)) <= size
+    live = {w for x in items for w in x if df[w] * 50 <= n}
+    for x in items:
+        live |= set(sorted(set(x), key=lambda w: df[w])[:16])
+    weight = lambda w: np.log((2 + n) / (1 + df[w])) if w in live else 0.0
+
+    def common(x, y):
+        row = [0] * (len(x) + 1)
+        for w in y:
+            last = 0
+            for j, v in enumerate(x, 1):
+                last, row[j] = row[j], last + 1 if v == w else max(row[j], row[j - 1])
+        return row[-1]
+
+    out = set()
+    for x in items:
+        total = sum(weight(w) for w in set(x))
+        for (i, w), s in zip(docs, starts, strict=True):
+            for lo in s:
+                window = w[max(0, lo - half) : lo + size + half]
+                if sum(weight(v) for v in set(x) & set(window)) < 0.6 * total:
+                    continue
+                share = common(x, window) / len(x)
+                if share >= 0.8 or share >= 0.55 and common(x[-5:], window) >= 0.6 * len(x[-5:]):
+                    out.add(i)
+    return out
+
+
 def test_pipeline_equals_brute_force(spark):
+    import sentencepiece as sp
+
     import corpus_pipeline as C
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    kept = {r.doc_id for r in quality_rules.apply_policy(quality_rules.ledger(docs), "v2").where("kept").collect()}
-    rows = [r for r in rows if r[0] in kept]
-    groups = brute_components(rows)
-    first = {c if n else i for i, n, c in groups}
-    rows = [r for r in rows if r[0] in first]
-    gone = {r[0]: r[1] == r[2] for r in brute_removed(rows)}
-    left = {r[0] for r in rows if not (gone[r[0]] and r[1])}
-    got = C.run(spark, SF)
-    assert {r.doc_id for r in got.collect()} <= left and got.where("not round_trip").count() == 0
-    assert len(left) - got.count() <= 30
-    stage = docs
-    for _, f in C.STAGES[:-1]:
-        assert f(spark, stage, SF).columns == docs.columns
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = brute_cut(brute_first(brute_kept(rows)))
+    leaks = brute_leaks(rows, items)
+    assert leaks
+    lib = sp.SentencePieceProcessor(model_file=sentence_pieces.piece_bpe_path())
+    want = sorted((i, lib.encode(x)) for i, x in rows if i not in leaks)
+    assert sorted((r.doc_id, r.ids) for r in C.run(spark, SF).collect()) == want
+
+
+def test_stages_take_odd_rows(spark):
+    import corpus_pipeline as C
+
+    long = words(random.Random(1), 120, [f"q{i}" for i in range(90)])
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    extra = [(3, long, "en", "s", 1, 1), (3, long + " " + item, "en", "s", 1, 1), (None, item, "x", "y", 2, 2)]
+    df = odd(spark).unionByName(spark.createDataFrame(extra, odd(spark).schema)).withColumn("mark", F.lit("clash")).withColumn("leak_id", F.lit(3))
+    for _, stage in C.STAGES[:-1]:
+        got = stage(spark, df, SF)
+        assert got.columns == df.columns and stage(spark, df.limit(0), SF).count() == 0
+        n = got.count()
+        assert 0 < n <= df.count()
+    clean = C.benchmark_leaks(spark, df, SF)
+    assert clean.where(F.col("text") == long).count() == 1 and clean.where(F.col("text").contains(item)).count() == 0
+    assert clean.count() == df.count() - 2
+    once = C.near_duplicates(spark, df, SF).collect()
+    assert len({(r.doc_id, r.text) for r in once}) == len(once)
+    assert len([r for r in once if r.text and r.text.startswith("a0 ") or r.text == long]) >= 1
