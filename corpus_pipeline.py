@@ -6,7 +6,6 @@ Each stage takes what its predecessor kept, is written as Parquet to the session
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, ngram_jaccard, quality_rules, sentence_pieces, store, suffix_dedup
 
@@ -19,9 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id, once; documents without words stay."""
     store.ship(spark)
-    first = ngram_jaccard.classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    return ngram_jaccard.representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +30,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     store.ship(spark)
-    found = decontaminate.matches(docs, store.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("leak_id"), "left_anti")
+    return decontaminate.without_leaks(docs, store.table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = store.table(spark, sf_dir, "documents")
+    docs, before = store.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = store.folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            store.remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
