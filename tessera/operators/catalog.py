@@ -26,14 +26,6 @@ def granted(generation: Column, lease: Column, stored_generation: Column, stored
     return F.struct(generation.alias("g"), lease.alias("l")) >= F.struct(stored_generation.alias("g"), stored_lease.alias("l"))
 
 
-def human_bytes(n: Column) -> Column:
-    """Bytes with one decimal in the largest binary unit."""
-    out = F.concat(n.cast("string"), F.lit(" B"))
-    for i, u in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1 << (10 * i), F.concat(F.format_string("%.1f", n / (1 << (10 * i))), F.lit(f" {u}"))).otherwise(out)
-    return out
-
-
 def resolve(refs: DataFrame, images: DataFrame, volumes: DataFrame, snapshots: DataFrame) -> DataFrame:
     """kind, pool and sequence of refs `image:x`, `volume:x`, `snapshot:vol@seq` or blank; found is false for a missing source."""
     r = refs.select("ref", F.split("ref", ":", 2)[0].alias("kind"), F.get(F.split("ref", ":", 2), 1).alias("name"))

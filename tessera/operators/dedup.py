@@ -26,23 +26,25 @@ def per_image(blocks: DataFrame) -> DataFrame:
 def overlap(blocks: DataFrame) -> DataFrame:
     """For every pair of images that share a hash: common and united distinct hashes, Jaccard in percent.
 
-    Hashes meet in one equi-join; sizes come from per-image counts, so that no pair of images is compared block by block.
+    Hashes are counted by the set of images that have them; pairs are made once a set, not once a hash.
     """
     own = blocks.where("not is_zero").select("image", "hash").distinct()
-    other = own.select(F.col("image").alias("other"), "hash")
-    both = own.join(other, "hash").where("image < other").groupBy("image", "other").agg(F.count("*").alias("common"))
+    sets = own.groupBy("hash").agg(F.sort_array(F.collect_list("image")).alias("images")).where("size(images) > 1").groupBy("images").agg(F.count("*").alias("c"))
+    one = sets.select("images", "c", F.posexplode("images").alias("i", "image"))
+    both = one.select("image", "c", F.explode(F.expr("slice(images, i + 2, size(images))")).alias("other")).groupBy("image", "other").agg(F.sum("c").alias("common"))
     n = own.groupBy("image").agg(F.count("*").alias("n"))
     joined = both.join(n, "image").join(n.select(F.col("image").alias("other"), F.col("n").alias("m")), "other")
     return joined.select("image", "other", "common", (F.col("n") + F.col("m") - F.col("common")).alias("united")).withColumn("jaccard_pct", F.round(100 * F.col("common") / F.col("united"), 6))
 
 
-def churn(base: DataFrame, fork: DataFrame) -> DataFrame:
+def churn(base: DataFrame, fork: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Every position of a base and its fork (block_index, hash, is_zero): unchanged, changed, new or deleted.
 
     A position that the base lacks is new if the fork holds data; a zero block there counts as changed.
     """
-    b = base.select("block_index", F.col("hash").alias("b_hash"), F.col("is_zero").alias("b_zero"))
-    f = fork.select("block_index", F.col("hash").alias("f_hash"), F.col("is_zero").alias("f_zero"))
+    at = [*(keys or []), "block_index"]
+    b = base.select(*at, F.col("hash").alias("b_hash"), F.col("is_zero").alias("b_zero"))
+    f = fork.select(*at, F.col("hash").alias("f_hash"), F.col("is_zero").alias("f_zero"))
     kind = (
         F.when(F.col("f_hash").isNull(), F.when(F.col("b_zero"), "changed").otherwise("deleted"))
         .when(F.col("b_hash").isNull(), F.when(F.col("f_zero"), "changed").otherwise("new"))
@@ -52,14 +54,15 @@ def churn(base: DataFrame, fork: DataFrame) -> DataFrame:
         .when(F.col("b_zero") & F.col("f_zero"), "unchanged")
         .otherwise("changed")
     )
-    return b.join(f, "block_index", "full_outer").select("block_index", kind.alias("kind"))
+    return b.join(f, at, "full_outer").select(*at, kind.alias("kind"))
 
 
-def overlay(base: DataFrame, fork: DataFrame) -> DataFrame:
+def overlay(base: DataFrame, fork: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Blocks that a fork must store over its base: non-zero and different, or beyond the base's end. The base's tail doesn't count."""
-    b = base.select("block_index", F.col("hash").alias("b_hash"), F.col("is_zero").alias("b_zero"))
-    f = fork.where("not is_zero").select("block_index", "hash")
-    return f.join(b, "block_index", "left").where(F.col("b_hash").isNull() | F.col("b_zero") | (F.col("b_hash") != F.col("hash"))).select("block_index", "hash")
+    at = [*(keys or []), "block_index"]
+    b = base.select(*at, F.col("hash").alias("b_hash"), F.col("is_zero").alias("b_zero"))
+    f = fork.where("not is_zero").select(*at, "hash")
+    return f.join(b, at, "left").where(F.col("b_hash").isNull() | F.col("b_zero") | (F.col("b_hash") != F.col("hash"))).select(*at, "hash")
 
 
 def stored_each_and_union(blocks: DataFrame, block_size: int) -> DataFrame:

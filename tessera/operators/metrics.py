@@ -63,18 +63,48 @@ def mann_whitney(rows: DataFrame, value: str, first: Column) -> DataFrame:
     t = ranks.agg(F.sum(F.expr("cast(ties as double) * ties * ties - ties")).alias("t"))
     x = s.crossJoin(F.broadcast(t)).withColumn("n", (F.col("n1") + F.col("n2")).cast("double")).withColumn("u", F.expr("r1 - n1 * (n1 + 1) / 2"))
     spread = F.expr("sqrt(n1 * cast(n2 as double) / 12 * ((n + 1) - t / (n * (n - 1))))")
-    return x.select("n1", "n2", F.round("u", 3).alias("u"), F.round((F.col("u") - F.col("n1") * F.col("n2") / 2) / spread, 6).alias("z"))
+    return x.select("n1", "n2", F.round("u", 3).alias("u"), F.round((F.col("u") - F.col("n1") * F.col("n2") / 2) / spread, 6).alias("z")).withColumn("p_value", F.round(F.expr(two_sided("z")), 9))
+
+
+#: Fixed values of an approximation of the complementary error function, innermost first.
+ERFC = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368)
+
+
+def two_sided(z: str) -> str:
+    """The two-sided probability of a standard normal value, as an expression of Spark and other SQL alike."""
+    x = f"(abs({z}) / sqrt(cast(2 as double)))"
+    t = f"(1 / (1 + cast(0.5 as double) * {x}))"
+    p = str(ERFC[0])
+    for c in ERFC[1:]:
+        p = f"({c} + {t} * {p})"
+    return f"({t} * exp(-{x} * {x} - cast(1.26551223 as double) + {t} * {p}))"
+
+
+def hodges_lehmann(rows: DataFrame, value: str, first: Column) -> DataFrame:
+    """The median of all differences between a value of the rows where `first` holds and one of the others. Equal values are
+    counted first, so that one difference stands for all pairs of two values."""
+    per = rows.select(F.col(value).alias("v"), first.alias("first")).groupBy("first", "v").agg(F.count("*").alias("n"))
+    a, b = per.where("first").select("v", "n"), per.where("not first").select(F.col("v").alias("w"), F.col("n").alias("m"))
+    diffs = a.join(b, F.lit(True)).groupBy((F.col("v") - F.col("w")).alias("d")).agg(F.sum(F.col("n") * F.col("m")).alias("c"))
+    ranked = diffs.withColumn("upto", F.sum("c").over(Window.orderBy("d"))).withColumn("all", F.sum("c").over(Window.partitionBy()))
+    low, high = F.expr("(all + 1) div 2"), F.expr("all div 2 + 1")
+    at = lambda r: F.max(F.when((F.col("upto") >= r) & (F.col("upto") - F.col("c") < r), F.col("d")))
+    return ranked.agg(F.round((at(low) + at(high)) / 2, 6).alias("shift"))
 
 
 def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The value at position n div 2 of the sorted values, which for an even count is the upper middle one."""
+    return _at_rank(rows, keys, value, F.expr("n div 2 + 1")).select(*keys, F.col(value).alias("median"))
+
+
+def _at_rank(rows: DataFrame, keys: list[str], value: str, rank: Column) -> DataFrame:
+    """The value at a rank (from 1, of n) of each key. Equal values are counted first, so that only distinct ones are ordered."""
+    per = rows.groupBy(*keys, value).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*keys)
-    r = rows.select(*keys, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    return r.where("r = n div 2 + 1").select(*keys, F.col(value).alias("median"))
+    ranked = per.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
+    return ranked.where((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank)).select(*keys, value)
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
     """The value at round(p * (n - 1)) of the sorted values."""
-    w = Window.partitionBy(*keys)
-    r = rows.select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("r"), F.count("*").over(w).alias("n"))
-    return r.where(F.col("r") == F.round(F.lit(p) * (F.col("n") - 1)).cast("long")).select(*keys, F.col(value).alias("value"))
+    return _at_rank(rows, keys, value, F.round(F.lit(p) * (F.col("n") - 1)).cast("long") + 1).select(*keys, F.col(value).alias("value"))

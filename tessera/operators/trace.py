@@ -31,6 +31,33 @@ def hot_set(io: DataFrame) -> DataFrame:
     return got.withColumn("pct", F.round(100 * F.col("blocks") / F.sum("blocks").over(Window.partitionBy()), 6))
 
 
+def joined_runs(rows: DataFrame, at: str, reach: int = 1 << 16) -> DataFrame:
+    """length of the maximal runs of consecutive distinct values: runs inside ranges of `reach` values first, then those
+    that meet at the ends of ranges, of which there are at most two a range."""
+    w = Window.partitionBy("__r").orderBy(at)
+    inside = rows.select(at, F.expr(f"{at} div {reach}").alias("__r")).withColumn("__g", F.col(at) - F.row_number().over(w)).groupBy("__r", "__g").agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    edge = (F.col("lo") % reach == 0) | (F.col("hi") % reach == reach - 1)
+    ends = inside.where(edge).select("lo", "hi")
+    order_ = Window.orderBy("lo")
+    joined = ends.withColumn("__new", F.when(F.lag("hi").over(order_) + 1 == F.col("lo"), 0).otherwise(1)).withColumn("__g", F.sum("__new").over(order_)).groupBy("__g").agg((F.max("hi") - F.min("lo") + 1).alias("length")).select("length")
+    return inside.where(~edge).select((F.col("hi") - F.col("lo") + 1).alias("length")).unionByName(joined)
+
+
+def windowed_fetch(wanted: DataFrame, index: DataFrame, window: int) -> DataFrame:
+    """Reads of each pack for wanted blocks (chunk_idx, pack_ord, chunk_offset): one range over the index entries (with
+    offset and comp_length) from the first wanted one on that begin in the window, and one read for each wanted block
+    beyond it; where a single entry begins in the window, one read a block."""
+    keys = ["chunk_idx", "pack_ord"]
+    w = wanted.select(*keys, "chunk_offset").join(index.select(*keys, "chunk_offset", "offset", "comp_length"), [*keys, "chunk_offset"])
+    starts = w.groupBy(*keys).agg(F.min("offset").alias("start"), F.count("*").alias("wanted"), F.sum("comp_length").alias("all_bytes"))
+    inside = index.select(*keys, "offset", "comp_length").join(starts.select(*keys, "start"), keys).where((F.col("offset") >= F.col("start")) & (F.col("offset") < F.col("start") + window))
+    ranges = inside.groupBy(*keys).agg(F.count("*").alias("inside"), (F.max(F.col("offset") + F.col("comp_length")) - F.min("offset")).alias("length"))
+    beyond = w.join(starts.select(*keys, "start"), keys).where(F.col("offset") >= F.col("start") + window).groupBy(*keys).agg(F.count("*").alias("beyond"), F.sum("comp_length").alias("beyond_bytes"))
+    rows = starts.join(ranges, keys).join(beyond, keys, "left")
+    one = F.col("inside") > 1
+    return rows.select(*keys, "wanted", F.when(one, 1 + F.coalesce("beyond", F.lit(0))).otherwise(F.col("wanted")).alias("gets"), F.when(one, F.col("length") + F.coalesce("beyond_bytes", F.lit(0))).otherwise(F.col("all_bytes")).alias("bytes"))
+
+
 def run_histogram(lengths: DataFrame) -> DataFrame:
     return lengths.groupBy(bucket(F.col("length"), RUNS, "65+").alias("bucket")).agg(F.count("*").alias("runs"), F.sum("length").alias("blocks"))
 
@@ -56,9 +83,10 @@ def half_windows(io: DataFrame, width_us: int) -> DataFrame:
 
 def bursts(seconds: DataFrame) -> DataFrame:
     """Seconds of more than twice the upper median; the median of an even count is its upper middle value."""
-    ranked = seconds.withColumn("r", F.row_number().over(Window.orderBy("ops", "second")))
-    half = seconds.agg(F.expr("count(*) div 2 + 1").alias("at"))
-    median = F.broadcast(ranked.join(F.broadcast(half), F.col("r") == F.col("at")).select(F.col("ops").alias("median")))
+    # Only distinct counts are put in order.
+    per = seconds.groupBy("ops").agg(F.count("*").alias("c"))
+    ranked = per.withColumn("upto", F.sum("c").over(Window.orderBy("ops"))).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    median = F.broadcast(ranked.where("upto >= n div 2 + 1").agg(F.min("ops").alias("median")))
     return seconds.crossJoin(median).agg(F.max("median").alias("median"), F.sum((F.col("ops") > 2 * F.col("median")).cast("long")).alias("burst_seconds"), F.sum((F.col("ops") == 0).cast("long")).alias("quiet_seconds"), F.max("ops").alias("peak"), F.min("ops").alias("low"), F.round(F.avg("ops"), 6).alias("average"))
 
 

@@ -74,15 +74,34 @@ def aligned_layout(files: DataFrame, *, least: int, align: int) -> DataFrame:
     return files.groupBy("image").applyInPandas(place, "image string, ord long, offset long")
 
 
+def walk(entries: DataFrame) -> DataFrame:
+    """k, path and depth of entries (k, parent; null: a root) from the roots down. An entry that is met below itself, or
+    twice, is a cycle and fails the query."""
+    got = entries.sparkSession.sql("with recursive w as (select k, cast(k as string) as path, 0 as depth, array(k) as seen from {v} where parent is null union all select v.k, concat(w.path, '/', v.k), w.depth + 1, case when array_contains(w.seen, v.k) then cast(raise_error('cycle') as array<bigint>) else array_append(w.seen, v.k) end from {v} v join w on v.parent = w.k) select k, path, depth, size(seen) as n from w", v=entries)
+    times = got.groupBy("k").agg(F.count("*").alias("times"), F.min("path").alias("path"), F.min("depth").alias("depth"), F.min("n").alias("n"))
+    return times.where(F.when((F.col("times") == 1) & (F.col("n") > 0), True).otherwise(F.raise_error(F.lit("cycle")).cast("boolean"))).select("k", "path", "depth")
+
+
+def first_found(needs: DataFrame, folders: DataFrame, files: DataFrame) -> DataFrame:
+    """p, soname and file: for each need (p, soname) the file (dir, soname, file) in the first of p's folders (p, ord, dir) that has it."""
+    return needs.join(folders, "p").join(files, ["dir", "soname"]).groupBy("p", "soname").agg(F.min_by("file", "ord").alias("file"))
+
+
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """path and level of what roots reach over edges (path, needs), each at its least level; cycles end by themselves.
-    One join a level; what was reached before is left out, so that every row is joined once."""
-    seen = roots.select("path").distinct().withColumn("level", F.lit(0))
-    front, level = seen, 0
+    One join a level; what was reached before is left out, so that every row is joined once. Each level is written, so
+    that no plan grows with the levels and nothing stays cached."""
+    from tessera.sources.scratch import scratch
+
+    spark = edges.sparkSession
+    base, level = scratch(spark), 0
+    roots.select("path").distinct().withColumn("level", F.lit(0)).write.parquet(f"{base}/level=0")
+    edges.write.parquet(f"{base}-edges")
+    edges = spark.read.parquet(f"{base}-edges")
     while True:
+        front, seen = spark.read.parquet(f"{base}/level={level}"), spark.read.parquet(*[f"{base}/level={i}" for i in range(level + 1)])
         level += 1
-        new = front.join(edges, "path").select(F.col("needs").alias("path")).distinct().join(seen, "path", "left_anti").withColumn("level", F.lit(level))
-        new = new.persist()
-        if new.isEmpty():
+        new = front.select("path").join(edges, "path").select(F.col("needs").alias("path")).distinct().join(seen.select("path"), "path", "left_anti").withColumn("level", F.lit(level))
+        new.write.parquet(f"{base}/level={level}")
+        if spark.read.parquet(f"{base}/level={level}").isEmpty():
             return seen
-        seen, front = seen.unionByName(new), new

@@ -29,12 +29,20 @@ def stored_bytes(counts: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
     return counts.agg(F.when(F.count("live_blocks") == F.count("*"), F.coalesce(F.sum("live_blocks"), F.lit(0)) * block_size).alias("stored_bytes"))
 
 
-def resolve(requests: DataFrame, index: DataFrame) -> DataFrame:
-    """requests (chunk_idx, chunk_offset) with the newest entry; missing and tombstone both read as zeros."""
-    r = requests.join(newest_wins(index), ["chunk_idx", "chunk_offset"], "left")
+def resolve(requests: DataFrame, index: DataFrame, manifest: DataFrame) -> DataFrame:
+    """requests (chunk_idx, chunk_offset) with the newest entry; missing and tombstone both read as zeros. The query fails
+    if a pack of the manifest has no index: older data must never stand in for it."""
+    r = checked(requests, manifest, index).join(newest_wins(index), ["chunk_idx", "chunk_offset"], "left")
     return r.select("chunk_idx", "chunk_offset", F.when(F.col("comp_length") > 0, F.col("hash")).alias("hash"), (F.coalesce("comp_length", F.lit(0)) == 0).alias("is_zero"))
 
 
+def checked(requests: DataFrame, manifest: DataFrame, index: DataFrame) -> DataFrame:
+    """The requests, if the index of every pack in the manifest was read; else the query fails when it runs."""
+    missing = manifest.select("chunk_idx", "pack_ord").join(index.select("chunk_idx", "pack_ord").distinct(), ["chunk_idx", "pack_ord"], "left_anti").agg(F.count("*").alias("__missing"))
+    held = requests.crossJoin(F.broadcast(missing))
+    return held.where(F.when(F.col("__missing") == 0, True).otherwise(F.raise_error(F.lit("pack index missing")).cast("boolean"))).drop("__missing")
+
+
 def require_complete(manifest: DataFrame, index: DataFrame) -> None:
     """Fail if the index of a pack that a manifest names wasn't read: older data must never stand in for it."""
     missing = manifest.join(index.select("chunk_idx", "pack_ord").distinct(), ["chunk_idx", "pack_ord"], "left_anti").limit(1).collect()

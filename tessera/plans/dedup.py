@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import chunking
 from tessera.operators import dedup as D
+from tessera.operators import order
 from tessera.operators import versioned as V
 from tessera.plans.registry import query
 from tessera.sources import relations as R
 
-PAIR = "a as (select * from image_blocks where image = 'src1'), b as (select * from image_blocks where image = 'src2')"
+#: Neighbouring sources are a base and its fork: every source has its place in the order of names.
+NAMED = "named as (select image, row_number() over (order by image) as k from (select distinct image from image_blocks))"
+PAIR = f"{NAMED}, a as (select k as pair, block_index, hash, is_zero from image_blocks join named using (image)), b as (select k - 1 as pair, block_index, hash, is_zero from image_blocks join named using (image) where k > 1)"
+FULL = "select distinct k from named where k + 1 in (select k from named)"
 
 
 def _pair(spark, d):
     x = R.image_blocks(spark, d)
-    return x.where("image = 'src1'"), x.where("image = 'src2'")
+    # One row an image: the window is small.
+    named = R.table(spark, d, "documents").where("octet_length(text) > 0").select(F.col("source").alias("image")).distinct().withColumn("k", F.row_number().over(Window.orderBy("image")).cast("long")).withColumn("last", F.max("k").over(Window.partitionBy()))
+    x = x.join(F.broadcast(named), "image")
+    return x.where("k < last").withColumn("pair", F.col("k")), x.where("k > 1").withColumn("pair", F.col("k") - 1)
 
 
 @query("sc01_grid_scan", "select image, block_index, hash, is_zero from image_blocks")
@@ -35,9 +43,9 @@ def sparse(spark, d):
     return V.runs(R.image_blocks(spark, d).where("not is_zero").select("image", "block_index"), ["image"], "block_index")
 
 
-@query("pf03_zero_blocks", "select image, cast(sum(case when is_zero then 1 else 0 end) as bigint) as zero_blocks from image_blocks group by 1")
+@query("pf03_zero_blocks", "select image, count(*) filter (hash = md5(repeat('\\x00'::blob, 512))) as zero_blocks, count(*) as blocks from image_blocks group by 1")
 def zero(spark, d):
-    return R.image_blocks(spark, d).groupBy("image").agg(F.sum(F.col("is_zero").cast("long")).alias("zero_blocks"))
+    return R.image_blocks(spark, d).groupBy("image").agg(F.count(F.when(F.col("is_zero"), 1)).alias("zero_blocks"), F.count("*").alias("blocks"))
 
 
 @query("sc22_image_ingest", "with g as (select image, block_index // 64 as chunk_idx, count(*) as blocks, md5(string_agg(cast(block_index % 64 as varchar) || ':' || hash, ',' order by block_index)) as h from image_blocks where not is_zero group by 1, 2) select image, chunk_idx, blocks, substr(h, 1, 16) as pack_id from g")
@@ -79,17 +87,16 @@ def shared(spark, d):
     return R.image_blocks(spark, d).where("not is_zero").groupBy("hash").agg(F.count_distinct("image").alias("images")).where("images > 1")
 
 
-@query("ag12_block_map_model", "select image, 17 * (max(block_index) + 1) as dense_bytes, 25 * count(*) filter (not is_zero) as sparse_bytes from image_blocks group by 1")
+@query("ag12_block_map_model", "select image, 17 * (max(block_index) + 1) as dense_bytes, 25 * count(*) filter (not is_zero) as sparse_bytes, cast(trunc(25 * count(*) filter (not is_zero) * (10737418240::double / (512 * (max(block_index) + 1)))) as bigint) as sparse_10gb from image_blocks group by 1")
 def map_model(spark, d):
-    return R.image_blocks(spark, d).groupBy("image").agg((17 * (F.max("block_index") + 1)).alias("dense_bytes"), (25 * F.count(F.when(~F.col("is_zero"), 1))).alias("sparse_bytes"))
+    slots, sparse = F.max("block_index") + 1, 25 * F.count(F.when(~F.col("is_zero"), 1))
+    return R.image_blocks(spark, d).groupBy("image").agg((17 * slots).alias("dense_bytes"), sparse.alias("sparse_bytes"), (sparse * (F.lit(10737418240.0) / (512 * slots))).cast("long").alias("sparse_10gb"))
 
 
 @query("ag20_pack_size_sweep", """with s as (select unnest([cast(8 as bigint), 32, 128]) as pack_size), r as (select image, n_bytes, row_number() over (partition by image order by block_index) - 1 as rn, count(*) over (partition by image) as n from image_blocks where not is_zero),
   p as (select pack_size, image, rn // pack_size as k, sum(n_bytes) as bytes from r, s where rn // pack_size < n // pack_size group by all)
   select pack_size, count(*) as packs, round(avg(bytes), 6) as avg_bytes, cast(min(bytes) as bigint) as min_bytes, cast(max(bytes) as bigint) as max_bytes, round(avg(40 + bytes * 1000.0 / 104857600), 6) as get_ms from p group by 1""")
 def sweep(spark, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("image")
     r = R.image_blocks(spark, d).where("not is_zero").select("image", "n_bytes", (F.row_number().over(w.orderBy("block_index")) - 1).alias("rn"), F.count("*").over(w).alias("n"))
     p = r.withColumn("pack_size", F.explode(F.array(*[F.lit(x).cast("long") for x in (8, 32, 128)]))).where("rn div pack_size < n div pack_size").groupBy("pack_size", "image", F.expr("rn div pack_size").alias("k")).agg(F.sum("n_bytes").alias("bytes"))
@@ -107,10 +114,12 @@ def overlap(spark, d):
     return D.overlap(R.image_blocks(spark, d))
 
 
-@query("st03_jaccard", f"with {PAIR}, i as (select hash from a where not is_zero intersect select hash from b where not is_zero), u as (select hash from a where not is_zero union select hash from b where not is_zero) select (select count(*) from i) as common, (select count(*) from u) as united")
+@query("st03_jaccard", f"with {PAIR}, i as (select pair, hash from a where not is_zero intersect select pair, hash from b where not is_zero), u as (select pair, hash from a where not is_zero and pair in ({FULL}) union select pair, hash from b where not is_zero) select pair, n as united, coalesce(m, 0) as common, round(100 * coalesce(m, 0) / n, 6) as pct from (select pair, count(*) as n from u group by 1) left join (select pair, count(*) as m from i group by 1) using (pair)")
 def jaccard(spark, d):
-    a, b = (x.where("not is_zero").select("hash") for x in _pair(spark, d))
-    return a.intersect(b).agg(F.count("*").alias("common")).crossJoin(F.broadcast(a.union(b).distinct().agg(F.count("*").alias("united"))))
+    a, b = (x.where("not is_zero").select("pair", "hash") for x in _pair(spark, d))
+    common = a.intersect(b).groupBy("pair").agg(F.count("*").alias("common"))
+    united = a.union(b).distinct().groupBy("pair").agg(F.count("*").alias("united"))
+    return united.join(common, "pair", "left").select("pair", "united", F.coalesce("common", F.lit(0)).alias("common")).withColumn("pct", F.round(100 * F.col("common") / F.col("united"), 6))
 
 
 @query("st05_first_wins_union", "select hash, arg_min(n_bytes, (image, block_index)) as n_bytes from image_blocks group by 1")
@@ -118,15 +127,15 @@ def first_wins(spark, d):
     return R.image_blocks(spark, d).groupBy("hash").agg(F.min_by("n_bytes", F.struct("image", "block_index")).alias("n_bytes"))
 
 
-@query("jn04_fork_churn", f"""with {PAIR} select block_index, case when b.hash is null then case when a.is_zero then 'changed' else 'deleted' end when a.hash is null then case when b.is_zero then 'changed' else 'new' end
-  when a.hash = b.hash and a.is_zero = b.is_zero then 'unchanged' when a.is_zero and not b.is_zero then 'new' when not a.is_zero and b.is_zero then 'deleted' when a.is_zero and b.is_zero then 'unchanged' else 'changed' end as kind from a full join b using (block_index)""")
+@query("jn04_fork_churn", f"""with {PAIR} select pair, block_index, case when b.hash is null then case when a.is_zero then 'changed' else 'deleted' end when a.hash is null then case when b.is_zero then 'changed' else 'new' end
+  when a.hash = b.hash and a.is_zero = b.is_zero then 'unchanged' when a.is_zero and not b.is_zero then 'new' when not a.is_zero and b.is_zero then 'deleted' when a.is_zero and b.is_zero then 'unchanged' else 'changed' end as kind from (select * from a where pair in ({FULL})) a full join b using (pair, block_index)""")
 def churn(spark, d):
-    return D.churn(*_pair(spark, d))
+    return D.churn(*_pair(spark, d), keys=["pair"])
 
 
-@query("jn05_fork_overlay", f"with {PAIR} select block_index, b.hash from b left join a using (block_index) where not b.is_zero and (a.hash is null or a.is_zero or a.hash <> b.hash)")
+@query("jn05_fork_overlay", f"with {PAIR} select pair, block_index, b.hash from b left join a using (pair, block_index) where not b.is_zero and (a.hash is null or a.is_zero or a.hash <> b.hash)")
 def overlay(spark, d):
-    return D.overlay(*_pair(spark, d))
+    return D.overlay(*_pair(spark, d), keys=["pair"])
 
 
 @query("jn22_shifted_match", """with x as (select source, encode(text) as b, doc_id from documents), g as (select source, md5(array_slice(b, i * 64 + 1, (i + 1) * 64)) as h from (select *, unnest(range(0, octet_length(b) // 64)) as i from x)),
@@ -139,34 +148,53 @@ def shifted(spark, d):
     return s.join(g, "h", "left").groupBy("source").agg(F.count("*").alias("blocks"), F.count("hit").alias("found"))
 
 
-@query("jn06_sub_block_diff", f"""with p as (select a.doc_id, encode(a.text) as x, encode(b.text) as y from documents a join documents b on b.doc_id = a.doc_id + 1 where a.doc_id % 10 = 0),
-  q as (select doc_id, x, y, unnest(range(0, least(octet_length(x), octet_length(y)))) as i from p)
-  select doc_id, count(*) filter (array_slice(x, i + 1, i + 1) <> array_slice(y, i + 1, i + 1)) as differing, count(*) as compared from q group by 1""")
+DIFF = """p as (select a.doc_id, encode(a.text) as x, encode(b.text) as y, (greatest(octet_length(encode(a.text)), octet_length(encode(b.text))) + 4095) // 4096 as pages from documents a join documents b on b.doc_id = a.doc_id + 1),
+  z as (select doc_id, pages, x || repeat('\\x00'::blob, pages * 4096 - octet_length(x)) as x, y || repeat('\\x00'::blob, pages * 4096 - octet_length(y)) as y from p where pages > 0),
+  c as (select doc_id, count(*) filter (array_slice(x, i + 1, i + 1) <> array_slice(y, i + 1, i + 1)) as differing, count(*) as compared from (select *, unnest(range(0, pages * 4096)) as i from z) group by 1),
+  g as (select doc_id, count(*) filter (array_slice(x, k * 4096 + 1, (k + 1) * 4096) <> array_slice(y, k * 4096 + 1, (k + 1) * 4096)) as pages_changed, count(*) as pages from (select *, unnest(range(0, pages)) as k from z) group by 1)"""
+
+
+@query("jn06_sub_block_diff", f"with {DIFF} select doc_id, differing, compared, pages_changed, pages from c join g using (doc_id)")
 def sub_block(spark, d):
+    """Differences of each text and the next, both filled up with zeros to the pages of the longer one."""
     t = R.table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("x"))
-    p = t.where("doc_id % 10 = 0").join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y")), "doc_id")
-    return p.select("doc_id", chunking.differing_bytes("x", "y").alias("differing"), F.least(F.octet_length("x"), F.octet_length("y")).cast("long").alias("compared")).where("compared > 0")
+    p = t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y")), "doc_id")
+    return p.select("doc_id", chunking.differences("x", "y").alias("d")).select("doc_id", "d.differing", "d.compared", "d.pages_changed", "d.pages").where("pages > 0")
 
 
-@query("ag17_density_histogram", """with p as (select a.doc_id, encode(a.text) as x, encode(b.text) as y from documents a join documents b on b.doc_id = a.doc_id + 1 where a.doc_id % 10 = 0),
-  q as (select doc_id, x, y, unnest(range(0, least(octet_length(x), octet_length(y)))) as i from p), c as (select doc_id, 100 * count(*) filter (array_slice(x, i + 1, i + 1) <> array_slice(y, i + 1, i + 1)) / count(*) as pct from q group by 1)
-  select case when pct <= 10 then '<=10' when pct <= 25 then '<=25' when pct <= 50 then '<=50' when pct <= 75 then '<=75' when pct < 100 then '<100' else '100' end as bucket, count(*) as blocks from c where pct > 0 group by 1""")
+@query("ag17_density_histogram", f"""with {DIFF}, e as (select *, 100 * differing / compared as pct from c join g using (doc_id) where differing > 0)
+  select 'bytes' as kind, case when pct <= 10 then '<=10' when pct <= 25 then '<=25' when pct <= 50 then '<=50' when pct <= 75 then '<=75' when pct < 100 then '<100' else '100' end as bucket, count(*) as blocks from e group by 1, 2
+  union all select 'pages', case when pages_changed = 1 then '1' when pages_changed <= 4 then '2-4' when pages_changed <= 16 then '5-16' when pages_changed < pages then '17+' else 'all' end, count(*) from e group by 1, 2""")
 def density(spark, d):
-    pct = 100 * F.col("differing") / F.col("compared")
-    name = F.when(pct <= 10, "<=10").when(pct <= 25, "<=25").when(pct <= 50, "<=50").when(pct <= 75, "<=75").when(pct < 100, "<100").otherwise("100")
-    return sub_block(spark, d).where("differing > 0").groupBy(name.alias("bucket")).agg(F.count("*").alias("blocks"))
-
-
-@query("jn23_file_spotlight", "with f as (select source, n_chars, md5(text) as h, octet_length(encode(text)) as size from documents) select a.source, b.source as other, a.h, max(a.size) as size from f a join f b on a.h = b.h and a.source < b.source group by 1, 2, 3")
+    pct, n = 100 * F.col("differing") / F.col("compared"), F.col("pages_changed")
+    bytes_ = F.when(pct <= 10, "<=10").when(pct <= 25, "<=25").when(pct <= 50, "<=50").when(pct <= 75, "<=75").when(pct < 100, "<100").otherwise("100")
+    pages = F.when(n == 1, "1").when(n <= 4, "2-4").when(n <= 16, "5-16").when(n < F.col("pages"), "17+").otherwise("all")
+    both = F.explode(F.array(F.struct(F.lit("bytes").alias("kind"), bytes_.alias("bucket")), F.struct(F.lit("pages").alias("kind"), pages.alias("bucket"))))
+    return sub_block(spark, d).where("differing > 0").select(both.alias("b")).groupBy("b.kind", "b.bucket").agg(F.count("*").alias("blocks"))
+
+
+@query("jn23_file_spotlight", """with f as (select source, doc_id, encode(text) as b, md5(text) as h, cast(sum(octet_length(encode(text))) over (partition by source order by doc_id) - octet_length(encode(text)) as bigint) as off from documents),
+  g as (select source, doc_id, h, md5(array_slice(b, s + i * 64 + 1, s + (i + 1) * 64)) as cell from (select source, doc_id, h, b, (64 - off % 64) % 64 as s, unnest(range(0, (octet_length(b) - (64 - off % 64) % 64) // 64)) as i from f where octet_length(b) >= 64 + (64 - off % 64) % 64)),
+  pairs as (select distinct a.source, a.h, b.source as other from f a join f b on a.h = b.h and a.source < b.source),
+  grid as (select distinct source as other, cell, 1 as hit from g)
+  select p.source, p.other, p.h, count(*) as cells, count(hit) as found, round(count(hit) / count(*), 6) as share from pairs p join (select distinct source, h, doc_id, cell from g) x on x.source = p.source and x.h = p.h left join grid on grid.other = p.other and grid.cell = x.cell group by 1, 2, 3""")
 def spotlight(spark, d):
-    f = R.table(spark, d, "documents").select("source", F.md5(F.encode("text", "UTF-8")).alias("h"), F.octet_length("text").cast("long").alias("size")).distinct()
-    return f.join(f.select(F.col("source").alias("other"), "h"), "h").where("source < other").groupBy("source", "other", "h").agg(F.max("size").alias("size"))
-
-
-@query("sl04_largest_shared_files", "select md5(text) as h, max(octet_length(encode(text))) as size, count(*) as n from documents group by 1 having count(*) > 1 order by size desc, h limit 20")
+    """Of files that two images hold alike, the share of the first image's grid cells that the other has too: images are
+    their files one after another, so that a file's cells depend on where it starts."""
+    f = R.table(spark, d, "documents").select("source", "doc_id", F.encode("text", "UTF-8").alias("b")).withColumn("n", F.octet_length("b").cast("long"))
+    at = order.running_total(f.select("source", "doc_id", "n"), "source", "doc_id", "n", "off").select("doc_id", ((64 - F.col("off") % 64) % 64).alias("s"))
+    own = f.join(at, "doc_id").withColumn("h", F.md5("b"))
+    cells = own.where("n >= 64 + s").select("source", "doc_id", "h", F.explode(F.expr("transform(sequence(0L, (n - s) div 64 - 1), i -> md5(substring(b, cast(s + i * 64 + 1 as int), 64)))")).alias("cell")).distinct()
+    held = own.select("source", "h").distinct()
+    pairs = held.join(held.select(F.col("source").alias("other"), "h"), "h").where("source < other")
+    grid = cells.select(F.col("source").alias("other"), "cell").distinct().withColumn("hit", F.lit(1))
+    return pairs.join(cells, ["source", "h"]).join(grid, ["other", "cell"], "left").groupBy("source", "other", "h").agg(F.count("*").alias("cells"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("share"))
+
+
+@query("sl04_largest_shared_files", "select md5(text) as h, max(octet_length(encode(text))) as size, count(*) as n from documents group by 1 having count(*) > 1 order by size desc, h")
 def largest(spark, d):
     f = R.table(spark, d, "documents").groupBy(F.md5(F.encode("text", "UTF-8")).alias("h")).agg(F.max(F.octet_length("text")).cast("long").alias("size"), F.count("*").alias("n"))
-    return f.where("n > 1").orderBy(F.desc("size"), "h").limit(20)
+    return f.where("n > 1").orderBy(F.desc("size"), "h")
 
 
 @query("fn_content_defined_chunks")

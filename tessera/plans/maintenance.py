@@ -13,7 +13,8 @@ from tessera.sources import relations as R
 
 DEAD = "dead as (select * from store_packs anti join live_packs using (chunk_idx, pack_ord) where (chunk_idx, pack_ord) not in (select (chunk_idx, pack_ord) from snapshot_packs))"
 RATIO = "c as (select chunk_idx, count(distinct pack_ord) as packs, count(*) as total, count(distinct chunk_offset) as distinct_offsets from pack_index group by 1)"
-BATCH = "b as (select distinct l_orderkey // 256 as chunk_idx, l_orderkey % 256 as chunk_offset, md5(cast(l_orderkey % 300 as varchar)) as hash, l_orderkey % 13 = 0 as is_zero from lineitem where l_orderkey % 3 = 0 or l_orderkey % 5 = 1)"
+BATCH = "b as (select distinct l_orderkey // 256 as chunk_idx, l_orderkey % 256 as chunk_offset, md5(cast(l_orderkey % 300 as varchar)) as hash, l_orderkey % 13 = 0 as is_zero from lineitem)"
+IDLE = "last as (select chunk_idx, count(distinct pack_ord) as packs, max(cycle) as last from uploads group by 1), idle as (select chunk_idx, packs, (select count(distinct cycle) from uploads u where u.cycle > last.last) as idle from last where packs >= 2)"
 
 
 def _dead(spark, d):
@@ -21,7 +22,7 @@ def _dead(spark, d):
 
 
 def _batch(spark, d):
-    return R.table(spark, d, "lineitem").where("l_orderkey % 3 = 0 or l_orderkey % 5 = 1").select(F.expr("l_orderkey div 256").alias("chunk_idx"), (F.col("l_orderkey") % 256).alias("chunk_offset"), F.md5((F.col("l_orderkey") % 300).cast("string").cast("binary")).alias("hash"), (F.col("l_orderkey") % 13 == 0).alias("is_zero")).distinct()
+    return R.table(spark, d, "lineitem").select(F.expr("l_orderkey div 256").alias("chunk_idx"), (F.col("l_orderkey") % 256).alias("chunk_offset"), F.md5((F.col("l_orderkey") % 300).cast("string").cast("binary")).alias("hash"), (F.col("l_orderkey") % 13 == 0).alias("is_zero")).distinct()
 
 
 @query("ag02_dead_ratio", f"with {RATIO} select *, round(case when packs < 2 then 0 else (total - distinct_offsets) / total end, 6) as dead_ratio from c")
@@ -29,26 +30,45 @@ def dead_ratio(spark, d):
     return M.dead_ratio(R.pack_index(spark, d))
 
 
-@query("ag03_compaction_candidates", f"with {RATIO} select chunk_idx, packs, total, distinct_offsets from c where packs > 16 or (packs >= 2 and chunk_idx % 7 >= 3 and 2 * (total - distinct_offsets) > total)")
+@query("ag03_compaction_candidates", f"with {RATIO}, {IDLE} select chunk_idx, c.packs, total, distinct_offsets, coalesce(idle, 0) as idle from c left join idle using (chunk_idx) where c.packs > 16 or (c.packs >= 2 and coalesce(idle, 0) >= 3 and 2 * (total - distinct_offsets) > total)")
 def candidates(spark, d):
-    c = M.dead_ratio(R.pack_index(spark, d)).withColumn("idle", F.col("chunk_idx") % 7).withColumn("cooldown", F.lit(3))
-    return M.compaction_candidates(c).select("chunk_idx", "packs", "total", "distinct_offsets")
+    c = M.dead_ratio(R.pack_index(spark, d)).join(M.idle_cycles(R.uploads(spark, d)).select("chunk_idx", "idle"), "chunk_idx", "left").withColumn("idle", F.coalesce("idle", F.lit(0)))
+    return M.compaction_candidates(c.withColumn("cooldown", F.lit(3))).select("chunk_idx", "packs", "total", "distinct_offsets", "idle")
 
 
-@query("ss19_cooldown_compaction", f"with {RATIO} select chunk_idx, chunk_idx % 7 >= 3 as ready from c where packs >= 2")
+@query("ss19_cooldown_compaction", f"with {RATIO}, {IDLE} select chunk_idx, idle, idle >= 2 as ready, 2 * (total - distinct_offsets) > total as worth from idle join c using (chunk_idx)")
 def cooldown(spark, d):
-    return M.dead_ratio(R.pack_index(spark, d)).where("packs >= 2").select("chunk_idx", (F.col("chunk_idx") % 7 >= 3).alias("ready"))
+    c = M.dead_ratio(R.pack_index(spark, d)).select("chunk_idx", (2 * (F.col("total") - F.col("distinct_offsets")) > F.col("total")).alias("worth"))
+    return M.idle_cycles(R.uploads(spark, d)).join(c, "chunk_idx").select("chunk_idx", "idle", (F.col("idle") >= 2).alias("ready"), "worth")
 
 
-@query("ss07_flush_cycle", f"with {NEWEST}, {BATCH} select chunk_idx, chunk_offset, case when is_zero then null else b.hash end as hash, is_zero from b left join newest n using (chunk_idx, chunk_offset) where case when is_zero then comp_length is not null else n.hash is null or comp_length = 0 or n.hash <> b.hash end")
-def flush(spark, d):
+PACK_ID = "substr(md5(string_agg(cast(chunk_offset as varchar) || ':' || coalesce(hash, '-'), ',' order by chunk_offset)), 1, 16)"
+
+
+@query("ss07_flush_entries", f"with {NEWEST}, {BATCH} select chunk_idx, chunk_offset, case when is_zero then null else b.hash end as hash, is_zero from b left join newest n using (chunk_idx, chunk_offset) where case when is_zero then coalesce(comp_length, 0) > 0 else n.hash is null or comp_length = 0 or n.hash <> b.hash end")
+def flush_entries(spark, d):
     return M.flush_entries(_batch(spark, d), V.newest_wins(R.pack_index(spark, d)))
 
 
-@query("jn15_cross_flush_dedup", f"with {NEWEST}, {BATCH} select count(*) as skipped from b join newest n using (chunk_idx, chunk_offset, hash) where not is_zero and comp_length > 0")
+@query("ss07_flush_cycle", f"""with {NEWEST}, {BATCH}, e as (select chunk_idx, chunk_offset, case when is_zero then null else b.hash end as hash from b left join newest n using (chunk_idx, chunk_offset) where case when is_zero then coalesce(comp_length, 0) > 0 else n.hash is null or comp_length = 0 or n.hash <> b.hash end),
+  p as (select chunk_idx, count(*) as entries, {PACK_ID} as pack_id from e group by 1),
+  have as (select distinct chunk_idx, pack_id from (select chunk_idx, pack_ord, {PACK_ID} as pack_id from (select chunk_idx, pack_ord, chunk_offset, case when comp_length > 0 then hash end as hash from pack_index) group by 1, 2)),
+  w as (select chunk_idx, count(*) as evicted, count(*) filter (not is_zero) - count(distinct hash) filter (not is_zero) as repeated from b group by 1),
+  lst as (select chunk_idx, max(pack_ord) as last from pack_index group by 1),
+  old as (select chunk_idx, count(*) filter (comp_length > 0) as before from newest group by 1),
+  new as (select chunk_idx, sum(case when e.chunk_offset is not null then (e.hash is not null)::int else (n.comp_length > 0)::int end) as live from newest n full join e using (chunk_idx, chunk_offset) group by 1)
+  select w.chunk_idx, evicted, repeated, coalesce(entries, 0) as entries, evicted - coalesce(entries, 0) as deduped, p.pack_id, have.pack_id is not null as skipped,
+    case when p.pack_id is not null and have.pack_id is null then coalesce(last, 0) + 1 end as appended,
+    cast(case when p.pack_id is not null and have.pack_id is null then live else coalesce(before, 0) end as bigint) as live_blocks
+  from w left join p using (chunk_idx) left join have on have.chunk_idx = w.chunk_idx and have.pack_id = p.pack_id left join lst on lst.chunk_idx = w.chunk_idx left join old on old.chunk_idx = w.chunk_idx left join new on new.chunk_idx = w.chunk_idx""")
+def flush(spark, d):
+    return M.flush(_batch(spark, d), R.pack_index(spark, d))
+
+
+@query("jn15_cross_flush_dedup", f"with {NEWEST}, {BATCH} select b.chunk_idx, count(*) as skipped from b left join newest n using (chunk_idx, chunk_offset) where case when is_zero then coalesce(comp_length, 0) = 0 else coalesce(comp_length > 0 and n.hash = b.hash, false) end group by 1")
 def cross_flush(spark, d):
-    n = V.newest_wins(R.pack_index(spark, d)).where("comp_length > 0").select("chunk_idx", "chunk_offset", "hash")
-    return _batch(spark, d).where("not is_zero").join(n, ["chunk_idx", "chunk_offset", "hash"]).agg(F.count("*").alias("skipped"))
+    kept = M.flush_entries(_batch(spark, d), V.newest_wins(R.pack_index(spark, d))).select("chunk_idx", "chunk_offset")
+    return _batch(spark, d).join(kept, ["chunk_idx", "chunk_offset"], "left_anti").groupBy("chunk_idx").agg(F.count("*").alias("skipped"))
 
 
 @query("jn16_pack_present_skip", "select chunk_idx, pack_ord from store_packs anti join live_packs using (chunk_idx, pack_ord)")
@@ -116,10 +136,9 @@ def replace(spark, d):
     return c.select("chunk_idx", M.replace_prefix(F.col("cur"), arr(1, 2), arr(99)).alias("packs"))
 
 
-@query("wn12_idle_age", "with m as (select chunk_idx, max(pack_ord) as last, count(*) as n from store_packs group by 1) select chunk_idx, (select max(pack_ord) from store_packs) - last as idle from m where n >= 2")
+@query("wn12_idle_age", f"with {IDLE} select chunk_idx, packs, idle from idle")
 def idle(spark, d):
-    m = R.store_packs(spark, d).groupBy("chunk_idx").agg(F.max("pack_ord").alias("last"), F.count("*").alias("n"))
-    return m.crossJoin(F.broadcast(m.agg(F.max("last").alias("now")))).where("n >= 2").select("chunk_idx", (F.col("now") - F.col("last")).alias("idle"))
+    return M.idle_cycles(R.uploads(spark, d))
 
 
 @query("compaction_merge", f"with {NEWEST} select chunk_idx, chunk_offset, hash, comp_length, cast(16 + coalesce(sum(comp_length) over (partition by chunk_idx order by chunk_offset rows between unbounded preceding and 1 preceding), 0) as bigint) as offset from newest")
@@ -128,8 +147,16 @@ def compaction(spark, d):
     return V.newest_wins(R.pack_index(spark, d)).select("chunk_idx", "chunk_offset", "hash", "comp_length", (F.coalesce(F.sum("comp_length").over(w), F.lit(0)) + 16).alias("offset"))
 
 
-@query("ss17_live_count_backfill", f"with {NEWEST}, n as (select chunk_idx, count(*) filter (comp_length > 0) as live from newest group by 1) select chunk_idx, case when chunk_idx % 3 = 0 then live else 7 end as live_blocks from n")
+_ROUNDS = [2000, 2150, 2300, 2556]
+ROUNDS = " union all ".join(f"select {i} as r, {a} as a, {b} as b" for i, (a, b) in enumerate(zip(_ROUNDS, _ROUNDS[1:], strict=False)))
+
+
+@query("ss17_live_count_backfill", f"""with rounds as ({ROUNDS}), known as (select chunk_idx, count(*) filter (comp_length > 0) as live_blocks from pack_index group by 1 having count(distinct pack_ord) = 1),
+  seen as (select r, a, b, chunk_idx, pack_ord from rounds join uploads on cycle <= a), still as (select distinct r, chunk_idx from seen where (r, chunk_idx) not in (select (r, chunk_idx) from rounds join uploads on cycle > a and cycle <= b)),
+  n as (select r, chunk_idx, chunk_offset, arg_max(comp_length, pack_ord) as c from pack_index join seen using (chunk_idx, pack_ord) group by 1, 2, 3),
+  counts as (select s.chunk_idx, arg_min(coalesce(n, 0), s.r) as live from still s left join (select r, chunk_idx, count(*) filter (c > 0) as n from n group by 1, 2) x on x.r = s.r and x.chunk_idx = s.chunk_idx group by 1)
+  select u.chunk_idx, coalesce(known.live_blocks, live) as live_blocks from (select distinct chunk_idx from uploads) u left join known using (chunk_idx) left join counts using (chunk_idx)""")
 def backfill(spark, d):
-    known = F.when(F.col("chunk_idx") % 3 != 0, F.lit(7).cast("long"))
-    n = V.newest_wins(R.pack_index(spark, d)).groupBy("chunk_idx").agg(F.count(F.when(F.col("comp_length") > 0, 1)).alias("live"))
-    return n.select("chunk_idx", F.coalesce(known, "live").alias("live_blocks"))
+    index = R.pack_index(spark, d)
+    known = index.groupBy("chunk_idx").agg(F.count_distinct("pack_ord").alias("packs"), F.count(F.when(F.col("comp_length") > 0, 1)).alias("live_blocks")).where("packs = 1").select("chunk_idx", "live_blocks")
+    return M.backfill(R.uploads(spark, d), index, known, _ROUNDS)

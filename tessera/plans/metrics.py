@@ -42,30 +42,15 @@ def prometheus(spark, d):
     return M.prometheus(R.io_latency(spark, d), "io")
 
 
-@query("ag25_derived_ratios", "select volume, round(case when count(*) filter (op = 'write') = 0 then 0 else count(*) filter (op <> 'read') / count(*) filter (op = 'write') end, 6) as amplification, round(case when count(*) = 0 then 0 else count(*) filter (op = 'read') / count(*) end, 6) as read_share from block_io group by 1")
-def ratios(spark, d):
-    n = lambda c: F.count(F.when(F.expr(c), 1))
-    return R.block_io(spark, d).groupBy("volume").agg(D.ratio(n("op <> 'read'"), n("op = 'write'")).alias("amplification"), D.ratio(n("op = 'read'"), F.count("*")).alias("read_share"))
+@query("ag30_hodges_lehmann", """with x as (select l_quantity as v, l_returnflag = 'A' as a from lineitem), p as (select a, v, count(*) as n from x group by 1, 2), d as (select f.v - g.v as d, cast(sum(f.n * g.n) as bigint) as c from p f, p g where f.a and not g.a group by 1),
+  r as (select d, c, sum(c) over (order by d) as upto, sum(c) over () as n from d) select round((max(d) filter (upto >= (n + 1) // 2 and upto - c < (n + 1) // 2) + max(d) filter (upto >= n // 2 + 1 and upto - c < n // 2 + 1)) / 2, 6) as shift from r""")
+def hodges_lehmann(spark, d):
+    return M.hodges_lehmann(R.table(spark, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "A")
 
 
-@query("ag26_node_aggregate", "select count(*) filter (op = 'read') as hits, count(*) filter (op <> 'read') as misses, cast(sum(span) * 512 as bigint) as dirty_bytes from block_io")
-def node(spark, d):
-    return R.block_io(spark, d).agg(F.count(F.when(F.col("op") == "read", 1)).alias("hits"), F.count(F.when(F.col("op") != "read", 1)).alias("misses"), (F.sum("span") * 512).alias("dirty_bytes"))
-
-
-@query("ag29_benchmark_summary", "select event_type, round(avg(value), 4) as mean, min(value) as low, max(value) as high, count(distinct user_id) as users from events where event_type <> 'error' group by 1")
-def benchmark(spark, d):
-    return R.table(spark, d, "events").where("event_type <> 'error'").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.count_distinct("user_id").alias("users"))
-
-
-@query("sc25_benchmark_sink", "select event_type, count(*) as ops, concat(event_type, ',', cast(count(*) as varchar)) as csv from events group by 1")
-def sink(spark, d):
-    return R.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("ops")).select("event_type", "ops", F.to_csv(F.struct("event_type", "ops")).alias("csv"))
-
-
-@query("ag30_mann_whitney", """with x as (select l_quantity as v, l_returnflag = 'A' as a from lineitem), p as (select v, count(*) as t from x group by 1), r as (select v, t, coalesce(sum(t) over (order by v rows between unbounded preceding and 1 preceding), 0) + (t + 1) / 2 as r from p),
+@query("ag30_mann_whitney", f"select *, round({M.two_sided('z')}, 9) as p_value from (" + """with x as (select l_quantity as v, l_returnflag = 'A' as a from lineitem), p as (select v, count(*) as t from x group by 1), r as (select v, t, coalesce(sum(t) over (order by v rows between unbounded preceding and 1 preceding), 0) + (t + 1) / 2 as r from p),
   s as (select count(*) filter (a) as n1, count(*) filter (not a) as n2, sum(case when a then r else 0 end) as r1 from x join r using (v)), t as (select sum(t * 1.0::double * t * t - t) as t from r)
-  select n1, n2, round(r1 - n1 * (n1 + 1) / 2, 3) as u, round((r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2::double / 12 * ((n1 + n2 + 1) - t / ((n1 + n2)::double * (n1 + n2 - 1)))), 6) as z from s, t""")
+  select n1, n2, round(r1 - n1 * (n1 + 1) / 2, 3) as u, round((r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2::double / 12 * ((n1 + n2 + 1) - t / ((n1 + n2)::double * (n1 + n2 - 1)))), 6) as z from s, t)""")
 def mann_whitney(spark, d):
     return M.mann_whitney(R.table(spark, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "A")
 

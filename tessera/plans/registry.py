@@ -47,5 +47,5 @@ def with_relations(sql: str) -> str:
     return f"with {ctes}, {body[5:]}" if body.startswith("with ") else f"with {ctes} {body}"
 
 
-for _module in ("versioned", "maintenance", "dedup", "trace", "tree", "catalog", "metrics", "streams"):
+for _module in ("versioned", "maintenance", "dedup", "trace", "tree", "catalog", "metrics", "streams", "states", "surface"):
     importlib.import_module(f"tessera.plans.{_module}")

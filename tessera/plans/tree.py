@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import order
 from tessera.operators import tree as T
 from tessera.plans.registry import query
 from tessera.sources import relations as R
@@ -52,10 +53,10 @@ def equality(spark, d):
     return b.alias("b").join(t.alias("t"), "path").where("b.size <=> t.size").agg(F.count("*").alias("same"))
 
 
-@query("jn08_deleted_subtrees", """with x as (select distinct case when p_partkey % 3 = 0 then concat('d', cast(p_size % 10 as varchar), '/', p_brand) else concat('d', cast(p_size % 10 as varchar), '/', p_brand, '/', cast(p_partkey as varchar)) end as path from part where p_partkey % 4 < 2)
+@query("jn08_deleted_subtrees", """with x as (select distinct case when p_partkey % 3 = 0 then concat('d', cast(p_size % 10 as varchar), '/', p_brand) else concat('d', cast(p_size % 10 as varchar), '/', p_brand, '/', cast(p_partkey as varchar)) end as path from part)
   select path from x where not exists (select 1 from x y where starts_with(x.path, concat(y.path, '/')))""")
 def subtrees(spark, d):
-    p = R.table(spark, d, "part").where("p_partkey % 4 < 2")
+    p = R.table(spark, d, "part")
     folder = F.concat(F.lit("d"), (F.col("p_size") % 10).cast("string"), F.lit("/"), "p_brand")
     return T.top_deletes(p.select(F.when(F.col("p_partkey") % 3 == 0, folder).otherwise(F.concat(folder, F.lit("/"), F.col("p_partkey").cast("string"))).alias("path")).distinct())
 
@@ -68,22 +69,20 @@ def links(spark, d):
 
 @query("gr05_dfs_order", f"with {FS} select path, row_number() over (order by string_split(path, '/')) as pos from b")
 def dfs(spark, d):
-    from pyspark.sql import Window
-
     b, _ = _trees(spark, d)
-    return b.select("path", F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long").alias("pos"))
+    return order.positions(b.select("path"), [F.split("path", "/")])
 
 
 @query("sl08_priority_layout", f"with {FS}, n as (select path, row_number() over (order by string_split(path, '/')) as dfs, case when size % 9 = 0 then size end as prio from b) select path, row_number() over (order by prio is null, prio, dfs) as pos from n")
 def layout(spark, d):
-    from pyspark.sql import Window
-
     b, _ = _trees(spark, d)
-    n = b.select("path", F.row_number().over(Window.orderBy(F.split("path", "/"))).alias("dfs"), F.when(F.col("size") % 9 == 0, F.col("size")).alias("prio"))
-    return n.select("path", F.row_number().over(Window.orderBy(F.asc_nulls_last("prio"), "dfs")).cast("long").alias("pos"))
+    n = b.select("path", F.when(F.col("size") % 9 == 0, F.col("size")).alias("prio"))
+    return order.positions(n, [F.col("prio").isNull(), F.col("prio"), F.split("path", "/")]).select("path", "pos")
 
 
-@query("sl09_aligned_layout")
+@query("sl09_aligned_layout", """with recursive p as (select concat('img', cast(p_size % 4 as varchar)) as image, p_partkey as ord, cast(trunc(p_retailprice) as bigint) as size from part), o as (select *, row_number() over (partition by image order by ord) as n from p),
+  f as (select image, ord, n, size, cast(0 as bigint) as at_ from o where n = 1 union all select o.image, o.ord, o.n, o.size, case when o.size >= 1200 then (f.at_ + f.size + 511) // 512 * 512 else f.at_ + f.size end from f join o on o.image = f.image and o.n = f.n + 1)
+  select image, ord, at_ as offset from f""")
 def aligned(spark, d):
     p = R.table(spark, d, "part").select(F.concat(F.lit("img"), (F.col("p_size") % 4).cast("string")).alias("image"), F.col("p_partkey").alias("ord"), F.col("p_retailprice").cast("long").alias("size"))
     return T.aligned_layout(p, least=1200, align=512)
@@ -103,14 +102,23 @@ def std_dirs(spark, d):
 
 @query("gr01_tree_walk", """with recursive v as (select s_suppkey as k, case when s_suppkey > 1 then s_suppkey // 2 end as parent from supplier), w as (select k, cast(k as varchar) as path, 0 as depth from v where parent is null union all select v.k, concat(w.path, '/', cast(v.k as varchar)), w.depth + 1 from v join w on v.parent = w.k) select k, path, depth from w""")
 def walk(spark, d):
-    v = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.expr("case when s_suppkey > 1 then s_suppkey div 2 end").alias("parent"))
-    return spark.sql("with recursive w as (select k, cast(k as string) as path, 0 as depth from {v} where parent is null union all select v.k, concat(w.path, '/', v.k), w.depth + 1 from {v} v join w on v.parent = w.k) select k, path, depth from w", v=v)
+    return T.walk(R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.expr("case when s_suppkey > 1 then s_suppkey div 2 end").alias("parent")))
+
+
+FOUND = """e as (select distinct o_custkey % 97 as p, o_orderkey % 97 as soname from orders), dirs as (select p, unnest([p % 5, 5, 6]) as dir, unnest([0, 1, 2]) as ord from (select distinct p from e)),
+  f as (select dir, s as soname, dir * 100 + s as file from range(0, 7) a(dir), range(0, 97) b(s) where (s * 7 + dir) % 3 = 0),
+  r as (select p, soname, arg_min(file, ord) as file from e join dirs using (p) join f using (dir, soname) group by 1, 2)"""
 
 
-@query("gr02_dependency_closure", """with recursive e as (select distinct o_custkey % 97 as p, o_orderkey % 97 as n from orders where o_orderkey % 11 = 0), c as (select 1::bigint as path, 0 as level union select e.n, level + 1 from e join c on e.p = c.path where level < 12) select path, min(level) as level from c group by 1""")
+@query("gr02_dependency_closure", f"with recursive {FOUND}, c as (select 201::bigint as path, 0 as level union select r.file, level + 1 from r join c on r.p = c.path % 100 where level < 12) select path, min(level) as level from c group by 1")
 def closure(spark, d):
-    e = R.table(spark, d, "orders").where("o_orderkey % 11 = 0").select((F.col("o_custkey") % 97).alias("path"), (F.col("o_orderkey") % 97).alias("needs")).distinct()
-    return T.closure(e, spark.createDataFrame([(1,)], "path long"))
+    """What a file needs, by name, is the one in the first folder of its search order that holds it."""
+    e = R.table(spark, d, "orders").select((F.col("o_custkey") % 97).alias("p"), (F.col("o_orderkey") % 97).alias("soname")).distinct()
+    dirs = e.select("p").distinct().select("p", F.posexplode(F.array(F.col("p") % 5, F.lit(5), F.lit(6))).alias("ord", "dir"))
+    files = spark.range(7).select(F.col("id").alias("dir"), F.explode(F.expr("sequence(0L, 96L)")).alias("soname")).where("(soname * 7 + dir) % 3 = 0").withColumn("file", F.col("dir") * 100 + F.col("soname"))
+    needs = T.first_found(e, dirs, files)
+    edges = needs.select("p", F.col("file").alias("needs")).join(files.select((F.col("file") % 100).alias("p"), F.col("file").alias("path")), "p").select("path", "needs").distinct()
+    return T.closure(edges, spark.createDataFrame([(201,)], "path long"))
 
 
 @query("gr03_symlinks", """with recursive l as (select p_partkey as k, case when p_partkey % 5 <> 0 then p_partkey + 1 end as target from part), h as (select k, k as cur, 0 as hops from l union all select h.k, l.target, hops + 1 from h join l on h.cur = l.k where l.target is not null and hops < 8) select k, max(hops) as hops, arg_max(cur, hops) as resolved from h group by 1""")

@@ -50,7 +50,7 @@ def ranking(spark, d):
   from r left join newest using (chunk_idx, chunk_offset)""")
 def resolution(spark, d):
     r = R.block_io(spark, d).select(F.expr("block_index div 256").alias("chunk_idx"), (F.col("block_index") % 256).alias("chunk_offset")).distinct()
-    return V.resolve(r, R.pack_index(spark, d))
+    return V.resolve(r, R.pack_index(spark, d), R.store_packs(spark, d))
 
 
 @query("jn02_point_lookup", "select pack_ord, hash, comp_length from pack_index where chunk_idx = 3 and chunk_offset = 17")
@@ -58,13 +58,13 @@ def point(spark, d):
     return R.pack_index(spark, d).where("chunk_idx = 3 and chunk_offset = 17").select("pack_ord", "hash", "comp_length")
 
 
-@query("jn03_range_read", f"""with {NEWEST}, rr as (select o_orderkey as read_id, o_orderkey * 1000 as off, (o_orderkey % 5) * 70000 as len from orders where o_orderkey % 10 = 3),
+@query("jn03_range_read", f"""with {NEWEST}, rr as (select o_orderkey as read_id, o_orderkey * 1000 as off, (o_orderkey % 5) * 70000 as len from orders),
   b as (select read_id, unnest(generate_series(off // 131072, (off + len - 1) // 131072)) as block_index from rr where len > 0)
   select read_id, block_index, block_index < 6000 as inside, case when comp_length > 0 and block_index < 6000 then hash end as hash
   from b left join newest on chunk_idx = block_index // 256 and chunk_offset = block_index % 256""")
 def range_read(spark, d):
-    o = R.table(spark, d, "orders").where("o_orderkey % 10 = 3").select(F.col("o_orderkey").alias("read_id"), (F.col("o_orderkey") * 1000).alias("off"), ((F.col("o_orderkey") % 5) * 70000).alias("len"))
-    r = V.range_requests(o, 131072, 256, 6000).join(V.newest_wins(R.pack_index(spark, d)), ["chunk_idx", "chunk_offset"], "left")
+    o = R.table(spark, d, "orders").select(F.col("o_orderkey").alias("read_id"), (F.col("o_orderkey") * 1000).alias("off"), ((F.col("o_orderkey") % 5) * 70000).alias("len"))
+    r = V.checked(V.range_requests(o, 131072, 256, 6000), R.store_packs(spark, d), R.pack_index(spark, d)).join(V.newest_wins(R.pack_index(spark, d)), ["chunk_idx", "chunk_offset"], "left")
     return r.select("read_id", "block_index", "inside", F.when((F.col("comp_length") > 0) & F.col("inside"), F.col("hash")).alias("hash"))
 
 

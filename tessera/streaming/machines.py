@@ -49,29 +49,41 @@ def flush_stream(io: DataFrame, threshold: int = 1024) -> DataFrame:
     return io.where("op <> 'read'").groupBy("volume").applyInPandasWithState(run, FLUSHES, "dirty array<long>, flushes long, blocks long", "update", "NoTimeout")
 
 
-def breaker_step(state: tuple[str, int, int, int], us: int, ok: bool, *, fails: int = 5, cool_us: int = 30_000_000, probes: int = 3) -> tuple[str, int, int, int]:
-    """(state, failures, successes, opened_us) after a call: `fails` failures in a row open, after `cool_us` calls probe, `probes` good ones close."""
-    name, bad, good, opened = state
-    if name == "open" and us - opened >= cool_us:
-        name, good = "half-open", 0
-    if name == "open":
-        return state
-    if not ok:
-        bad += 1
-        return ("open", 0, 0, us) if name == "half-open" or bad >= fails else (name, bad, 0, opened)
+#: State of a circuit, its failures, probes left, when it changed, and where its window of failures began (-1: none).
+Circuit = tuple[str, int, int, int, int]
+CLOSED: Circuit = ("closed", 0, 0, 0, -1)
+
+
+def breaker_step(circuit: Circuit, us: int, ok: bool, *, fails: int = 5, cool_us: int = 30_000_000, probes: int = 3, window_us: int = 0) -> Circuit:
+    """The circuit after a call. `fails` failures open it: in a row, or with `window_us` those since a first one at most so
+    long ago. While open, calls are refused; after `cool_us` so many as `probes` pass: a good one closes it, a bad one
+    opens it again."""
+    name, bad, left, since, window = circuit
+    if name == "open" and us - since >= cool_us:
+        name, bad, left, since = "half-open", 0, probes, us
+    if name == "open" or name == "half-open" and left == 0:
+        return name, bad, left, since, window
     if name == "half-open":
-        return ("closed", 0, 0, 0) if good + 1 >= probes else (name, 0, good + 1, opened)
-    return name, 0, 0, opened
+        left -= 1
+    if ok:
+        return CLOSED[0], 0, 0, since if name == "closed" and not bad else us, -1 if name == "half-open" or bad else window
+    fresh = False
+    if window_us and (window < 0 or us - window >= window_us):
+        window, fresh = us, True
+    if name == "half-open":
+        return "open", 0, 0, us, window
+    bad = 1 if fresh else bad + 1
+    return ("open", 0, 0, us, -1) if bad >= fails else (name, bad, 0, since, window)
 
 
-def breaker(calls: DataFrame) -> DataFrame:
+def breaker(calls: DataFrame, **policy: int) -> DataFrame:
     """volume, io_id, state after each call (volume, io_id, us, ok)."""
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("io_id")
-        state, out = ("closed", 0, 0, 0), []
+        state, out = CLOSED, []
         for us, ok in zip(df["us"].tolist(), df["ok"].tolist(), strict=True):
-            state = breaker_step(state, us, ok)
+            state = breaker_step(state, us, ok, **policy)
             out.append(state[0])
         return pd.DataFrame({"volume": df["volume"], "io_id": df["io_id"], "state": out})
 

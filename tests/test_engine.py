@@ -10,10 +10,15 @@ from tessera.functions import chunking
 from tessera.operators import catalog as C
 from tessera.operators import dedup as D
 from tessera.operators import metrics as M
+from tessera.operators import order
 from tessera.operators import trace as T
 from tessera.operators import tree as X
+from tessera.operators import versioned as V
 from tessera.plans import registry
+from tessera.sources import formats
+from tessera.sources import relations as R
 from tessera.streaming import machines as S
+from tessera.streaming import states as Z
 
 SF = "/root/testdata/sf0.001"
 
@@ -103,13 +108,81 @@ def test_hot_set_and_fills(spark):
 
 
 def test_breaker_opens_probes_and_closes():
-    s = ("closed", 0, 0, 0)
+    s = S.CLOSED
     for _ in range(5):
         s = S.breaker_step(s, 10, False)
     assert s[0] == "open" and S.breaker_step(s, 20, True)[0] == "open"
-    for k in range(3):
-        s = S.breaker_step(s, 30_000_010 + k, True)
-    assert s[0] == "closed"
+    assert S.breaker_step(s, 30_000_010, True)[0] == "closed" and S.breaker_step(s, 30_000_010, False)[0] == "open"
+    s = S.breaker_step(S.breaker_step(S.CLOSED, 1, False, fails=2, window_us=10), 20, False, fails=2, window_us=10)
+    assert s[0] == "closed" and S.breaker_step(s, 29, False, fails=2, window_us=10)[0] == "open"
+
+
+def test_snapshot_cuts(spark):
+    passes = [(1, 1, 0, 0, 5), (2, 1, 2, 2, 5), (2, 2, 0, 0, 6), (3, 1, 2, 1, 5), (4, 1, 1, 1, 5), (4, 2, 1, 1, 6), (4, 3, 1, 1, 7), (4, 4, 0, 0, 8), (5, 1, 1, 1, 5)]
+    got = rows(Z.snapshot_cuts(spark.createDataFrame(passes, "attempt long, pass long, mismatched long, raced long, sequence long")))
+    assert got == [(1, True, 1, 5), (2, True, 2, 6), (3, False, 1, None), (4, False, 3, None), (5, False, 1, None)]
+
+
+def test_truncation_waits_twice(spark):
+    same = [True, False, False, False, False, True]
+    df = spark.createDataFrame([("v", i, 10 * i - (not x), 10 * i) for i, x in enumerate(same)], "volume string, checkpoint long, covered long, current long")
+    assert [r[3] for r in rows(Z.truncations(df))] == ["covered", "skipped", "skipped", "exclusive", "skipped", "covered"]
+
+
+def test_block_states_stream_equals_batch(spark, tmp_path):
+    events = R.block_events(spark, SF)
+    want = rows(Z.block_states(events))
+    for part in range(3):
+        events.where(f"io_id div 400 = {part}" if part < 2 else "io_id >= 800").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    for part in range(3):
+        os.utime(f"{tmp_path}/in/{part}", (part, part))
+    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    last = {}
+
+    def keep(df, _):
+        last.update({(r.volume, r.block_index): tuple(r) for r in df.collect()})
+
+    Z.block_state_stream(src).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(last.values()) == want
+
+
+def test_walk_fails_on_a_cycle(spark):
+    tree = [(1, None), (2, 1), (3, 1)]
+    assert rows(X.walk(spark.createDataFrame(tree, "k long, parent long"))) == [(1, "1", 0), (2, "1/2", 1), (3, "1/3", 1)]
+    with pytest.raises(Exception, match="cycle"):
+        X.walk(spark.createDataFrame([*tree, (3, 2)], "k long, parent long")).collect()
+
+
+def test_resolution_fails_without_an_index(spark):
+    index = spark.createDataFrame([(1, 1, 0, "a", 5)], "chunk_idx long, pack_ord long, chunk_offset long, hash string, comp_length long")
+    asked = spark.createDataFrame([(1, 0)], "chunk_idx long, chunk_offset long")
+    packs = "chunk_idx long, pack_ord long"
+    assert rows(V.resolve(asked, index, spark.createDataFrame([(1, 1)], packs))) == [(1, 0, "a", False)]
+    with pytest.raises(Exception, match="pack index missing"):
+        V.resolve(asked, index, spark.createDataFrame([(1, 1), (1, 2)], packs)).collect()
+
+
+def test_positions_and_totals(spark):
+    df = spark.range(1000).select(F.expr("id * 7919 % 1000").alias("x"), F.expr("if(id < 900, 'a', 'b')").alias("k"), F.lit(2).alias("n"))
+    assert [(r.x, r.pos) for r in order.positions(df, [F.col("x")]).orderBy("x").collect()] == [(i, i + 1) for i in range(1000)]
+    got = order.running_total(df, "k", "x", "n", "before").collect()
+    for k in "ab":
+        assert sorted((r.x, r.before) for r in got if r.k == k) == [(x, 2 * i) for i, x in enumerate(sorted(r.x for r in got if r.k == k))]
+
+
+def test_crc32c_values():
+    assert chunking.crc32c_many([b"123456789", b"", b"a" * 1000, b"\0" * 32]) == [0xE3069283, 0, chunking.crc32c_many([b"a" * 1000])[0], 0x8A9136AA]
+
+
+def test_pack_and_trace_formats():
+    e = formats.np.zeros(3, formats.PACK_ENTRY)
+    e["chunk_offset"] = [1, 2, 5]
+    data = formats.pack_footer(e)
+    assert (formats.parse_pack(b"x" * 9 + data)[0] == e).all() and formats.parse_pack(data[:-1])[1] == "wrong trailer"
+    assert formats.parse_pack(b"")[1] == "too small for a trailer" and formats.parse_pack(data[20:])[1] == "too small for its index"
+    r = formats.np.zeros(2, formats.TRACE_RECORD)
+    head, got = formats.parse_trace(formats.trace_file("v", 512, 9, 7, r) + b"abc")
+    assert head == ("v", 512, 9, 7) and len(got) == 2 and formats.parse_trace(b"GLIDETRC") is None
 
 
 def test_replay_skips_bad_and_stops_at_truncated(spark):
@@ -118,7 +191,6 @@ def test_replay_skips_bad_and_stops_at_truncated(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    from tessera.sources import relations as R
 
     io = R.block_io(spark, SF).select("volume", "io_id", "block_index", "op", "span")
     for k in range(3):
