@@ -33,9 +33,10 @@ def pack_listing(spark, d):
     return R.store_packs(spark, d).select(path.alias("path")).where(F.col("path").rlike(pattern)).select("path", F.regexp_extract("path", pattern, 1).cast("long").alias("chunk_idx"), F.regexp_extract("path", pattern, 2).alias("pack_id"))
 
 
-@query("sc16_export_discovery", "select event_id, cast(json_extract_string(props, '$.' || json_keys(props)[1]) as varchar) as first_value from events")
+@query("sc16_export_discovery", "select event_id, k as key, json_extract_string(props, '$.' || k) as value from (select event_id, props, unnest(json_keys(props)) as k from events)")
 def exports(spark, d):
-    return R.table(spark, d, "events").select("event_id", F.map_values(F.from_json("props", "map<string,string>"))[0].alias("first_value"))
+    """Every field of every definition."""
+    return R.table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
 
 
 @query("sc17_manifest_list", "select chunk_idx, list(pack_ord order by pack_ord) as packs from live_packs group by 1")
