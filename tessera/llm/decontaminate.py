@@ -17,8 +17,8 @@
    longer than a passage it has the item's length, a quarter of it and a passage, from every half passage at which a
    copy of the item that meets the passage can begin.
 
-The benchmark's distinct words go to the executors, and its items in blocks of about `block_items` pieces, each with a
-basis of its own; the rank of a block is a quarter of its pieces, but at least `rank` and at most `RANK`. Null or empty
+The benchmark's distinct words go to the executors, and its items in blocks of about `block_items` pieces and at most
+about `block_words` words, which bounds a block's terms and so A^T A, each with a basis of its own; the rank of a block is a quarter of its pieces, but at least `rank` and at most `RANK`. Null or empty
 texts and items match nothing; items and documents that repeat are reported each; an empty table on either side gives
 no rows; other columns are not read.
 """
@@ -118,13 +118,19 @@ class Block:
         hi = np.minimum(first[row[own] + 1] - 1, k + self.told_right[at])
         lo = np.minimum(lo, hi)
         n = hi - lo + 1
-        stops = np.cumsum(n)
-        p = np.repeat(lo - (stops - n), n) + np.arange(int(stops[-1]) if len(n) else 0)
-        key, back = np.unique(p * len(self.items) + np.repeat(self.told_item[at], n), return_inverse=True)
-        weight = np.bincount(back, weights=np.repeat(self.told_weight[at], n), minlength=len(key))
-        p, item = np.divmod(key, len(self.items))
         out = np.zeros(int(first[-1]), bool)
-        out[p[weight >= self.least[item]]] = True
+        # Some rows at a time: long items reach far.
+        of = row[own]
+        sizes = np.concatenate(([0], np.cumsum(np.bincount(of, weights=n, minlength=len(first) - 1)))).astype(np.int64)
+        for i, j in chunks(sizes, 1 << 22):
+            a, b = np.searchsorted(of, (i, j))
+            m, x = n[a:b], at[a:b]
+            stops = np.cumsum(m)
+            p = np.repeat(lo[a:b] - (stops - m), m) + np.arange(int(stops[-1]) if len(m) else 0)
+            key, back = np.unique(p * len(self.items) + np.repeat(self.told_item[x], m), return_inverse=True)
+            weight = np.bincount(back, weights=np.repeat(self.told_weight[x], m), minlength=len(key))
+            p, item = np.divmod(key, len(self.items))
+            out[p[weight >= self.least[item]]] = True
         return out
 
     def rows(self, p: np.ndarray, t: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -358,14 +364,14 @@ def _vocabulary(items: DataFrame) -> np.ndarray:
     return np.sort(items.select("text").mapInArrow(rows, "h long").distinct().toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 64, rank: int = 128, cosine: float = 0.30, answer: int = 5, block_items: int = 250) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 64, rank: int = 128, cosine: float = 0.30, answer: int = 5, block_items: int = 250, block_words: int = 8192) -> DataFrame:
     """doc_id, item_id, cosine, lcs, first_word and last_word of every document that holds an item."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     count = F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
-    pieces = items.agg(F.sum(F.greatest(F.lit(1), F.ceil(count / (size // 2)) - 1))).first()[0] or 0
-    blocks = max(1, -(-int(pieces) // block_items))
+    pieces, words = items.agg(F.sum(F.greatest(F.lit(1), F.ceil(count / (size // 2)) - 1)), F.sum(count)).first()
+    blocks = max(1, -(-int(pieces or 0) // block_items), -(-int(words or 0) // block_words))
     out = spark.createDataFrame([], MATCHES)
     vocab = _vocabulary(items)
     if not len(vocab):

@@ -468,7 +468,9 @@ def links(ordered: DataFrame, *, pct: int = 80, part_hashes: int = 1_000_000) ->
 
     kind = "a long, b long"
     found = whole.groupBy("at", "p", "q").applyInPandas(search, kind).unionByName(split.groupBy("at", "p", "q").applyInPandas(search, kind))
-    return found.unionByName(pivots.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    out = found.unionByName(pivots.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    out.written = [pivots, rare, dealt]
+    return out
 
 
 def _classes(docs: DataFrame, n: int, pct: int, part_hashes: int) -> DataFrame:
@@ -483,7 +485,9 @@ def _classes(docs: DataFrame, n: int, pct: int, part_hashes: int) -> DataFrame:
     ordered = _rare_first(blocks, pct)
     store.drop(blocks)
     store.free(spark)
-    found = components(links(ordered, pct=pct, part_hashes=part_hashes))
+    linked = links(ordered, pct=pct, part_hashes=part_hashes)
+    found = components(linked)
+    store.drop(*linked.written)
     own = sets.select("doc_id", "mark", "n", "key")
     firsts = own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"))
     linked = found.select(F.col("node").alias("id"), "root").join(ordered.select("id", "key"), "id").groupBy("key").agg(F.min("root").alias("root"))

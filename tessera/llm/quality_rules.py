@@ -153,3 +153,13 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
   (fail_bits & {mask("v2")}) = 0 as kept, fail_bits
 from l
 """
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablations(ledger(store.table(spark, sf_dir, "documents")), "v2")
+
+
+ABLATIONS_SQL = LEDGER_SQL + f"""
+select rule, count(*) filter ((fail_bits & {mask("v2")} & bit) <> 0) as failed, count(*) filter ((fail_bits & {mask("v2")}) = bit) as only_this
+from l, (values {", ".join(f"('{r}', cast({1 << k} as bigint))" for k, r in enumerate(RULES) if r in POLICIES["v2"])}) r(rule, bit) group by 1
+"""

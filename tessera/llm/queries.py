@@ -33,7 +33,8 @@ QUERIES: dict[str, Query] = {
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_ngram_jaccard": ngram_jaccard.op9_ngram_jaccard,
         "op10_language_id": language_id.op10_language_id,
+        "quality_ablations": quality_rules.quality_ablations,
     }.items()
 }
 
-ORACLE: dict[str, str] = {"op6_quality_rules": quality_rules.OP6_SQL}
+ORACLE: dict[str, str] = {"op6_quality_rules": quality_rules.OP6_SQL, "quality_ablations": quality_rules.ABLATIONS_SQL}

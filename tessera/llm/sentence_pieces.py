@@ -10,6 +10,9 @@ scores gives other ids than the library, uses that a prefix has one BPE segmenta
 piece is the segmentation of its own text and, beside the last piece of the prefix, of the two texts together. One
 step is admitted at each prefix, and the path equals the library's merges. Both give the library's ids.
 
+A very long unit, such as letters without a break, takes one numpy step a character, and, should no path be admitted, a
+heap of merges: time grows with its length alone.
+
 Null or empty texts have no ids. Characters without a piece become byte pieces, or the unknown id in a model without
 them. U+2581 in a text is the same as a space, as in the library; only such texts do not come back unchanged. Any
 other columns, ties and repeated rows are kept as they are; rows are independent.
@@ -17,6 +20,7 @@ other columns, ties and repeated rows are kept as they are; rows are independent
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,18 +91,33 @@ class Model:
         return np.sum(mix(codes.astype(np.uint64) + np.uint64(77)) * powers(_STEP, len(codes)), dtype=np.uint64)
 
     def _merge(self, text: str) -> list[str]:
-        """BPE over a short text by its definition: the best pair first, the leftmost of equal ones."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = self.rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r > best):
-                    best, at = r, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """BPE over a text by its definition: the best pair first, the leftmost of equal ones. Pairs wait in a heap; those
+        of which a part has changed meanwhile are passed over."""
+        parts: list[str | None] = list(text)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap = []
+
+        def offer(i: int) -> None:
+            j = after[i] if i >= 0 else len(parts)
+            if j < len(parts):
+                r = self.rank.get(parts[i] + parts[j])
+                if r is not None:
+                    heapq.heappush(heap, (-r, i, parts[i], parts[j]))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != a or j >= len(parts) or parts[j] != b:
+                continue
+            parts[i], parts[j] = a + b, None
+            after[i] = after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return [p for p in parts if p is not None]
 
     def _apart(self, a: str, b: str) -> bool:
         """Whether BPE of both texts together gives the two pieces."""

@@ -147,6 +147,17 @@ def test_pieces_equal_the_library():
     assert [ids[a:b].tolist() for a, b in zip(io, io[1:], strict=False)] == lib.encode(texts)
 
 
+def test_long_units_equal_the_library():
+    import sentencepiece as sp
+
+    m, lib, rng = sentence_pieces.model(sentence_pieces.piece_bpe_path()), sp.SentencePieceProcessor(model_file=sentence_pieces.piece_bpe_path()), random.Random(3)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(12_000)), "ab" * 5000, "x" * 9000, "".join(rng.choice("中文字é") for _ in range(3000))]
+    ids, io = m.encode(*column(pa.record_batch([pa.array(texts)], ["text"])))
+    assert [ids[a:b].tolist() for a, b in zip(io, io[1:], strict=False)] == lib.encode(texts)
+    for t in texts[:2]:
+        assert [m.id_of[x] for x in m._merge("▁" + t)] == lib.encode(t)
+
+
 def test_pieces_over_odd_rows(spark):
     path = sentence_pieces.piece_bpe_path()
     got = sentence_pieces.encode(odd(spark), path)
