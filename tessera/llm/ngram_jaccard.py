@@ -367,8 +367,9 @@ def _whole_sets(docs: DataFrame, left: DataFrame, n: int) -> DataFrame:
 
 def _rare_first(blocks: DataFrame, pct: int) -> DataFrame:
     """id, key, n and the hashes shared with other sets, the rarest first, of sets with enough of them."""
-    parts = _parts(blocks.sparkSession, blocks.agg(F.sum(F.length("hashes"))).first()[0] or 0)
-    buckets = 8 * parts
+    # Every block may send to every bucket: buckets follow the bytes alone, so that packets don't become many and small.
+    parts = max(8, (blocks.agg(F.sum(F.length("hashes"))).first()[0] or 0) >> 22)
+    buckets = 2 * parts
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
