@@ -52,12 +52,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder. One of some MB that Spark would read with fewer tasks than there are cores, such as a single
-    file, is dealt to all of them; larger tables are read as they are."""
+    """A table of a folder. One of some MB in fewer files than there are cores, and too small to give each a part, is dealt
+    to all of them; larger tables are read as they are."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores, plan = spark.sparkContext.defaultParallelism, df._jdf.queryExecution()
-    few = int(str(plan.optimizedPlan().stats().sizeInBytes())) > 1 << 20 and df._jdf.rdd().getNumPartitions() < cores
-    return df.repartition(cores) if few else df
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 1 << 20 < size < cores << 26 and len(df.inputFiles()) < cores else df
 
 
 _shipped: set[str] = set()
