@@ -1,6 +1,8 @@
 """Positions and running totals over whole tables: ranges of the order are counted first, so that no task sees them all.
 
-repartitionByRange with a stated number gives the same ranges to the counts and to the rows, as both read one exchange.
+The bounds of repartitionByRange come from a random sample, so that counts and rows must come from one exchange. Two
+readings of a plan share one only while both need the same columns: positions() writes the dealt rows, and callers of
+running_total() hand in no columns but its own.
 """
 
 from __future__ import annotations
@@ -8,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import scratch
+
 
 def _ranges(rows: DataFrame) -> int:
     return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -17,6 +21,9 @@ def positions(rows: DataFrame, order: list[Column], name: str = "pos") -> DataFr
     """Rows with their position, from 1, in an order without ties."""
     keys = [f"__k{i}" for i in range(len(order))]
     dealt = rows.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)]).repartitionByRange(_ranges(rows), *keys).withColumn("__p", F.spark_partition_id())
+    path = scratch(rows.sparkSession)
+    dealt.write.parquet(path)
+    dealt = rows.sparkSession.read.schema(dealt.schema).parquet(path)
     # One row a range: its window is small.
     before = dealt.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(*keys))

@@ -170,6 +170,14 @@ def test_positions_and_totals(spark):
         assert sorted((r.x, r.before) for r in got if r.k == k) == [(x, 2 * i) for i, x in enumerate(sorted(r.x for r in got if r.k == k))]
 
 
+@pytest.mark.parametrize("name", ["gr05_dfs_order"])
+def test_positions_of_more_rows_than_a_sample(spark, name):
+    """Ranges are sampled; rows with more columns than their order must get those that were counted."""
+    d = "/root/testdata/sf0.01"
+    want = duckdb.connect().execute(registry.ORACLE[name].replace("from part)", f"from '{d}/part.parquet')")).fetchall()
+    assert rows(registry.QUERIES[name](spark, d)) == sorted(want)
+
+
 def test_crc32c_values():
     assert chunking.crc32c_many([b"123456789", b"", b"a" * 1000, b"\0" * 32]) == [0xE3069283, 0, chunking.crc32c_many([b"a" * 1000])[0], 0x8A9136AA]
 
