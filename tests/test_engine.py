@@ -170,7 +170,7 @@ def test_positions_and_totals(spark):
         assert sorted((r.x, r.before) for r in got if r.k == k) == [(x, 2 * i) for i, x in enumerate(sorted(r.x for r in got if r.k == k))]
 
 
-@pytest.mark.parametrize("name", ["gr05_dfs_order"])
+@pytest.mark.parametrize("name", ["gr05_dfs_order", "sl08_priority_layout"])
 def test_positions_of_more_rows_than_a_sample(spark, name):
     """Ranges are sampled; rows with more columns than their order must get those that were counted."""
     d = "/root/testdata/sf0.01"
