@@ -10,12 +10,23 @@ MODES = {0o10: "regular", 0o4: "directory", 0o2: "character", 0o6: "block", 0o1:
 XATTRS = [(1, "user."), (4, "trusted."), (6, "security."), (3, "system.posix_acl_default"), (2, "system.posix_acl_access")]
 
 
+def _binary_fixed(n: Column, bits: int, digits: int) -> Column:
+    """The double n / 2^bits with so many digits, halves to even. In integers: Spark rounds a double by its shortest decimal
+    form, which may be a half that the double is not. The division is exact, the cast to double is not."""
+    near, ten = n.cast("double").cast("long"), 10**digits
+    part = near.bitwiseAND((1 << bits) - 1) * ten
+    low, rest = F.shiftright(part, bits), part.bitwiseAND((1 << bits) - 1)
+    up = (rest > 1 << (bits - 1)) | ((rest == 1 << (bits - 1)) & (low.bitwiseAND(1) == 1))
+    total = F.shiftright(near, bits) * ten + low + up.cast("long")
+    return F.concat(((total - total % ten) / ten).cast("long").cast("string"), F.lit("."), F.lpad((total % ten).cast("string"), digits, "0"))
+
+
 def human(n: Column, *, spaced: bool) -> Column:
     """Bytes in the largest binary unit, halves to even: 1.5MB, or spaced 1.5 MiB with two decimals from GiB on."""
     out = F.concat(n.cast("string"), F.lit(" B" if spaced else "B"))
     for i, u in enumerate(("K", "M", "G"), 1):
         unit = f" {u}iB" if spaced else f"{u}B"
-        out = F.when(n >= 1 << (10 * i), F.concat(F.format_string("%.2f" if spaced and u == "G" else "%.1f", F.bround(n / (1 << (10 * i)), 2 if spaced and u == "G" else 1)), F.lit(unit))).otherwise(out)
+        out = F.when(n >= 1 << (10 * i), F.concat(_binary_fixed(n, 10 * i, 2 if spaced and u == "G" else 1), F.lit(unit))).otherwise(out)
     return out
 
 

@@ -11,6 +11,7 @@ from tessera.operators import catalog as C
 from tessera.operators import dedup as D
 from tessera.operators import metrics as M
 from tessera.operators import order
+from tessera.operators import surface as U
 from tessera.operators import trace as T
 from tessera.operators import tree as X
 from tessera.operators import versioned as V
@@ -178,6 +179,19 @@ def test_positions_of_more_rows_than_a_sample(spark, name):
     assert rows(registry.QUERIES[name](spark, d)) == sorted(want)
 
 
+def test_human_bytes_round_the_exact_value(spark):
+    odd = [1023, 1024, 1152, 1280, 1792, (1 << 20) - 1, 1 << 20, (1 << 30) - 1, 3 << 29, 37268268794333100, 37468281566574668, (1 << 53) + 1, (1 << 63) - 1]
+    odd += [round((1 << 30) * (34_000_000 + i * 1.37 + 0.045)) for i in range(3000)] + [(1 << 44) + i * 5_368_709 for i in range(3000)]
+    got = spark.createDataFrame([(n,) for n in odd], "n long").select("n", U.human(F.col("n"), spaced=False).alias("short"), U.human(F.col("n"), spaced=True).alias("spaced")).collect()
+
+    def want(n, spaced):
+        k = sum(n >= 1 << (10 * i) for i in (1, 2, 3))
+        gap = " " if spaced else ""
+        return f"{n}{gap}B" if not k else f"{float(n) / (1 << (10 * k)):.{2 if spaced and k == 3 else 1}f}{gap}{'KMG'[k - 1]}{'iB' if spaced else 'B'}"
+
+    assert [(r.short, r.spaced) for r in got] == [(want(r.n, False), want(r.n, True)) for r in got]
+
+
 def test_crc32c_values():
     assert chunking.crc32c_many([b"123456789", b"", b"a" * 1000, b"\0" * 32]) == [0xE3069283, 0, chunking.crc32c_many([b"a" * 1000])[0], 0x8A9136AA]
 
